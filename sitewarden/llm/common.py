@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than one row in so many; so there are fewer hot keys than this, and they may be broadcast.
 HOT_ONE_IN = 200
+#: The most bytes of a measured side of a join that is broadcast.
+BROADCAST = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST) -> DataFrame:
+    """df, to be broadcast if its rows are counted and found to take at most `limit` bytes, else to be shuffled."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """The values of key that hold more than 1 in HOT_ONE_IN of df's rows: fewer than HOT_ONE_IN rows."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))

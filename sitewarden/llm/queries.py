@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarden.llm import bpe, chat, flac, hilbert, simhash, token_counts
+from sitewarden.llm import bpe, chat, decontaminate, flac, hilbert, kneser_ney, langid, simhash, suffix_dedup, token_counts
 from sitewarden.llm.common import table, texts
 
 TOKENIZER = os.environ.get("TOKENIZER_JSON") or public_tokenizers.path("byte_bpe_50k.json")
@@ -23,12 +23,16 @@ def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.roundtrip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    coded = bpe.roundtrip(docs, RANKS, public_tokenizers.PATTERN)
     ids = F.array_join("ids", " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
@@ -38,6 +42,15 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = flac.describe(flac.encode_column(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -66,6 +79,16 @@ def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP8_SQL = r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -82,6 +105,9 @@ from rows group by conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_components, op2_bpe_roundtrip, op3_hilbert_shards, op6_flac_media, op7_token_counts, op8_chat_parts)
+    for f in (
+        op1_simhash_components, op2_bpe_roundtrip, op3_hilbert_shards, op4_language_id, op5_benchmark_leaks,
+        op6_flac_media, op7_token_counts, op8_chat_parts, op9_kneser_ney_quality, op10_repeated_substrings,
+    )
 }
 ORACLES = {"op8_chat_parts": OP8_SQL}

@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, texts
+from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, small, texts
 
 CROWD = 64
+LOW, CROWD_LOW = 8, 16
 BLOCK = 200_000
 SEED = 42
 
@@ -115,3 +116,74 @@ def classes(prints: DataFrame) -> DataFrame:
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = roots.join(least, "root").select("fp", "component_id")
     return lookup_join(prints, by_fp, "fp", hot_keys(prints, "fp")).select("doc_id", "fp", "component_id")
+
+
+def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, low): low has the LOW least distinct hashes of the text's shingles, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            texts_of = batch.column("text").to_pylist()
+            low = [np.unique(hashes(t, size))[:LOW] for t in texts_of]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, size) for t in texts_of], pa.int64()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "fp", "low"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, low array<long>")
+
+
+def hashes(text: str, size: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)), np.uint64).view(np.int64)
+
+
+def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): classes of documents that link by fingerprint or by a Jaccard similarity of their
+    shingle sets of at least `similarity`.
+
+    At a similarity of 0.8 fingerprints differ in a dozen bits, where no bound on popcounts filters, so only the
+    closest copies are found by fingerprint (2 bits). Among one document of each of those classes, candidates are
+    documents with a common value among the LOW least shingle hashes (each is shared with a chance of the similarity,
+    so a pair at 0.8 misses all 8 with 0.2**8), and each candidate pair is verified on the whole sets. Values that more
+    than CROWD_LOW documents have give no pairs: their documents meet by two values instead, and where even those are
+    crowded, each links to the least document there that verifies."""
+    prints = checkpoint(sketches(docs, size))
+    close = checkpoint(classes(prints.select("doc_id", "fp")).select("doc_id", "component_id"))
+    firsts = close.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    heads = checkpoint(prints.join(firsts, "doc_id", "left_semi").select("doc_id", "low").dropDuplicates(["doc_id"]))
+    one = heads.select("doc_id", F.explode("low").alias("value"))
+    shared = one.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    met = checkpoint(one.join(shared, "value"))
+    pairs = _pairs(met.where(f"n <= {CROWD_LOW}"))
+    crowd = heads.join(met.where(f"n > {CROWD_LOW}").select("doc_id").distinct(), "doc_id", "left_semi")
+    two = crowd.select("doc_id", F.explode(F.expr("flatten(transform(low, x -> transform(filter(low, y -> y > x), y -> xxhash64(x, y))))")).alias("value"))
+    shared = two.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    met = checkpoint(two.join(shared, "value"))
+    star = met.where(f"n > {CROWD_LOW}").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a < b")
+    pairs = checkpoint(pairs.unionByName(_pairs(met.where(f"n <= {CROWD_LOW}"))).unionByName(star).distinct())
+    # the sets of the documents in pairs, from their texts
+    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 16)
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(hashes(t, size)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set"])
+
+    sets = texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y):
+            a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both >= similarity * (len(a) + len(b) - both))
+        return pd.Series(out)
+
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
+    edges = pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
+    roots = components(edges).select(F.col("node").alias("component_id"), "root")
+    return close.join(small(roots, 16), "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """The pairs of documents with one value; a value has at most CROWD_LOW."""
+    lists = met.groupBy("value").agg(F.sort_array(F.collect_list("doc_id")).alias("l"))
+    return lists.select(F.explode(F.expr("flatten(transform(l, a -> transform(filter(l, b -> b > a), b -> struct(a, b))))")).alias("e")).select("e.a", "e.b").distinct()

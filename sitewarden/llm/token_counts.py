@@ -14,20 +14,20 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
 from itertools import islice
+from operator import mul
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import texts
+from sitewarden.llm.common import slices, texts
 from sitewarden.llm.pretokens import Splitter
 
 CACHE = 400_000
-#: Pieces of a long text that are counted at once.
-BLOCK = 200_000
+#: Pieces of a long text that are counted at once; bytes of texts whose new pre-tokens are counted together.
+BLOCK, SLICE = 200_000, 2 << 20
 
 
 class PieceCounter:
@@ -51,26 +51,35 @@ class PieceCounter:
         self.split = Splitter(pattern)
         self.known: dict[str, int] = {}
 
-    def frequencies(self, text: str) -> Iterator[Counter]:
-        pieces = iter(self.split.pieces(text))
-        while block := Counter(islice(pieces, BLOCK)):
-            yield block
-
-    def count(self, text: str) -> int:
-        total, parts = 0, [text]
+    def frequencies(self, text: str) -> tuple[int, list[Counter]]:
+        """Added tokens in a text, and the frequencies of its pre-tokens, by blocks of a long text."""
+        parts, found = [text], []
         if self.added is not None and self.added.search(text):
             parts = self.added.split(text)
-            total = len(parts) - 1
         for part in parts:
-            for frequency in self.frequencies(part):
-                new = [p for p in frequency if p not in self.known]
-                if new:
-                    if len(self.known) + len(new) > CACHE:
-                        self.known.clear()
-                        new = list(frequency)
-                    self.known.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-                total += sum(n * self.known[p] for p, n in frequency.items())
-        return total
+            pieces = self.split.pieces(part)
+            if isinstance(pieces, list):
+                found.append(Counter(pieces))
+            else:
+                while block := Counter(islice(pieces, BLOCK)):
+                    found.append(block)
+        return len(parts) - 1, found
+
+    def learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(pieces)
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            self.known.update(zip(some, map(len, self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+
+    def count(self, batch: list[str]) -> list[int]:
+        """Tokens of each text: its frequencies joined to the pieces of the batch's distinct pre-tokens, and summed."""
+        rows = [self.frequencies(t) for t in batch]
+        self.learn(set().union(*(f for _, blocks in rows for f in blocks)))
+        pieces = self.known.__getitem__
+        return [added + sum(sum(map(mul, map(pieces, f), f.values())) for f in blocks) for added, blocks in rows]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,8 +87,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
 
     def run(batches):
         counter = PieceCounter(tokenizer, pattern)
-        for batch in batches:
-            tokens = [counter.count(t) for t in batch.column("text").to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
+            tokens = counter.count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))

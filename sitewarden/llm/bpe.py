@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitewarden.llm.common import slices, texts
+from sitewarden.llm.common import map_arrow, slices, texts
 from sitewarden.llm.pretokens import Splitter
 
 LONG = 128
@@ -162,4 +162,4 @@ def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([b for _, b in pairs], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded binary")

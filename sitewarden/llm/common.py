@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_ONE_IN = 200
 #: The most bytes of a measured side of a join that is broadcast.
 BROADCAST = 32 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of a few MB, and memory given back when a task ends.
+
+    The limits on batches are settings of the session, lowered here and left lowered: a worker and the JVM each hold a
+    batch, and the defaults (10,000 rows or 64 MB) are too much where several tasks share a small executor."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or BATCH_ROWS)))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
+def release() -> None:
+    """Give memory that is free but held back to the system: a worker lives on after its task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST) -> DataFrame:
     """df, to be broadcast if its rows are counted and found to take at most `limit` bytes, else to be shuffled."""
     df = checkpoint(df)

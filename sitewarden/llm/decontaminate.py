@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import texts
+from sitewarden.llm.common import map_arrow, texts
 
 Q, WINDOW, STRIDE, RATE, LEAST = 8, 64, 32, 0.08, 24
 BLOCK = 2 << 20
@@ -233,7 +233,7 @@ def _without(docs: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not by_item(own, t or "") for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def _against(rows: DataFrame, index: Index) -> DataFrame:
@@ -256,7 +256,7 @@ def _against(rows: DataFrame, index: Index) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(least, pa.int64()), pa.array(spans, kind)], ["doc_id", "item_id", "n_windows", "least_edits", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, item_id long, n_windows long, least_edits long, spans array<struct<start:long,stop:long>>")
+    return map_arrow(rows, run, "doc_id long, item_id long, n_windows long, least_edits long, spans array<struct<start:long,stop:long>>")
 
 
 def by_item(index: Index, text: str) -> dict[int, list[tuple[int, int, int, int]]]:

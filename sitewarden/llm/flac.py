@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import slices, texts
+from sitewarden.llm.common import map_arrow, slices, texts
 
 PAD, BLOCK, SLICE = 64, 1024, 1 << 20
 RATE, MAX_LPC, PRECISION = 8000, 4, 10
@@ -421,7 +421,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 media = encode_streams([r + bytes(-len(r) % PAD if r else PAD) for r in raw])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, n_bytes long, media binary")
 
 
 def features(samples: np.ndarray, points: np.ndarray, rice: np.ndarray) -> str:
@@ -446,7 +446,7 @@ def blocks(media: DataFrame) -> DataFrame:
                     columns = [pa.array([doc] * len(at), pa.int64()), np.arange(len(at), dtype=np.int32), at, points["offset"].astype(np.int64), points["samples"].astype(np.int32), pa.array(cut, pa.binary())]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "block", "sample_offset", "byte_offset", "n_samples", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, byte_offset long, n_samples int, pcm binary")
+    return map_arrow(media.select("doc_id", "media"), run, "doc_id long, block int, sample_offset long, byte_offset long, n_samples int, pcm binary")
 
 
 def describe(media: DataFrame) -> DataFrame:
@@ -465,4 +465,4 @@ def describe(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], [*kept, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
     digests = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    return digests.mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return map_arrow(digests, run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")

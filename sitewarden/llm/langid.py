@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewarden.llm.common import map_arrow
+
 BITS, ORDERS = 15, 3
 SAMPLE, LANGUAGES, FOLDS = 4000, 256, 5
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 1e-4
@@ -120,7 +122,7 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["feature", "n"])
 
-    summed = rows.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    summed = map_arrow(rows.select("text"), run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << BITS, np.int64)
     real = summed[summed.feature >= 0]
     out[real.feature.to_numpy()] = real.n.to_numpy()
@@ -150,7 +152,7 @@ def _sample(rows: DataFrame) -> list[tuple[str, bytes]]:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), batch.column("doc_id"), pa.array(packed, pa.binary())], ["lang", "place", "doc_id", "found"])
 
     chosen = rows.select("doc_id", "lang", "text", place.alias("place")).where(F.col("place") < share * 1_000_000)
-    taken = chosen.mapInArrow(run, "lang string, place long, doc_id long, found binary").toPandas().sort_values(["place", "doc_id", "lang"])
+    taken = map_arrow(chosen, run, "lang string, place long, doc_id long, found binary").toPandas().sort_values(["place", "doc_id", "lang"])
     taken = taken.groupby("lang", sort=False).head(each)
     return list(zip(taken["lang"], map(bytes, taken["found"])))
 
@@ -226,7 +228,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def describe(model: Model) -> str:
@@ -247,4 +249,4 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 kept.append(lang != "und" and score >= least)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, small, texts
+from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, small, texts
 
 CROWD = 64
 LOW, CROWD_LOW = 8, 16
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
             found = [fingerprint(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
 def grid_cells(values: np.ndarray) -> list[np.ndarray]:
@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
             low = [np.unique(hashes(t, size))[:LOW] for t in texts_of]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, size) for t in texts_of], pa.int64()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "fp", "low"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, low array<long>")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fp long, low array<long>")
 
 
 def hashes(text: str, size: int) -> np.ndarray:
@@ -166,7 +166,7 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
             sets = [np.unique(hashes(t, size)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set"])
 
-    sets = texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    sets = map_arrow(texts(docs).join(wanted, "doc_id", "left_semi"), run, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:

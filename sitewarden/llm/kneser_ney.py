@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewarden.llm.chunks import NO_ID, chunked, chunks, meet, unpack
-from sitewarden.llm.common import checkpoint, small
+from sitewarden.llm.common import checkpoint, map_arrow, small
 
 ORDER = 5
 QUANTILE, MARGIN, HELD = 0.99, 0.15, 10
@@ -76,7 +76,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
         if held:
             yield from out(*merged())
 
-    return rows.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return map_arrow(rows, run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _with_trust(batches):
@@ -155,15 +155,14 @@ def losses(rows: DataFrame, counts: DataFrame, limit: int = BROADCAST) -> DataFr
     schema = "doc_id long, lang string, n_bytes long, loss double"
     rows = rows.select("doc_id", "text", F.col("lang").alias("tag"))
     if table.count() * 12 <= limit:
-        local = table.toPandas().sort_values("g")
-        shared = rows.sparkSession.sparkContext.broadcast((local["g"].to_numpy(np.int64), local["logp"].to_numpy(np.float32)))
+        shared = rows.sparkSession.sparkContext.broadcast(_gather(table))
 
         def run(batches):
             keys, logp = shared.value
             for ids, raw, tags in chunked(batches, BATCH):
                 yield _score(np.array([NO_ID if i is None else i for i in ids], np.int64), np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8), tags, keys, logp)
 
-        return rows.mapInArrow(run, schema)
+        return map_arrow(rows, run, schema)
     packed = chunks(rows)
 
     def distinct(batches):
@@ -180,8 +179,8 @@ def losses(rows: DataFrame, counts: DataFrame, limit: int = BROADCAST) -> DataFr
                 data = np.stack([own["g"].to_numpy(np.int64), own["logp"].to_numpy(np.float64).view(np.int64)]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([data], pa.binary())], ["chunk", "reply"])
 
-    asked = packed.mapInArrow(distinct, "chunk string, g long").join(table, "g")
-    replies = asked.repartition("chunk").mapInArrow(reply, "chunk string, reply binary")
+    asked = map_arrow(packed, distinct, "chunk string, g long").join(table, "g")
+    replies = map_arrow(asked.repartition("chunk"), reply, "chunk string, reply binary")
 
     def score(key, blob, own):
         ids, offsets, raw, tags = unpack(blob)
@@ -192,6 +191,21 @@ def losses(rows: DataFrame, counts: DataFrame, limit: int = BROADCAST) -> DataFr
     return meet(packed, replies, score, schema)
 
 
+def _gather(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys and the values of a table of measured size, sent to the driver as a few packed rows."""
+
+    def run(batches):
+        for batch in batches:
+            packed = batch.column("g").to_numpy().tobytes(), batch.column("logp").to_numpy().tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], ["g", "logp"])
+
+    found = map_arrow(table.select("g", "logp"), run, "g binary, logp binary").collect()
+    keys = np.frombuffer(b"".join(bytes(r["g"]) for r in found), np.int64)
+    logp = np.frombuffer(b"".join(bytes(r["logp"]) for r in found), np.float32)
+    order = np.argsort(keys)
+    return keys[order], logp[order]
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, limit: int = BROADCAST) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, trusted, quality) for each row of docs (doc_id, text, lang);
     trusted_ids has the doc_ids of the trusted documents, repeats allowed."""

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden import schemas
-from sitewarden.functions import urls
+from sitewarden.functions.urls import owner as owner_of
+from sitewarden.functions.urls import parse as parse_url
 
 SCHEMA_VERSION = 4
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!doctype([^>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
@@ -99,7 +100,7 @@ def parse_link_header(value: str) -> tuple[list[str], list[dict]]:
 
 def extract(url: str, status: int, content_type: str, headers: list[tuple[str, str]], body: bytes, truncated: bool = False, duration_ms: int | None = None, redirects: list[dict] | None = None) -> dict:
     """The observation of one response, as the nested record of schemas.OBSERVATION."""
-    document = urls.parse(url)
+    document = parse_url(url)
     text, encoding, fallback, declared = decode_body(content_type, body)
     low = text.lower()
     page = {
@@ -127,11 +128,11 @@ def _scan(text: str, document, own: str, page: dict) -> tuple[list[dict], list[d
     counts = {"json_ld": 0, "microdata": 0, "rdfa": 0}
 
     def target(href: str):
-        return urls.parse(href, base or document) if href.strip() else None
+        return parse_url(href, base or document) if href.strip() else None
 
     def resource(kind: str, href: str, alt: str | None) -> None:
         found = target(href)
-        resources.append({"referring": own, "kind": kind, "href": href, "destination": found.text() if found else None, "alt": alt, "host_owner": urls.owner(document, found)})
+        resources.append({"referring": own, "kind": kind, "href": href, "destination": found.text() if found else None, "alt": alt, "host_owner": owner_of(document, found)})
 
     def structured(kind: str, raw: str, types: list[str]) -> None:
         page["structured"].append({"format": kind, "index": counts[kind], "raw": raw, "types": types})
@@ -170,7 +171,7 @@ def _scan(text: str, document, own: str, page: dict) -> tuple[list[dict], list[d
                 elif "src" in attr:
                     resource("script", attr["src"], None)
         elif name == "base" and base is None and attr.get("href"):
-            base = urls.parse(attr["href"], document)
+            base = parse_url(attr["href"], document)
         elif name == "html" and page["html_lang"] is None and "lang" in attr:
             page["html_lang"] = attr["lang"]
         elif name == "title":
@@ -200,7 +201,7 @@ def _scan(text: str, document, own: str, page: dict) -> tuple[list[dict], list[d
                 if not chrome:
                     chunks.append(re.sub(r"<[^>]*>", " ", inside))
             found = target(attr["href"])
-            links.append({"source": own, "href": attr["href"], "destination": found.text() if found else None, "anchor": anchor, "rel": attr.get("rel", ""), "element": name, "host_owner": urls.owner(document, found)})
+            links.append({"source": own, "href": attr["href"], "destination": found.text() if found else None, "anchor": anchor, "rel": attr.get("rel", ""), "element": name, "host_owner": owner_of(document, found)})
         elif name == "img" and "src" in attr:
             resource("image", attr["src"], attr.get("alt"))
         elif name in ("frameset", "frame"):

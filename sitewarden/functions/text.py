@@ -28,8 +28,13 @@ def first_non_empty(values: Column) -> Column:
 
 def shingles(words: Column, size: int) -> Column:
     """All runs of `size` words, joined by blanks; none if there are fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(own: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(own, i, size), " "))
+        return F.when(F.size(own) >= size, found).otherwise(F.array().cast("array<string>"))
+
+    # bound by an outer lambda, the words are made once and not again for each run
+    return F.transform(F.array(words), runs)[0]
 
 
 def has_token(values: Column, token: str) -> Column:

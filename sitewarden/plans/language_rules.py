@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitewarden.functions import text as T
 from sitewarden.functions import urls as U
@@ -25,6 +27,12 @@ WORDS = {
 TAG = r"^[a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?$"
 
 
+@F.pandas_udf(StringType())
+def _two_places(x: pd.Series) -> pd.Series:
+    """Two decimal places of the exact binary value; the JVM rounds its shortest decimal form."""
+    return x.map("{:.2f}".format, na_action="ignore")
+
+
 def valid_tag(tag: Column) -> Column:
     low = T.ascii_lower(F.trim(tag))
     return (low == "x-default") | low.rlike(TAG)
@@ -140,7 +148,7 @@ def mismatch(ev: Evidence, cfg: AuditConfig) -> Output:
     f = F.col("found")
     specs = [
         Spec(rule, F.col("page_lang") != F.col("self_lang"), _say(F.col("identity"), " declared"), _say("The page says ", F.col("page_lang"), ", its annotation ", F.col("self_lang")), "Let the declarations agree.", [pointer("identity", "html_lang", F.col("html_lang")), pointer("identity", "hreflang", F.col("listing"))]),
-        Spec(rule, (f["hits"] >= hits) & (f["confidence"] + 2.220446049250313e-16 >= confidence) & (f["lang"] != F.col("declared")), _say(F.col("identity"), " content"), _say("The page says ", F.col("declared"), ", its text reads like ", f["lang"]), "Review text and annotations; the detection is a heuristic.", [pointer("identity", "text_language", _say(f["lang"], " confidence=", F.format_string("%.2f", f["confidence"])))]),
+        Spec(rule, (f["hits"] >= hits) & (f["confidence"] + 2.220446049250313e-16 >= confidence) & (f["lang"] != F.col("declared")), _say(F.col("identity"), " content"), _say("The page says ", F.col("declared"), ", its text reads like ", f["lang"]), "Review text and annotations; the detection is a heuristic.", [pointer("identity", "text_language", _say(f["lang"], " confidence=", _two_places(f["confidence"])))]),
     ]
     drafts = [d for s in specs for d in evaluate_specs(rows, [s], ev.page_counts, "n_complete").drafts]
     return Output([_gate(ev, rule, rows)], drafts)

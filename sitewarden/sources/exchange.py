@@ -44,7 +44,7 @@ def _guard(rows: DataFrame) -> None:
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header; text that a spreadsheet would evaluate gets a quote before it."""
     _guard(rows)
-    rows.select(*(neutralise_formula(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes)).write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', quoteAll=False)
+    rows.select(*(neutralise_formula(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes)).write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(report: Report, urls: DataFrame, run_id: int, path: str) -> None:

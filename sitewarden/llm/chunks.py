@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 8 << 20
+from sitewarden.llm.common import map_arrow
+
+CHUNK = 4 << 20
 NO_ID = -(1 << 63)
 
 
@@ -29,7 +31,7 @@ def pack(ids: list, raw: list[bytes], tags: list[str | None] | None = None) -> t
     whole = struct.pack("<q", len(ids)) + np.array(numbers, np.int64).tobytes() + b"".join(coded) + b"".join(raw)
     import zstandard
 
-    return hashlib.blake2b(whole, digest_size=16).hexdigest(), zstandard.ZstdCompressor(level=3).compress(whole)
+    return hashlib.blake2b(whole, digest_size=16).hexdigest(), zstandard.ZstdCompressor(level=1).compress(whole)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
@@ -73,7 +75,7 @@ def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
             key, blob = pack(ids, raw, tags)
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
-    return rows.mapInArrow(run, "chunk string, blob binary")
+    return map_arrow(rows, run, "chunk string, blob binary")
 
 
 def meet(packed: DataFrame, replies: DataFrame, run: Callable[[str, bytes, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -92,4 +94,4 @@ def meet(packed: DataFrame, replies: DataFrame, run: Callable[[str, bytes, list[
                     yield from run(key, data.as_py(), own)
 
     both = replies.select("chunk", F.lit(0).alias("kind"), F.col("reply").alias("data")).unionByName(packed.select("chunk", F.lit(1).alias("kind"), F.col("blob").alias("data")))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(each, schema)
+    return map_arrow(both.repartition("chunk").sortWithinPartitions("chunk", "kind"), each, schema)

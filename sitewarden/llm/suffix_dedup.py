@@ -16,9 +16,10 @@ repeat where its anchor repeats, so suffixes are brought together by anchors.
    with its anchor is an interval by itself.
 3. The least doc_ids go back to the chunks, which mark and remove.
 
-An anchor that more than CROWD chunks have (a line or a passage that documents everywhere share) sends its windows one
-by one, to buckets by their own content, so that what stands around it doesn't meet in one task. Every string that is
-sent is one row of a chunk however often the chunk has it. Buckets grow in number with the input.
+Every string is sent once by a chunk, however often the chunk has it. An anchor that more than CROWD chunks have, or that
+a chunk has more than LOCAL times (a line or a passage that documents everywhere share), sends its windows one by one,
+to buckets by their own content, so that what stands around it doesn't meet in one task. Buckets grow in number with
+the input.
 
 Defined cases: null texts are empty; texts shorter than DEPTH keep everything; null doc_ids count as larger than all
 others and don't remove each other; rows with one doc_id, repeated ones too, never remove each other; an empty table
@@ -35,11 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.llm.chunks import NO_ID, chunks, meet, unpack
-from sitewarden.llm.common import checkpoint
+from sitewarden.llm.common import checkpoint, map_arrow
 
 DEPTH, Q = 50, 24
-CROWD = 48
+CROWD, LOCAL = 4096, 400
 SHARDS = 2
+STEP = 1 << 15
 #: Bytes of text a bucket answers for; at least 2**6 buckets.
 PER_BUCKET = 8 << 20
 LAST = (1 << 63) - 1
@@ -55,42 +57,61 @@ def _words(raw: np.ndarray) -> np.ndarray:
 
 
 def _mix(words: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(words[0]), np.uint64)
-    for i, w in enumerate(words):
-        h = (h ^ w) * _K[i % 3]
+    h = words[0] * _K[0]
+    for i, w in enumerate(words[1:], 1):
         h ^= h >> np.uint64(29)
+        h ^= w
+        h *= _K[i % 3]
+    h ^= h >> np.uint64(29)
     h *= _K[3]
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def runs(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, count, document) of the runs: windows first to first + count - 1 have this anchor."""
+    """(anchor, first, count, document) of the runs: windows first to first + count - 1 have this anchor.
+
+    Works through the text in steps that stay in a processor's cache."""
     n = len(raw) - DEPTH + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = _words(raw)
-    m = len(raw) - Q + 1
-    key = _mix([words[8 * i : 8 * i + m] for i in range(Q // 8)])
-    #: The low 6 bits hold the place, which breaks ties: any of the equal anchors serves.
-    key = (key & ~np.uint64(63)) | (np.arange(m, dtype=np.uint64) & np.uint64(63))
-    width, wide = 1, DEPTH - Q + 1
-    while 2 * width <= wide:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    if width < wide:
-        key = np.minimum(key[: n], key[wide - width : wide - width + n])
-    place = np.arange(n)
-    anchor = place + ((key[:n].astype(np.int64) - place) & 63)
-    edge = np.zeros(n + 1, np.int64)  # windows that reach over the end of a document
-    ends = offsets[1:-1]
-    np.add.at(edge, np.clip(ends - DEPTH + 1, 0, n), 1)
-    np.add.at(edge, np.clip(ends, 0, n), -1)
-    valid = np.cumsum(edge[:-1]) == 0
-    same = np.zeros(n + 1, bool)
-    same[1:-1] = (anchor[1:] == anchor[:-1]) & valid[1:] & valid[:-1]
-    first = np.flatnonzero(valid & ~same[:-1])
-    last = np.flatnonzero(valid & ~same[1:])
-    return key[first] >> np.uint64(6), first, last - first + 1, np.searchsorted(offsets, first, side="right") - 1
+    valid = np.ones(n + 1, bool)  # windows that don't reach over the end of a document
+    valid[n] = False
+    for end in offsets[1:-1].tolist():
+        valid[max(0, end - DEPTH + 1) : end] = False
+    words, wide = _words(raw), DEPTH - Q + 1
+    anchors, first, last = [], [], []
+    before, open_run = -1, False  # the anchor's place of the window before, and whether a run has it
+    for a in range(0, n, STEP):
+        b = min(a + STEP, n)
+        m = b - a + wide - 1
+        key = _mix([words[a + 8 * i : a + 8 * i + m] for i in range(Q // 8)])
+        # the low 6 bits hold the place, which breaks ties: any of the equal anchors serves
+        key &= ~np.uint64(63)
+        key |= np.arange(a, a + m, dtype=np.uint64) & np.uint64(63)
+        width = 1
+        while 2 * width <= wide:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        key = np.minimum(key[: b - a], key[wide - width : wide - width + b - a])
+        place = np.arange(a, b)
+        anchor = place + ((key.astype(np.int64) - place) & 63)
+        ok = valid[a:b]
+        new = np.empty(b - a, bool)
+        new[0] = not open_run or anchor[0] != before
+        new[1:] = (anchor[1:] != anchor[:-1]) | ~ok[:-1]
+        starts = np.flatnonzero(ok & new)
+        anchors.append(key[starts] >> np.uint64(6))
+        first.append(starts + a)
+        ends = np.empty(b - a, bool)  # the window before ended a run
+        ends[0] = open_run and (new[0] or not ok[0])
+        ends[1:] = ok[:-1] & (new[1:] | ~ok[1:])
+        last.append(np.flatnonzero(ends) + a - 1)
+        before, open_run = anchor[-1], bool(ok[-1])
+    if open_run:
+        last.append(np.array([n - 1]))
+    starts, stops = np.concatenate(first), np.concatenate(last)
+    return np.concatenate(anchors), starts, stops - starts + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
 class Chunk:
@@ -106,11 +127,12 @@ class Chunk:
         self.codes, self.code_of = np.unique(code, return_inverse=True)
 
     def anchors(self):
-        """(bucket, anchors of 5 bytes each, sorted)."""
+        """(bucket, their number, anchors of 5 bytes each, sorted, and a bit for those that the chunk has often)."""
         bucket = (self.codes >> np.uint64(40)).astype(np.int64)
+        often = np.bincount(self.code_of, minlength=len(self.codes)) > LOCAL
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-            yield int(bucket[a]), self.codes[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            yield int(bucket[a]), struct.pack("<q", b - a) + self.codes[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + np.packbits(often[a:b]).tobytes()
 
     def choose(self, answers: list[bytes]) -> None:
         """Keep the runs whose anchor repeats, here or elsewhere; split those of crowded anchors into windows."""
@@ -270,15 +292,22 @@ def least_by_window(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]
 def _repeats(table: pa.Table) -> pa.Table:
     """Which anchors of a bucket more than one row has, as two bits for each."""
     bucket = table.column("bucket")[0].as_py()
-    rows = [np.frombuffer(b.as_py(), np.uint8).reshape(-1, 5) for b in table.column("blob")]
+    rows, often = [], []
+    for blob in table.column("blob"):
+        data = blob.as_py()
+        (n,) = struct.unpack_from("<q", data)
+        rows.append(np.frombuffer(data, np.uint8, 5 * n, 8).reshape(-1, 5))
+        often.append(np.unpackbits(np.frombuffer(data, np.uint8, -1, 8 + 5 * n))[:n].astype(bool))
     flat = np.zeros((sum(map(len, rows)), 8), np.uint8)
     flat[:, :5] = np.concatenate(rows)
-    _, which, n = np.unique(flat.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+    values, which, n = np.unique(flat.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+    crowded = n > CROWD
+    crowded[which[np.concatenate(often)]] = True
     ends = np.cumsum([len(r) for r in rows])
     out = []
     for a, b in zip([0, *ends[:-1]], ends):
-        own = n[which[a:b]]
-        out.append(b"\x00" + struct.pack("<qq", bucket, b - a) + np.packbits(np.concatenate([own > 1, own > CROWD])).tobytes())
+        own = which[a:b]
+        out.append(b"\x00" + struct.pack("<qq", bucket, b - a) + np.packbits(np.concatenate([n[own] > 1, crowded[own]])).tobytes())
     return pa.table({"chunk": table.column("chunk"), "reply": pa.array(out, pa.binary())})
 
 
@@ -345,7 +374,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield _cut(chunk, chunk.removed([a for a in answers if a[0] == 1]))
 
     sent = "bucket long, chunk string, blob binary"
-    repeats = packed.mapInArrow(send, sent).groupBy("bucket").applyInArrow(_repeats, "chunk string, reply binary")
+    repeats = map_arrow(packed, send, sent).groupBy("bucket").applyInArrow(_repeats, "chunk string, reply binary")
     repeats = checkpoint(repeats)
     strings = meet(packed, repeats, send_strings, sent)
     least = strings.groupBy("bucket").applyInArrow(_resolve, "chunk string, reply binary")

@@ -261,3 +261,20 @@ def link_hrefs(markup: Column) -> Column:
     return F.regexp_extract_all(markup, F.lit(r'(?is)<a\s[^>]*href="([^"]*)"'), F.lit(1))
 
 
+
+
+def navigation_links(text: str, url: str) -> list[tuple[str, str | None]]:
+    """(href, address) of the anchors of a page, for a crawl: comments, scripts and styles are skipped, headings and
+    other elements are not consumed."""
+    document, base, found = parse_url(url), None, []
+    body = re.sub(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1[^>]*>|\Z)", " ", text, flags=re.S | re.I)
+    for m in re.finditer(r"<(a|base)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", body, re.I):
+        href = attributes(m[2]).get("href")
+        if href is None:
+            continue
+        if m[1].lower() == "base":
+            base = base or parse_url(href, document)
+        else:
+            target = parse_url(href, base or document) if href.strip() else None
+            found.append((href, target.text() if target else None))
+    return found

@@ -119,3 +119,17 @@ def best_rules(urls: DataFrame, rules: DataFrame, path: Column) -> DataFrame:
     hits = urls.select("identity", path.alias("_path")).join(F.broadcast(rules), F.expr("_path rlike regex"))
     best = hits.groupBy("identity").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow", "pattern")).alias("best"))
     return urls.join(best, "identity", "left").withColumn("allowed", F.coalesce("best.allow", F.lit(True))).withColumn("pattern", F.col("best.pattern")).drop("best")
+
+
+def decisions(urls: DataFrame, fetch_kind: str, group: dict | None, path: Column, bypass: bool = False) -> DataFrame:
+    """urls with allowed and reason. Without a robots.txt that could be read everything is allowed; an owner's bypass
+    turns a block into an allowance that says so."""
+    if fetch_kind != "fetched" or not group or not group["rules"]:
+        reason = {"not_found": "robots.txt not found", "unavailable": "robots.txt unavailable"}.get(fetch_kind, "no rule")
+        return urls.withColumn("allowed", F.lit(True)).withColumn("reason", F.lit(reason))
+    rules = urls.sparkSession.createDataFrame([(r["allow"], r["pattern"], to_regex(r["pattern"])) for r in group["rules"] if r["pattern"]], "allow boolean, pattern string, regex string")
+    found = best_rules(urls, rules, path)
+    said = F.when(F.col("pattern").isNull(), "no rule").otherwise(F.concat(F.when(F.col("allowed"), "Allow: ").otherwise("Disallow: "), F.col("pattern")))
+    if bypass:
+        return found.withColumn("reason", F.when(F.col("allowed"), said).otherwise(F.concat(F.lit("bypassed "), said))).withColumn("allowed", F.lit(True)).drop("pattern")
+    return found.withColumn("reason", said).drop("pattern")

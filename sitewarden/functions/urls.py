@@ -239,3 +239,24 @@ def exclusion(url: Column, origin: str, allowed: list[str], excluded: list[str],
     if ignored:
         reason = reason.when(F.arrays_overlap(keys, F.array(*map(F.lit, ignored))), "Ignored parameter")
     return reason
+
+
+@F.pandas_udf(StringType())
+def _strip_udf(urls: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([None if u is None else without_parameters(u, n.split("\n")) for u, n in zip(urls, names)], dtype=object)
+
+
+def strip_parameters(url: Column, names: list[str]) -> Column:
+    """The URL without the listed query parameters; URLs that name none of them stay in the JVM."""
+    named = F.lit(False)
+    for name in names:
+        named = named | F.contains(url, F.lit(f"{name}="))
+    return F.coalesce(F.when(~named, url), _strip_udf(F.when(named, url), F.lit("\n".join(names))), url)
+
+
+def classify_href(base: Column, href: Column, left_out: Column) -> Column:
+    """What a crawl makes of a reference: (original, identity, skip_reason). left_out is the profile's reason for the
+    resolved address, an exclusion() of it."""
+    target = resolve_of(base, href)
+    reason = F.when(target.isNull(), "Malformed URL").when(~scheme_of(target).isin("http", "https"), "Unsupported scheme").otherwise(left_out)
+    return F.struct(href.alias("original"), target.alias("identity"), reason.alias("skip_reason"))

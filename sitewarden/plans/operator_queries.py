@@ -12,7 +12,7 @@ from sitewarden.functions import html, jsonld, robots, sitemaps
 from sitewarden.functions import text as T
 from sitewarden.functions import urls as U
 from sitewarden.operators import algebra, graph, near_duplicates
-from sitewarden.plans import baseline, catalogue, engine, history, rule_queries
+from sitewarden.plans import baseline, catalogue, engine, history, presentation, rule_queries
 from sitewarden.plans.config import Profile
 from sitewarden.plans.language_rules import WORDS, detect
 from sitewarden.sources import derived, exchange, store
@@ -107,7 +107,7 @@ def sitemap_locations(spark, folder):
     (listed,) = _views(spark, folder, "v_sitemap_urls")
     spark.udtf.register("sitemap_locations", sitemaps.SitemapLocations)
     loc = F.concat(F.lit("<url><loc>"), F.replace("original", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    files = listed.groupBy(F.pmod(F.crc32("original"), F.lit(7)).alias("file")).agg(F.encode(F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.sort_array(F.collect_list(loc)), ""), F.lit("</urlset>")), "utf-8").alias("body"))
+    files = listed.groupBy((F.length("original") % 7).alias("file")).agg(F.encode(F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.sort_array(F.collect_list(loc)), ""), F.lit("</urlset>")), "utf-8").alias("body"))
     return spark.sql("select file, kind, count(loc) as n, min(loc) as first from {files}, lateral sitemap_locations(body) group by file, kind", files=files)
 
 
@@ -160,7 +160,8 @@ def _slices(spark, folder):
         return keyed.select(F.concat(F.lit("rule."), "event_type").alias("rule_id"), F.concat(F.lit("https://shop.example/u/"), F.col("user_id").cast("string")).alias("entity_key"), F.lit("error").alias("severity"), F.col("n").cast("string").alias("fact"), point.alias("evidence"), (F.col("user_id") % 17 == 0).alias("suppressed"))
 
     users = events.select("user_id").distinct()
-    urls = users.select(F.concat(F.lit("https://shop.example/u/"), F.col("user_id").cast("string")).alias("original")).withColumn("identity", F.col("original")).withColumn("state", F.expr("case when crc32(original) % 5 = 0 then 'excluded' when crc32(original) % 5 = 1 then 'pending' else 'fetched' end"))
+    address = F.concat(F.lit("https://shop.example/u/"), F.col("user_id").cast("string"))
+    urls = users.select(address.alias("original"), address.alias("identity"), F.expr("case when user_id % 5 = 0 then 'excluded' when user_id % 5 = 1 then 'pending' else 'fetched' end").alias("state"))
     outcomes = spark.createDataFrame([(f"rule.{t}", "incomplete" if t == "click" else "findings") for t in ("click", "error", "purchase", "signup", "view")], "rule_id string, state string")
     a = history.RunView(1, half("day(ts) <= 15"), outcomes, urls, PROFILE)
     return a, history.RunView(2, half("day(ts) > 15"), outcomes, urls, PROFILE)
@@ -279,7 +280,45 @@ def event_sessions(spark, folder):
     return admission.sessions(table(spark, folder, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
+def href_classes(spark, folder):
+    (links,) = _views(spark, folder, "v_links")
+    target = U.resolve_of(F.col("identity"), F.col("href"))
+    rows = links.select("identity", "seq", U.classify_href(F.col("identity"), F.col("href"), history.profile_exclusion(PROFILE, target)).alias("c"))
+    return rows.groupBy("c.skip_reason").agg(F.count("*").alias("n"), F.count_distinct("c.identity").alias("targets"))
+
+
+def parameters_stripped(spark, folder):
+    (pages,) = _views(spark, folder, "v_pages")
+    return pages.select("identity", U.strip_parameters(F.col("identity"), ["b", "d"]).alias("stripped"))
+
+
+def robots_decisions(spark, folder):
+    (urls,) = _views(spark, folder, "v_urls")
+    group = robots.select_group(robots.parse(ROBOTS), "otherbot")
+    return robots.decisions(urls.select("identity").distinct(), "fetched", group, U.path_of(F.col("identity")), bypass=True).groupBy("allowed", "reason").agg(F.count("*").alias("n"))
+
+
+def urls_filtered(spark, folder):
+    return presentation.filtered_urls(rule_queries.site(spark, folder, False).urls, "CONNECTION").select("original", "state")
+
+
+def page_inlinks(spark, folder):
+    (links,) = _views(spark, folder, "v_links")
+    return presentation.inlinks(links.withColumnRenamed("identity", "source"), "https://shop.example/p/8")
+
+
+def sitemap_provenance(spark, folder):
+    site = rule_queries.site(spark, folder, False)
+    return admission.stamp_sitemap_provenance(site.urls, site.sitemap_urls).groupBy("state", "via_sitemap").agg(F.count("*").alias("n"))
+
+
+def investigation(spark, folder):
+    report = engine.evaluate(rule_queries.site(spark, folder, False), rules=["crawl.http_4xx", "meta.frames", "url.underscores"])
+    return presentation.investigation(report).select("severity", "rule_id", "label", "findings")
+
+
 _NAMES = (
+    href_classes, parameters_stripped, robots_decisions, urls_filtered, page_inlinks, sitemap_provenance, investigation,
     url_identity, url_parts, scope_exclusion, html_title_h1, html_extract, html_links_resolved, state_counters, crawl_set_semi, blocked_anti,
     target_index_full_outer, resources_grouped_referrers, robots_best_rule, robots_parse, sitemap_locations, shingle_df, exact_duplicates,
     fnv1a64, near_duplicate_groups, language_detect, graph_depth, graph_inbound, graph_components, history_diff, history_counts, history_groups,
@@ -295,6 +334,12 @@ def queries():
 _WORDS = ", ".join(f"('{lang}', '{word}')" for lang, own in WORDS.items() for word in own.split())
 _TOKENS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "[\\s   -     　\u0085]+"
+_DIFF = """with a as (select concat('rule.', event_type) as rule_id, user_id, count(*) as n from events where day(ts) <= 15 group by event_type, user_id),
+b as (select concat('rule.', event_type) as rule_id, user_id, count(*) as n from events where day(ts) > 15 group by event_type, user_id),
+d as (select rule_id, concat('https://shop.example/u/', user_id) as entity_key, coalesce(b.n, a.n) as n, cast(coalesce(b.n, a.n) as varchar) as fact,
+ case when b.n is not null and user_id % 17 = 0 then 'suppressed' when b.n is not null and a.n is not null then 'persistent' when b.n is not null then 'new'
+  when user_id % 5 = 0 then 'out_of_scope' when user_id % 5 = 1 or rule_id = 'rule.click' then 'not_rechecked' else 'resolved' end as change from a full join b using (rule_id, user_id))
+"""
 _HALVES = """a as (select concat('rule.', event_type) as rule_id, concat('https://shop.example/u/', user_id) as entity_key, count(*) as n, user_id % 17 = 0 as suppressed from events where day(ts) <= 15 group by event_type, user_id),
 b as (select concat('rule.', event_type) as rule_id, concat('https://shop.example/u/', user_id) as entity_key, count(*) as n, user_id % 17 = 0 as suppressed from events where day(ts) > 15 group by event_type, user_id)"""
 
@@ -320,6 +365,11 @@ ORACLES: dict[str, str] = {
     "graph_depth": prelude("v_links", "v_cp").replace("with ", "with recursive ", 1).rstrip() + f", e as (select distinct l.identity as src, dest_key as dst from v_links l join v_cp c on c.identity = l.identity where element = 'a' and host_owner = 'same_host' and dest_key <> l.identity), b(node, depth) as (select '{derived.START}', 0 union select e.dst, b.depth + 1 from b join e on e.src = b.node where b.depth < 12) select node, min(depth) as depth from b group by node",
     "graph_inbound": prelude("v_links", "v_cp") + "select dest_key as node, count(distinct l.identity) as n, min(l.identity) as referrer from v_links l join v_cp c on c.identity = l.identity where element = 'a' and host_owner = 'same_host' and dest_key <> l.identity group by dest_key",
     "graph_components": "select node, case when node % 10 < 7 then cast(node - node % 10 - 1 as bigint) else node end as root from (select p_partkey as node from part where p_partkey > 0 and p_partkey % 10 < 7 union select p_partkey - 1 from part where p_partkey > 0 and p_partkey % 10 < 7) where node >= 0 and node < 0 union all select node, greatest(cast(floor((node + 1) / 10.0) * 10 - 1 as bigint), 0) as root from (select p_partkey as node from part where p_partkey > 0 and p_partkey % 10 < 7 union select p_partkey - 1 from part where p_partkey > 0 and p_partkey % 10 < 7)",
+    "history_diff": _DIFF + "select rule_id, entity_key, change, fact from d",
+    "history_counts": _DIFF + "select " + ", ".join(f"count(*) filter (where change = '{c}') as {c}" for c in ("new", "persistent", "resolved", "suppressed", "out_of_scope", "not_rechecked")) + ", count(*) filter (where change in ('persistent', 'resolved', 'suppressed')) as rechecked_baseline, count(*) as total from d",
+    "history_groups": _DIFF + "select 'template' as kind, rule_id, concat('n', n % 5) as key, count(*) as n from d group by rule_id, d.n % 5 having count(*) > 1",
+    "sitemap_locations": prelude("v_sitemap_urls") + "select length(original) % 7 as file, 'urlset' as kind, count(*) as n, min(original) as first from v_sitemap_urls group by all",
+    "html_links_resolved": "select page_id, count(*) as resolved, count(*) as http from (select page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"([^\"]*)\"', 1)) as href from pages) group by page_id",
     "suppressions_apply": "with " + _HALVES + ", m as (select rule_id, rule_id = 'rule.view' or entity_key = 'https://shop.example/u/3' or (rule_id = 'rule.click' and entity_key = 'https://shop.example/u/7') as suppressed from a) select rule_id, suppressed, count(*) as n from m group by all",
     "finding_dedupe": "select cast(l_partkey as varchar) as entity_key, cast(min(l_orderkey) as varchar) as fact from lineitem group by l_partkey",
     "export_rows": prelude("v_pages", "v_urls") + ", c as (select count(*) filter (where state = 'fetched') as fetched, count(*) as discovered from v_urls) select cast(7 as bigint) as run_id, 'crawl.http_4xx' as rule_id, identity as entity_key, 'error' as severity, 'page' as unit, concat(identity, '#http_status: ', status) as evidence, fetched, discovered, '''=crawl.http_4xx' as safe from v_pages, c where status between 400 and 499 and identity in (select identity from v_urls where state = 'fetched')".replace(", c as", "", 0),
@@ -332,6 +382,15 @@ ORACLES: dict[str, str] = {
     "last_event_state": "select user_id as identity, case max_by(event_type, event_id) when 'click' then 'in_flight' when 'error' then 'failed' when 'purchase' then 'fetched' when 'signup' then 'pending' else 'blocked' end as state from events group by user_id",
     "streaming_event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all",
     "event_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events), s as (select user_id, sum(new) over (partition by user_id order by ts) as k from g) select user_id, count(distinct k) as sessions, max(n) as longest from (select user_id, k, count(*) as n from s group by all) group by user_id",
+    "href_classes": prelude("v_links", "v_pages") + """select skip_reason, count(*) as n, count(distinct target) as targets from (select dest_key as target, case when destination is null then 'Malformed URL' when destination like 'mailto:%' then 'Unsupported scheme'
+      when destination not like 'https://shop.example/%' then 'Outside configured origin' when destination like 'https://shop.example/p/1%' then 'Excluded path prefix' when destination like '%&c=%' then 'Ignored parameter' end as skip_reason from v_links) group by skip_reason""",
+    "parameters_stripped": prelude("v_pages") + "select identity, replace(replace(replace(identity, '&b=2', ''), '&d=4', ''), 'e=5/', 'e=5%2F') as stripped from v_pages",
+    "robots_decisions": prelude("v_urls") + "select true as allowed, 'bypassed Disallow: /' as reason, count(distinct identity) as n from v_urls",
+    "urls_filtered": prelude("v_urls") + "select original, state from v_urls where lower(concat(original, ' ', state, ' ', reason)) like '%connection%'",
+    "page_inlinks": prelude("v_links") + "select identity as source, href, anchor from v_links where href = 'https://shop.example/p/8' or destination = 'https://shop.example/p/8'",
+    "sitemap_provenance": prelude("v_urls", "v_sitemap_urls") + "select state, identity in (select identity from v_sitemap_urls) as via_sitemap, count(*) as n from v_urls group by all",
+    "investigation": prelude("v_pages", "v_urls", "v_cp") + """select 'error' as severity, 'crawl.http_4xx' as rule_id, 'HTTP 4xx' as label, count(*) as findings from v_pages where status between 400 and 499 and identity in (select identity from v_urls where state = 'fetched')
+      union all select 'warning', 'meta.frames', 'Frames', count(*) from v_cp where has_frames union all select 'warning', 'url.underscores', 'URL underscores', count(*) from v_pages where regexp_extract(identity, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '%\\_%' escape '\\'""",
 }
 for _name in ("export_rows", "admission_states", "graph_depth"):
     ORACLES[_name] = ORACLES[_name].replace("\n, ", ",\n", 1)

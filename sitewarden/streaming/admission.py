@@ -81,3 +81,16 @@ def settle(windows: DataFrame, folder: str) -> DataFrame:
     query = windows.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return windows.sparkSession.read.parquet(f"{folder}/result")
+
+
+def stamp_sitemap_provenance(records: DataFrame, listed: DataFrame) -> DataFrame:
+    """records with via_sitemap true for the identities that a sitemap lists."""
+    keys = listed.select("identity").where("identity is not null").distinct().withColumn("_listed", F.lit(True))
+    return records.join(keys, "identity", "left").withColumn("via_sitemap", F.col("via_sitemap") | F.coalesce("_listed", F.lit(False))).drop("_listed")
+
+
+def secondary_targets(observations: DataFrame, seen: DataFrame) -> DataFrame:
+    """Addresses to probe besides pages: resources and annotated addresses over HTTPS that no record has yet."""
+    found = observations.select(F.explode(F.concat(F.transform("resources", lambda r: r["destination"]), F.transform("page.hreflangs", lambda h: h["href"]))).alias("identity"))
+    found = found.where(F.col("identity").startswith("https://")).distinct()
+    return found.join(seen.select("identity").distinct(), "identity", "left_anti")

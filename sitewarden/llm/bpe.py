@@ -7,8 +7,9 @@ until no word has a pair left. An ordered aggregation gives each word's ids, ano
 and gives its bytes again. A text's ids are its words' ids in order; likewise its decoded bytes.
 
 The recursion makes a row per position and step, the square of a word's length; words over LONG bytes are therefore
-merged by a priority queue with the same order of merges. Words are looked up among those already encoded; the table
-of these is emptied when it holds CACHE words. Neither changes a result.
+merged by a priority queue with the same order of merges. Words are looked up among those that the worker has already
+encoded, in this task or an earlier one; the table of these is emptied when it holds CACHE words. Neither changes a
+result.
 
 Defined cases: a null text is empty and has no ids; special tokens are ordinary text; invalid ids fail in decode();
 repeated rows are encoded one by one; an empty table gives an empty result.
@@ -23,27 +24,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitewarden.llm.common import map_arrow, slices, texts
+from sitewarden.llm.common import map_arrow, slices, texts, worker_cache
 from sitewarden.llm.pretokens import Splitter
 
 LONG = 128
-CACHE = 300_000
+CACHE = 600_000
 #: Words of one recursive query, and bytes of text whose words are encoded together.
 WORDS, SLICE = 20_000, 4 << 20
 
-#: One row a token and step of each word that can still change; a word's last step has its result.
+#: One row a token and step of each word that can still change; a word's last step has its result. A token's key is its
+#: word's number and its place in it, 10 bits: one integer to sort by. It stays with the first byte of what it covers.
 ENCODE = """
-with recursive step(i, w, p, t) as (
-  select 0, w, p, t from bytes_in
+with recursive step(i, k, t) as (
+  select 0, k, t from bytes_in
   union all
-  (with pairs as (select i, w, p, t, lead(t) over k as t2, lead(p) over k as p2 from step window k as (partition by w order by p)),
-        best as (select pairs.w, arg_min(struct_pack(p := pairs.p, p2 := pairs.p2, id := m.id), m.id::bigint * 4294967296 + pairs.p) as b
-                 from pairs join merges m on m.l = pairs.t and m.r = pairs.t2 group by pairs.w)
-   select pairs.i + 1, pairs.w, pairs.p, case when best.b.p = pairs.p then best.b.id else pairs.t end
-   from pairs join best on best.w = pairs.w where pairs.p <> best.b.p2)
-), last as (select w, max(i) as i from step group by w)
-select step.w as w, list(step.t order by step.p) as ids, string_agg(v.hex, '' order by step.p) as hex
-from step join last on last.w = step.w and last.i = step.i join vocab v on v.id = step.t group by step.w
+  (with pairs as (select i, k, t, lead(t) over o as t2, lead(k) over o as k2, lag(k) over o as k0 from step window o as (order by k)),
+        best as (select pairs.k >> 10 as w, min(m.id * 1024 + (pairs.k & 1023)) as b
+                 from pairs join merges m on m.pair = pairs.t * 65536 + pairs.t2 where pairs.k2 >> 10 = pairs.k >> 10 group by 1)
+   select pairs.i + 1, pairs.k, case when (b & 1023) = (pairs.k & 1023) then b >> 10 else pairs.t end
+   from pairs join best on w = pairs.k >> 10 where not (coalesce(pairs.k0 >> 10, -1) = w and (pairs.k0 & 1023) = (b & 1023)))
+), last as (select k >> 10 as w, max(i) as i from step group by 1)
+select step.k, step.t from step join last on last.w = step.k >> 10 and last.i = step.i order by step.k
 """
 DECODE = "select w, string_agg(v.hex, '' order by p) as hex from ids_in join vocab v on v.id = ids_in.t group by w"
 
@@ -61,14 +62,18 @@ class Codec:
 
         self.ranks = read_ranks(path)
         self.split = Splitter(pattern)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.bytes: dict[str, bytes] = {}
         ranks = self.ranks
-        pairs = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int32).reshape(-1, 3)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self.con.register("_m", pa.table({"l": pairs[:, 0], "r": pairs[:, 1], "id": pairs[:, 2]}))
+        pairs = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int64).reshape(-1, 3)
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        if len(ranks) > 65536:
+            raise ValueError("the merge table packs two ids of 16 bits")
+        self.con.register("_m", pa.table({"pair": pairs[:, 0].astype(np.int64) * 65536 + pairs[:, 1], "id": pairs[:, 2].astype(np.int64)}))
         self.con.register("_v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.con.execute("create table merges as select * from _m")
         self.con.execute("create table vocab as select * from _v")
+        self.last = max(ranks.values())
         self.byte_ids = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
 
     def _queue(self, word: bytes) -> list[int]:
@@ -93,67 +98,75 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Put the ids and the decoded bytes of words into the table."""
-        rest: list[tuple[str, bytes]] = []
-        whole: list[tuple[str, list[int]]] = []
+        rest: list[tuple[bytes, str]] = []
+        whole: list[str] = []
+        flat: list[int] = []
+        sizes: list[int] = []
         for word in words:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                whole.append((word, [rank]))
+                ids = [rank]
             elif len(raw) > LONG:
-                whole.append((word, self._queue(raw)))
+                ids = self._queue(raw)
             else:
-                rest.append((word, raw))
-        for (word, ids), raw in zip(whole, self.decode([ids for _, ids in whole])):
-            self.known[word] = (np.array(ids, np.int32).tobytes(), raw)
-        rest.sort(key=lambda x: len(x[1]))
+                rest.append((raw, word))
+                continue
+            whole.append(word)
+            flat += ids
+            sizes.append(len(ids))
+        self._keep(whole, np.array(flat, np.int32), np.array(sizes, np.int64))
+        rest.sort(key=lambda x: len(x[0]))
         for at in range(0, len(rest), WORDS):
             some = rest[at : at + WORDS]
-            sizes = np.array([len(raw) for _, raw in some])
-            ends = np.cumsum(sizes)
-            tokens = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in some), np.uint8)]
-            places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-            self.con.register("bytes_in", pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "p": places.astype(np.int32), "t": tokens}))
+            lengths = np.array([len(raw) for raw, _ in some])
+            ends = np.cumsum(lengths)
+            tokens = self.byte_ids[np.frombuffer(b"".join([raw for raw, _ in some]), np.uint8)].astype(np.int64)
+            places = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+            self.con.register("bytes_in", pa.table({"k": np.repeat(np.arange(len(some)), lengths) * 1024 + places, "t": tokens}))
             out = self.con.sql(ENCODE).to_arrow_table()
             self.con.unregister("bytes_in")
-            lists = out.column("ids").combine_chunks()
-            offsets, values = np.asarray(lists.offsets), np.asarray(lists.values).astype(np.int32)
-            for w, a, b, raw in zip(out.column("w").to_pylist(), offsets, offsets[1:], out.column("hex").to_pylist()):
-                self.known[some[w][0]] = (values[a:b].tobytes(), bytes.fromhex(raw))
+            self._keep([word for _, word in some], out.column("t").to_numpy().astype(np.int32), np.bincount(out.column("k").to_numpy() >> 10, minlength=len(some)))
+
+    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Put words into the table, given their ids one after the other."""
+        raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        starts = [0, *ends[:-1]]
+        self.ids.update(zip(words, [raw[a:b] for a, b in zip(starts, ends)]))
+        self.bytes.update(zip(words, self.decode(flat, sizes)))
 
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
+    def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of id sequences, by an ordered aggregation of the vocabulary's bytes."""
-        found: list[bytes] = [b""] * len(sequences)
-        sizes = np.array([len(s) for s in sequences], np.int64)
-        if not sizes.sum():
-            return found
-        ends = np.cumsum(sizes)
-        flat = np.fromiter((i for s in sequences for i in s), np.int32, int(ends[-1]))
-        if flat.min() < 0 or flat.max() > max(self.ranks.values()):
+        if not len(flat):
+            return [b""] * len(sizes)
+        if flat.min() < 0 or flat.max() > self.last:
             raise ValueError("an id is not in the vocabulary")
-        self.con.register("ids_in", pa.table({"w": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "p": np.arange(len(flat)), "t": flat}))
+        self.con.register("ids_in", pa.table({"w": np.repeat(np.arange(len(sizes)), sizes), "p": np.arange(len(flat)), "t": flat}))
         out = self.con.sql(DECODE).to_arrow_table()
         self.con.unregister("ids_in")
-        for w, raw in zip(out.column("w").to_pylist(), out.column("hex").to_pylist()):
-            found[w] = bytes.fromhex(raw)
-        return found
+        found = dict(zip(out.column("w").to_pylist(), map(bytes.fromhex, out.column("hex").to_pylist())))
+        return [found.get(w, b"") for w in range(len(sizes))]
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as 32-bit integers, decoded bytes) of each text."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        pieces = [list(self.split.pieces(t)) for t in batch]
-        known = self.known
-        new = {p for row in pieces for p in row if p not in known}
+        if len(self.ids) > CACHE:
+            self.ids.clear()
+            self.bytes.clear()
+        rows = [list(self.split.pieces(t)) for t in batch]
+        new = [p for p in set().union(*rows) if p not in self.ids]
         if new:
-            self.learn(list(new))
-        return [(b"".join([known[p][0] for p in row]), b"".join([known[p][1] for p in row])) for row in pieces]
+            self.learn(new)
+        ids, raw = self.ids.__getitem__, self.bytes.__getitem__
+        return [(b"".join(map(ids, row)), b"".join(map(raw, row))) for row in rows]
 
 
 def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs: the ids of the text and the bytes that they decode to."""
 
     def run(batches):
-        codec = Codec(ranks, pattern)
+        kept = worker_cache()
+        if (ranks, pattern) not in kept:
+            kept[ranks, pattern] = Codec(ranks, pattern)
+        codec = kept[ranks, pattern]
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 pairs = codec.encode(batch.column("text").to_pylist())

@@ -47,6 +47,10 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def lean(batches):
+        cache = worker_cache()
+        if cache.get("owner") != (owner := f"{run.__module__}.{run.__qualname__}"):
+            cache.clear()
+            cache["owner"] = owner
         try:
             yield from run(batches)
         finally:
@@ -55,6 +59,14 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(lean, schema)
 
 
+def worker_cache() -> dict:
+    """What the function at work keeps in this Python worker from task to task; another function finds it empty."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_sitewarden_worker", types.SimpleNamespace(kept={})).kept
+
+
 def release() -> None:
     """Give memory that is free but held back to the system: a worker lives on after its task."""
     import ctypes

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import map_arrow
+from sitewarden.llm.common import map_arrow, worker_cache
 
 BITS, ORDERS = 15, 3
 SAMPLE, LANGUAGES, FOLDS = 4000, 256, 5
@@ -34,14 +34,12 @@ BLOCK = 1 << 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
-_TABLE: dict[str, np.ndarray] = {}
-
-
 def _letters() -> np.ndarray:
-    """Which code points are letters; made once in a process."""
-    if "letters" not in _TABLE:
-        _TABLE["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return _TABLE["letters"]
+    """Which code points are letters; made once in a worker."""
+    kept = worker_cache()
+    if "letters" not in kept:
+        kept["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return kept["letters"]
 
 
 def counts(text: str) -> tuple[np.ndarray, bool]:

@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import slices, texts
+from sitewarden.llm.common import map_arrow, slices, texts, worker_cache
 from sitewarden.llm.pretokens import Splitter
 
-CACHE = 400_000
+CACHE = 600_000
 #: Pieces of a long text that are counted at once; bytes of texts whose new pre-tokens are counted together.
 BLOCK, SLICE = 200_000, 2 << 20
 
@@ -86,10 +86,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
     """(doc_id, n_bytes, n_tokens) for each row of docs."""
 
     def run(batches):
-        counter = PieceCounter(tokenizer, pattern)
+        kept = worker_cache()
+        if (tokenizer, pattern) not in kept:
+            kept[tokenizer, pattern] = PieceCounter(tokenizer, pattern)
+        counter = kept[tokenizer, pattern]
         for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             tokens = counter.count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitewarden import schemas
 from sitewarden.functions import text as T
 from sitewarden.functions import urls as U
+from sitewarden.sources.tables import materialise
 
 UNSETTLED = ("excluded", "pending", "in_flight")
 
@@ -32,6 +33,7 @@ class Evidence:
     host_probes: DataFrame | None = None
     start_url: str | None = None
     now: int = 0
+    settled: set[str] = field(default_factory=set)
 
     def __post_init__(self):
         for name, ddl in (("urls", schemas.URL_RECORD), ("sitemap_files", schemas.SITEMAP_FILE), ("sitemap_urls", schemas.SITEMAP_URL), ("robots", schemas.ROBOTS_RUN), ("resource_fetches", schemas.RESOURCE_FETCH), ("tls_inspections", schemas.TLS_INSPECTION), ("host_probes", schemas.HOST_PROBE)):
@@ -64,7 +66,7 @@ class Evidence:
         """All observations, flat, with: key, complete, in_crawl, in_sitemap, noindex, canonical_targets."""
         flags = F.col("page.flags")
         complete = ~(flags["truncated"] | flags["challenge"] | flags["error_status"] | flags["non_html"] | flags["encoding_fallback"])
-        rows = self.observations.select("identity", "page.*", "links", "resources", "redirect_chain", complete.alias("complete"), U.identity_of(F.col("identity")).alias("key"))
+        rows = self.observations.select("identity", "page.*", "links", F.size("links").alias("n_links"), "resources", "redirect_chain", complete.alias("complete"), U.identity_of(F.col("identity")).alias("key"))
         rows = rows.withColumn("header_noindex", T.has_token(F.col("robots_headers"), "noindex")).withColumn("noindex", F.col("header_noindex") | T.has_token(F.col("robots_meta"), "noindex"))
         if self.has_urls:
             rows = rows.join(self.crawl_set, "key", "left").withColumn("in_crawl", F.coalesce("crawled", F.lit(False))).drop("crawled")
@@ -102,6 +104,15 @@ class Evidence:
         rows = self.complete_pages.select("identity", F.posexplode("resources").alias("seq", "r")).select("identity", "seq", "r.*")
         return rows.withColumn("key", U.identity_of(F.col("destination"))).join(self.fetches, "key", "left")
 
+    def settle(self) -> None:
+        """Write the shared relations once, as Parquet, for evaluations of many rules: each reader then scans only the
+        columns that it needs, and no join is made again."""
+        for name in ("pages", "targets", "links", "resources"):
+            if name not in self.settled:
+                self.__dict__.pop("complete_pages", None)
+                self.__dict__[name] = materialise(getattr(self, name))
+                self.settled.add(name)
+
     @cached_property
     def page_counts(self) -> DataFrame:
         """One row: n_obs, n_complete."""

@@ -15,6 +15,8 @@ from sitewarden.plans import catalogue, content_rules, https_rules, index_rules,
 from sitewarden.plans.config import AuditConfig
 from sitewarden.sources.tables import checkpoint
 
+#: Evaluations of more rules than this write the relations that they share first.
+MANY = 12
 Family = Callable[[Evidence, AuditConfig, set[str]], list[Output]]
 
 
@@ -65,6 +67,8 @@ def evaluate(ev: Evidence, config: AuditConfig | None = None, registry: Registry
     findings are released only if its state is `findings`: one missing piece of evidence holds all of them back."""
     config, registry = config or AuditConfig(), registry or default_registry()
     wanted = registry.with_prerequisites(rules if rules is not None else registry.families)
+    if len(wanted) > MANY:
+        ev.settle()
     families = list(dict.fromkeys(registry.families[r] for r in sorted(wanted)))
     outputs = [o for family in families for o in family(ev, config, {r for r in wanted if registry.families[r] is family})]
     spark = ev.spark

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewarden import schemas
-from sitewarden.functions import html, jsonld, robots, sitemaps
+from sitewarden.functions import html, jsonld, register, robots, sitemaps
 from sitewarden.functions import text as T
 from sitewarden.functions import urls as U
 from sitewarden.operators import algebra, graph, near_duplicates
 from sitewarden.plans import baseline, catalogue, engine, history, presentation, rule_queries
 from sitewarden.plans.config import Profile
 from sitewarden.plans.language_rules import WORDS, detect
-from sitewarden.sources import derived, exchange, store
+from sitewarden.sources import derived, exchange, responses, store
 from sitewarden.sources.derived import prelude
 from sitewarden.sources.tables import checkpoint, table
 from sitewarden.streaming import admission
@@ -48,13 +48,15 @@ def html_title_h1(spark, folder):
 
 
 def html_extract(spark, folder):
-    pages = table(spark, folder, "pages")
-    headers = F.array().cast("array<struct<name:string,value:string>>")
-    responses = pages.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), headers.alias("headers"), F.col("html").cast("binary").alias("body"), F.lit(False).alias("truncated"), F.lit(None).cast("long").alias("duration_ms"))
-    found = html.observations(responses)
+    found = html.observations(responses.from_pages(table(spark, folder, "pages")))
     return found.select("identity", "page.html_lang", "page.charset_declared", F.size("links").cast("long").alias("links"), F.size("page.headings").cast("long").alias("headings"), F.size("page.titles").cast("long").alias("titles"), "page.raw_bytes")
 
 
+def sql_functions(spark, folder):
+    register.register(spark)
+    return spark.sql("select page_id, url_identity(url) as identity, url_resolve(url, '/x/../y') as root, robots_allowed('User-agent: *\nDisallow: /en', 'bot/1', parse_url(url, 'PATH')) as allowed from {pages}", pages=table(spark, folder, "pages"))
+
+
 def html_links_resolved(spark, folder):
     pages = table(spark, folder, "pages")
     rows = pages.select("page_id", "url", F.explode(html.link_hrefs(F.col("html"))).alias("href"))
@@ -318,7 +320,7 @@ def investigation(spark, folder):
 
 
 _NAMES = (
-    href_classes, parameters_stripped, robots_decisions, urls_filtered, page_inlinks, sitemap_provenance, investigation,
+    sql_functions, href_classes, parameters_stripped, robots_decisions, urls_filtered, page_inlinks, sitemap_provenance, investigation,
     url_identity, url_parts, scope_exclusion, html_title_h1, html_extract, html_links_resolved, state_counters, crawl_set_semi, blocked_anti,
     target_index_full_outer, resources_grouped_referrers, robots_best_rule, robots_parse, sitemap_locations, shingle_df, exact_duplicates,
     fnv1a64, near_duplicate_groups, language_detect, graph_depth, graph_inbound, graph_components, history_diff, history_counts, history_groups,
@@ -349,6 +351,7 @@ ORACLES: dict[str, str] = {
     "scope_exclusion": prelude("v_pages") + "select identity, case when identity not like 'https://shop.example/%' then 'Outside configured origin' when identity like 'https://shop.example/o/%' then 'Excluded subfolder' when identity like 'https://shop.example/p/1%' then 'Excluded path prefix' when identity like '%&c=%' then 'Ignored parameter' end as reason from v_pages",
     "html_title_h1": "select page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '') as title, nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1), '') as h1, len(regexp_extract_all(html, '(?is)<a\\s[^>]*href=\"([^\"]*)\"', 1)) as links from pages",
     "html_extract": "select regexp_replace(url, '$', '') as identity, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as html_lang, html like '%charset=%' as charset_declared, len(regexp_extract_all(html, '(?is)<a\\s[^>]*href=')) as links, len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) as headings, len(regexp_extract_all(html, '(?i)<title')) as titles, strlen(html) as raw_bytes from pages",
+    "sql_functions": "select page_id, regexp_replace(url, '#.*$', '') as identity, concat(regexp_extract(url, '^(https?://[^/]*)', 1), '/y') as root, not (regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) like '/en%') as allowed from pages",
     "state_counters": prelude("v_urls") + "select " + ", ".join(f"count(*) filter (where state = '{s}') as {s}" for s in ("fetched", "excluded", "blocked", "failed", "pending", "in_flight")) + ", count(*) as discovered from v_urls",
     "crawl_set_semi": prelude("v_pages", "v_urls") + "select identity, status from v_pages where identity in (select identity from v_urls where state = 'fetched')",
     "blocked_anti": prelude("v_pages", "v_urls") + "select identity from v_pages where identity not in (select identity from v_urls where state = 'blocked')",

@@ -61,7 +61,7 @@ def complete_page_specs(cfg: AuditConfig) -> list[Spec]:
         page("meta.frames", F.col("has_frames"), "The page uses frames.", "Replace framesets by a layout.", "frameset_or_frame", "frameset/frame"),
         page("meta.incompatible_plugin_content", F.col("has_plugin_markup"), "The page embeds plugin content.", "Remove object, embed and applet elements.", "embed_object_applet", "object/embed/applet"),
         page("links.meta_refresh", F.size("meta_refresh") > 0, "The page refreshes itself by a meta tag.", "Redirect by HTTP instead.", "meta_refresh", F.array_join("meta_refresh", " | ")),
-        page("links.too_many_on_page", F.size("links") > max_links, _say("The page has ", F.size("links").cast("string"), " links."), f"Keep pages within {max_links} links.", "anchor_href", F.size("links").cast("string")),
+        page("links.too_many_on_page", F.col("n_links") > max_links, _say("The page has ", F.col("n_links").cast("string"), " links."), f"Keep pages within {max_links} links.", "anchor_href", F.col("n_links").cast("string")),
         page("hreflang.missing_hreflang_and_lang", F.col("in_crawl") & (F.trim(F.coalesce("html_lang", F.lit(""))) == "") & (F.size("hreflangs") == 0), "The page names no language.", "Set the lang attribute.", "html_lang", "html lang and hreflang absent"),
     ]
 

@@ -226,3 +226,41 @@ def test_structured_and_https(spark):
     assert keys == [f"{SITE}/a jsonld[0].availability search", f"{SITE}/a jsonld[0].priceCurrency"]
     _, keys, _ = run(ev, "https.mixed_content", "https.https_links_to_http", "https.certificate_expiry", "https.certificate_name")
     assert keys == ["audit.example:443", "audit.example:443", f"{SITE}/a -> http://audit.example/x #0", f"{SITE}/a -> http://audit.example/i.png #0"]
+
+
+def test_responses_and_sql_functions(spark, tmp_path):
+    from sitewarden.functions import register
+    from sitewarden.sources import responses
+
+    (tmp_path / "site" / "d").mkdir(parents=True)
+    (tmp_path / "site" / "index.html").write_text("<title>Home</title>")
+    (tmp_path / "site" / "d" / "a.html").write_text("<title>A</title>" + "x" * 100)
+    rows = responses.from_files(spark, str(tmp_path / "site"), SITE, max_bytes=50)
+    found = {r.identity: (r.page.titles, r.page.flags.truncated) for r in html.observations(rows).collect()}
+    assert found == {f"{SITE}/": (["Home"], False), f"{SITE}/d/a.html": (["A"], True)}
+    assert "url_identity" in register.register(spark)
+    assert spark.sql("select url_identity('HTTP://A.example:80/x#y')").first()[0] == "http://a.example/x"
+
+
+def test_settled_relations_change_nothing(spark):
+    pages = [page("/", '<a href="/gone">g</a><img src="/i.png">'), page("/gone", status=404), page("/t", head="<title>A title that is long enough here</title>")]
+    few, many = (site(spark, pages, [url(p, depth=0 if p == "/" else 1) for p in ("/", "/gone", "/t")]) for _ in range(2))
+    many.settle()
+    rules = ["links.broken_internal", "meta.missing_title", "images.missing_alt", "crawl.http_4xx"]
+    assert run(few, *rules)[1] == run(many, *rules)[1] != []
+
+
+def test_robots_decisions(spark):
+    from sitewarden.functions import robots
+
+    urls = spark.createDataFrame([("/a",), ("/b",)], "identity string")
+    group = robots.select_group(robots.parse("User-agent: *\nDisallow: /a"), "bot")
+    said = lambda *args, **more: {r.identity: (r.allowed, r.reason) for r in robots.decisions(urls, *args, F.col("identity"), **more).collect()}
+    assert said("fetched", group) == {"/a": (False, "Disallow: /a"), "/b": (True, "no rule")}
+    assert said("fetched", group, bypass=True)["/a"] == (True, "bypassed Disallow: /a")
+    assert said("unavailable", None)["/a"] == (True, "robots.txt unavailable")
+
+
+def test_navigation_links():
+    markup = '<base href="/d/"><h1><a href="x">x</a></h1><!-- <a href="no"> --><script><a href="no"></script><a>none</a><a href=" ">e</a>'
+    assert html.navigation_links(markup, SITE + "/") == [("x", f"{SITE}/d/x"), (" ", None)]

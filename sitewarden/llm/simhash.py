@@ -19,6 +19,7 @@ row but names no class; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import islice
 
 import numpy as np
@@ -119,15 +120,17 @@ def classes(prints: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, low): low has the LOW least distinct hashes of the text's shingles, sorted."""
+    """(doc_id, fp, low, same): low has the LOW least distinct hashes of the text's shingles, sorted; same is a digest
+    of its words."""
 
     def run(batches):
         for batch in batches:
             texts_of = batch.column("text").to_pylist()
             low = [np.unique(hashes(t, size))[:LOW] for t in texts_of]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, size) for t in texts_of], pa.int64()), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "fp", "low"])
+            same = [hashlib.blake2b(b" ".join(t.encode().lower().split()), digest_size=16).hexdigest() for t in texts_of]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, size) for t in texts_of], pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(same)], ["doc_id", "fp", "low", "same"])
 
-    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fp long, low array<long>")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fp long, low array<long>, same string")
 
 
 def hashes(text: str, size: int) -> np.ndarray:
@@ -138,16 +141,19 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     """(doc_id, component_id): classes of documents that link by fingerprint or by a Jaccard similarity of their
     shingle sets of at least `similarity`.
 
-    At a similarity of 0.8 fingerprints differ in a dozen bits, where no bound on popcounts filters, so only the
-    closest copies are found by fingerprint (2 bits). Among one document of each of those classes, candidates are
+    Texts of the same words are one from the start. At a similarity of 0.8 fingerprints differ in a dozen bits, where no
+    bound on popcounts filters, so only the closest copies are found by fingerprint (2 bits). The other candidates are
     documents with a common value among the LOW least shingle hashes (each is shared with a chance of the similarity,
-    so a pair at 0.8 misses all 8 with 0.2**8), and each candidate pair is verified on the whole sets. Values that more
-    than CROWD_LOW documents have give no pairs: their documents meet by two values instead, and where even those are
-    crowded, each links to the least document there that verifies."""
+    so a pair at 0.8 misses all 8 with 0.2**8). Every candidate pair, of either kind, is verified on the whole sets.
+    Values that more than CROWD_LOW documents have give no pairs: their documents meet by two values instead, and where
+    even those are crowded, each is compared with the least document there."""
     prints = checkpoint(sketches(docs, size))
-    close = checkpoint(classes(prints.select("doc_id", "fp")).select("doc_id", "component_id"))
-    firsts = close.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    heads = checkpoint(prints.join(firsts, "doc_id", "left_semi").select("doc_id", "low").dropDuplicates(["doc_id"]))
+    heads = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("low").alias("low"))
+    heads = checkpoint(heads.where("doc_id is not null"))
+    firsts = checkpoint(heads.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    equal = heads.join(firsts, "fp").where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    first_of = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    close = links(firsts.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
     one = heads.select("doc_id", F.explode("low").alias("value"))
     shared = one.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     met = checkpoint(one.join(shared, "value"))
@@ -157,7 +163,7 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     shared = two.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     met = checkpoint(two.join(shared, "value"))
     star = met.where(f"n > {CROWD_LOW}").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a < b")
-    pairs = checkpoint(pairs.unionByName(_pairs(met.where(f"n <= {CROWD_LOW}"))).unionByName(star).distinct())
+    pairs = checkpoint(pairs.unionByName(_pairs(met.where(f"n <= {CROWD_LOW}"))).unionByName(star).unionByName(equal).unionByName(close).distinct())
     # the sets of the documents in pairs, from their texts
     wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 16)
 
@@ -179,8 +185,10 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     edges = pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
-    roots = components(edges).select(F.col("node").alias("component_id"), "root")
-    return close.join(small(roots, 16), "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    roots = heads.select("same", "doc_id").join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    roots = roots.select("same", F.coalesce("root", "doc_id").alias("component_id"))
+    found = prints.select("doc_id", "same")
+    return lookup_join(found, roots, "same", hot_keys(found, "same")).select("doc_id", "component_id")
 
 
 def _pairs(met: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ DEPTH, Q = 50, 24
 CROWD, LOCAL = 4096, 400
 SHARDS = 2
 STEP = 1 << 15
-#: Bytes of text a bucket answers for; at least 2**6 buckets.
-PER_BUCKET = 8 << 20
+#: Bytes of text a bucket answers for, at least 2**6 buckets; larger with larger executors, so that more is sent in a row.
+PER_BUCKET = 4 << 20
 LAST = (1 << 63) - 1
 #: In an answer: the windows of this string have least doc_ids of their own.
 MANY = -(1 << 63)
@@ -144,7 +144,7 @@ class Chunk:
             bits = np.unpackbits(np.frombuffer(answer, np.uint8, -1, 17)).astype(bool)
             repeats[a : a + n], crowded[a : a + n] = bits[:n], bits[n : 2 * n]
         code, doc = self.code_of, self.doc
-        order = np.lexsort((doc, code))
+        order = np.argsort(code * len(self.ids) + doc)
         here = np.zeros(len(self.codes), bool)
         c, d = code[order], self.order[doc[order]]
         here[c[1:][(c[1:] == c[:-1]) & (d[1:] != d[:-1])]] = True
@@ -216,23 +216,24 @@ class Chunk:
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The places of text in the order of their first 64 symbols or more, by prefix doubling."""
-    order = np.argsort(_words(text).byteswap(), kind="stable")
-    rank = _ranks(_words(text)[order], order)
+    key = _words(text).byteswap()
+    order, rank = _ordered(key)
     depth = 8
     while depth < DEPTH and rank.max(initial=0) < len(text) - 1:
-        ahead = np.zeros(len(text), np.int64)
-        ahead[:-depth] = rank[depth:] + 1
-        key = rank * (len(text) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        rank = _ranks(key[order], order)
+        key = rank * (len(text) + 1)
+        key[:-depth] += rank[depth:] + 1
+        order, rank = _ordered(key)
         depth *= 2
     return order
 
 
-def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, and their dense ranks by place."""
+    order = np.argsort(key)
+    ordered = key[order]
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])]) if len(order) else 0
-    return rank
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(order) else 0
+    return order, rank
 
 
 def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -267,8 +268,8 @@ def least_by_window(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]
         # bytes 0 and 1 give way to two that UTF-8 never has, and end the shard and each string
         text = np.frombuffer(b"\x01".join(strings[i].replace(b"\x00", b"\xff").replace(b"\x01", b"\xfe") for i in own) + b"\x01\x00", np.uint8)
         sizes = np.array([len(strings[i]) + 1 for i in own])
-        string = np.append(np.repeat(own, sizes), -1)
-        place = np.append(np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes), 0)
+        string = np.append(np.repeat(np.array(own, np.int32), sizes), np.int32(-1))
+        place = np.append(np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes), 0).astype(np.int32)
         whole = np.append(place[:-1] + DEPTH < np.repeat(sizes, sizes), False)
         order = suffix_array(text)
         built.append((transform(text, order), string[order], place[order], whole[order]))
@@ -281,7 +282,7 @@ def least_by_window(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]
         out[i] = np.empty(len(s) - DEPTH + 1, np.int64)
     for (_, string, place, whole), spot in zip(built, spots):
         of, at, value = string[whole], place[whole], best[block[spot[whole]]]
-        order = np.lexsort((at, of))
+        order = np.argsort(of.astype(np.int64) * (1 << 20) + at)
         of, value = of[order], value[order]
         cuts = np.flatnonzero(np.diff(of, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(of)]):
@@ -347,9 +348,10 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "reply": pa.array(out, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, as_text: bool = False) -> DataFrame:
     """(doc_id, tag, n_bytes, n_removed, n_spans, spans, kept) for each row of docs; spans are the maximal removed runs
-    of the text's UTF-8 bytes, (start, stop), and kept is what remains. tag is a string that travels with a row."""
+    of the text's UTF-8 bytes, (start, stop), and kept is what remains: bytes, or with as_text a string without what is
+    left of characters that were cut. tag is a string that travels with a row."""
     tag = F.lit(None) if tag is None else tag
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), tag.cast("string").alias("tag"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -371,18 +373,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(key, blob, answers):
         chunk = Chunk(blob, bits)
         chunk.choose([a for a in answers if a[0] == 0])
-        yield _cut(chunk, chunk.removed([a for a in answers if a[0] == 1]))
+        yield _cut(chunk, chunk.removed([a for a in answers if a[0] == 1]), as_text)
 
     sent = "bucket long, chunk string, blob binary"
     repeats = map_arrow(packed, send, sent).groupBy("bucket").applyInArrow(_repeats, "chunk string, reply binary")
     repeats = checkpoint(repeats)
     strings = meet(packed, repeats, send_strings, sent)
     least = strings.groupBy("bucket").applyInArrow(_resolve, "chunk string, reply binary")
-    schema = "doc_id long, tag string, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary"
+    schema = "doc_id long, tag string, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept " + ("string" if as_text else "binary")
     return meet(packed, repeats.unionByName(least), cut, schema)
 
 
-def _cut(chunk: Chunk, gone: np.ndarray) -> pa.RecordBatch:
+def _cut(chunk: Chunk, gone: np.ndarray, as_text: bool) -> pa.RecordBatch:
     offsets = chunk.offsets
     sizes = np.diff(offsets)
     before = np.concatenate([[0], np.cumsum(gone)])
@@ -401,6 +403,6 @@ def _cut(chunk: Chunk, gone: np.ndarray) -> pa.RecordBatch:
         pa.array(chunk.tags, pa.string()),
         pa.array(sizes), pa.array(removed), pa.array(n_spans),
         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), spans),
-        pa.array([kept[a:b] for a, b in zip(ends, ends[1:])], pa.binary()),
+        pa.array([kept[a:b].decode("utf-8", "ignore") if as_text else kept[a:b] for a, b in zip(ends, ends[1:])], pa.string() if as_text else pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "spans", "kept"])

@@ -8,7 +8,7 @@ and gives its bytes again. A text's ids are its words' ids in order; likewise it
 
 The recursion makes a row per position and step, the square of a word's length; words over LONG bytes are therefore
 merged by a priority queue with the same order of merges. Words are looked up among those that the worker has already
-encoded, in this task or an earlier one; the table of these is emptied when it holds CACHE words. Neither changes a
+encoded, in this task or an earlier one; the table of these is emptied when it holds `keep` words. Neither changes a
 result.
 
 Defined cases: a null text is empty and has no ids; special tokens are ordinary text; invalid ids fail in decode();
@@ -57,9 +57,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes words by a rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep: int = CACHE):
         import duckdb
 
+        self.keep = keep
+
         self.ranks = read_ranks(path)
         self.split = Splitter(pattern)
         self.ids: dict[str, bytes] = {}
@@ -148,7 +150,7 @@ class Codec:
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as 32-bit integers, decoded bytes) of each text."""
-        if len(self.ids) > CACHE:
+        if len(self.ids) > self.keep:
             self.ids.clear()
             self.bytes.clear()
         rows = [list(self.split.pieces(t)) for t in batch]
@@ -159,14 +161,15 @@ class Codec:
         return [(b"".join(map(ids, row)), b"".join(map(raw, row))) for row in rows]
 
 
-def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) for each row of docs: the ids of the text and the bytes that they decode to."""
+def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: int = CACHE) -> DataFrame:
+    """(doc_id, ids, decoded) for each row of docs: the ids of the text and the bytes that they decode to. keep: how
+    many words a worker keeps; fewer take less memory and more time."""
 
     def run(batches):
         kept = worker_cache()
-        if (ranks, pattern) not in kept:
-            kept[ranks, pattern] = Codec(ranks, pattern)
-        codec = kept[ranks, pattern]
+        if (ranks, pattern, keep) not in kept:
+            kept[ranks, pattern, keep] = Codec(ranks, pattern, keep)
+        codec = kept[ranks, pattern, keep]
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 pairs = codec.encode(batch.column("text").to_pylist())

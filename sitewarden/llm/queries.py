@@ -23,8 +23,8 @@ def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    coded = bpe.roundtrip(docs, RANKS, public_tokenizers.PATTERN)
+def bpe_digests(docs: DataFrame, keep: int = bpe.CACHE) -> DataFrame:
+    coded = bpe.roundtrip(docs, RANKS, public_tokenizers.PATTERN, keep=keep)
     ids = F.array_join("ids", " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or pd.isna(value) is True:
         return None
     return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, small, texts
+from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, shuffle_partitions, small, texts
 
 CROWD = 64
 LOW, CROWD_LOW = 8, 16
@@ -96,6 +96,8 @@ def links(fps: DataFrame) -> DataFrame:
     def near_of(fp: pd.Series) -> pd.Series:
         return pd.Series(within_one_bit(fp.to_numpy()))
 
+    # fingerprints are few bytes, their cells are not: so many partitions that each task's cells stay small
+    fps = fps.repartition(shuffle_partitions(fps.sparkSession), "fp")
     cells = fps.select("fp", F.explode(cells_of("fp")).alias("cell"))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     met = checkpoint(cells.join(shared, "cell"))

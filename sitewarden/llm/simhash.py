@@ -20,6 +20,7 @@ row but names no class; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import islice
 
 import numpy as np
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, shuffle_partitions, small, texts
 
 CROWD = 64
-LOW, CROWD_LOW = 8, 16
+CROWD_LOW = 16
+SAMPLE, COMMON = 16, 200_000
+TILE, COLUMNS = 512, 2048
 BLOCK = 200_000
 SEED = 42
 
@@ -55,6 +58,15 @@ def fingerprint(text: str, size: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big", signed=True)
 
 
+def fingerprint_of(values: np.ndarray) -> int:
+    """The fingerprint of a text by the hashes of all its shingles."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(values), BLOCK):
+        bits = np.unpackbits(values[at : at + BLOCK].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(values)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp holds the bit pattern as a signed long."""
 
@@ -121,18 +133,64 @@ def classes(prints: DataFrame) -> DataFrame:
     return lookup_join(prints, by_fp, "fp", hot_keys(prints, "fp")).select("doc_id", "fp", "component_id")
 
 
-def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, low, same): low has the LOW least distinct hashes of the text's shingles, sorted; same is a digest
-    of its words."""
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles that several of one text in SAMPLE have, sorted by hash; at most COMMON, those
+    with the larger counts. They only say which shingles to look at last, so no link depends on the sample."""
+    rows = texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
 
     def run(batches):
         for batch in batches:
-            texts_of = batch.column("text").to_pylist()
-            low = [np.unique(hashes(t, size))[:LOW] for t in texts_of]
-            same = [hashlib.blake2b(b" ".join(t.encode().lower().split()), digest_size=16).hexdigest() for t in texts_of]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, size) for t in texts_of], pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(same)], ["doc_id", "fp", "low", "same"])
+            found = [np.unique(hashes(t, size)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["value"])
+
+    counts = checkpoint(map_arrow(rows, run, "value long").groupBy("value").agg(F.count("*").alias("n")).where("n > 2"))
+    total, cut = 0, None
+    for n, many in sorted(counts.groupBy("n").agg(F.count("*").alias("many")).collect(), reverse=True):
+        total += many
+        if total > COMMON:
+            break
+        cut = n
+    if cut is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = counts.where(F.col("n") >= cut).toArrow()
+    keys, n = found.column("value").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def sketches(docs: DataFrame, size: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, fp, low, n, weight, same): low has the first of the n distinct hashes of the text's shingles, those in
+    `common` last, so many that two texts of the similarity share one; weight is the mean count of the shingles in
+    `common`; same is a digest of the text's words."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fp long, low array<long>, same string")
+    def run(batches):
+        keys, counts = shared.value
+
+        def prefix(found):
+            if not len(keys) or not len(found):
+                return found[: prefix_size(len(found), similarity)], 0.0
+            at = np.searchsorted(keys, found)
+            at[at == len(keys)] = 0
+            n = np.where(keys[at] == found, counts[at], 0)
+            return found[np.argsort(n, kind="stable")[: prefix_size(len(found), similarity)]], float(n.mean())
+
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                raw = hashes(text, size)
+                found = np.unique(raw)
+                same = hashlib.blake2b(b" ".join(text.encode().lower().split()), digest_size=16).hexdigest()
+                out.append((fingerprint_of(raw), *prefix(found), len(found), same))
+            fp, low, weight, n, same = zip(*out) if out else ([],) * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(same, pa.string())], ["doc_id", "fp", "low", "n", "weight", "same"])
+
+    return map_arrow(texts(docs), run, "doc_id long, fp long, low array<long>, n long, weight double, same string")
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """So many of a set's n values that, in one order of all values, any two sets of the similarity share one of them."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
 def hashes(text: str, size: int) -> np.ndarray:
@@ -140,41 +198,31 @@ def hashes(text: str, size: int) -> np.ndarray:
 
 
 def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): classes of documents that link by fingerprint or by a Jaccard similarity of their
-    shingle sets of at least `similarity`.
-
-    Texts of the same words are one from the start. At a similarity of 0.8 fingerprints differ in a dozen bits, where no
-    bound on popcounts filters, so only the closest copies are found by fingerprint (2 bits). The other candidates are
-    documents with a common value among the LOW least shingle hashes (each is shared with a chance of the similarity,
-    so a pair at 0.8 misses all 8 with 0.2**8). Every candidate pair, of either kind, is verified on the whole sets.
-    Values that more than CROWD_LOW documents have give no pairs: their documents meet by two values instead, and where
-    even those are crowded, each is compared with the least document there."""
-    prints = checkpoint(sketches(docs, size))
-    heads = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("low").alias("low"))
+    """(doc_id, component_id): classes of documents that link by a Jaccard similarity of their shingle sets of at least
+    `similarity`.
+
+    Texts of the same words are one from the start. Fingerprints within 2 bits give candidates, and an exact prefix
+    filter gives all others: in one order of all shingles, the commonest last, two sets x and y that are alike share one
+    of their first |x| - ceil(similarity |x|) + 1 and |y| - ceil(similarity |y|) + 1. Every candidate pair, of either
+    kind, is verified on the whole sets.
+    Values that more than CROWD_LOW documents have list no pairs at first: each document meets the one there with the
+    commonest shingles, the likely middle of a group. Where that leaves documents in different classes, all of the
+    value's documents are held against each other in tiles, which give only the links that join classes."""
+    prints = checkpoint(sketches(docs, size, similarity, common_shingles(docs, size)))
+    heads = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "low", "n", "weight")))
     heads = checkpoint(heads.where("doc_id is not null"))
     firsts = checkpoint(heads.groupBy("fp").agg(F.min("doc_id").alias("first")))
     equal = heads.join(firsts, "fp").where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     first_of = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
     close = links(firsts.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
-    one = heads.select("doc_id", F.explode("low").alias("value"))
-    shared = one.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    one = heads.select("doc_id", "n", "weight", F.explode("low").alias("value"))
+    shared = one.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
     met = checkpoint(one.join(shared, "value"))
-    pairs = _pairs(met.where(f"n <= {CROWD_LOW}"))
-    crowd = heads.join(met.where(f"n > {CROWD_LOW}").select("doc_id").distinct(), "doc_id", "left_semi")
-    two = crowd.select("doc_id", F.explode(F.expr("flatten(transform(low, x -> transform(filter(low, y -> y > x), y -> xxhash64(x, y))))")).alias("value"))
-    shared = two.groupBy("value").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    met = checkpoint(two.join(shared, "value"))
-    star = met.where(f"n > {CROWD_LOW}").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a < b")
-    pairs = checkpoint(pairs.unionByName(_pairs(met.where(f"n <= {CROWD_LOW}"))).unionByName(star).unionByName(equal).unionByName(close).distinct())
-    # the sets of the documents in pairs, from their texts
-    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 16)
-
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(hashes(t, size)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set"])
-
-    sets = map_arrow(texts(docs).join(wanted, "doc_id", "left_semi"), run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    crowd = met.where(f"m > {CROWD_LOW}")
+    middle = crowd.groupBy("value").agg(F.max_by("doc_id", "weight").alias("middle"))
+    star = crowd.join(middle, "value").select(F.least("doc_id", "middle").alias("a"), F.greatest("doc_id", "middle").alias("b")).where("a < b")
+    pairs = checkpoint(_pairs(met.where(f"m <= {CROWD_LOW}"), similarity).unionByName(star).unionByName(equal).unionByName(close).distinct())
+    sets = _sets(docs, size, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -186,14 +234,77 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
         return pd.Series(out)
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    edges = pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
-    roots = heads.select("same", "doc_id").join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    edges = checkpoint(pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b"))
+    found = components(edges)
+    rest = _open(crowd, found)
+    if not rest.isEmpty():
+        found = components(edges.unionByName(_tiles(rest, _sets(docs, size, rest.select("doc_id")), similarity)))
+    roots = heads.select("same", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     roots = roots.select("same", F.coalesce("root", "doc_id").alias("component_id"))
     found = prints.select("doc_id", "same")
     return lookup_join(found, roots, "same", hot_keys(found, "same")).select("doc_id", "component_id")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """The pairs of documents with one value; a value has at most CROWD_LOW."""
-    lists = met.groupBy("value").agg(F.sort_array(F.collect_list("doc_id")).alias("l"))
-    return lists.select(F.explode(F.expr("flatten(transform(l, a -> transform(filter(l, b -> b > a), b -> struct(a, b))))")).alias("e")).select("e.a", "e.b").distinct()
+def _pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of documents with one value whose sizes allow the similarity; a value has at most CROWD_LOW."""
+    lists = met.groupBy("value").agg(F.collect_list(F.struct("doc_id", "n")).alias("l"))
+    fits = f"b.doc_id > a.doc_id and least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9"
+    return lists.select(F.explode(F.expr(f"flatten(transform(l, a -> transform(filter(l, b -> {fits}), b -> struct(a.doc_id as a, b.doc_id as b))))")).alias("e")).select("e.a", "e.b").distinct()
+
+
+def _sets(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
+    """(doc_id, set): the sorted distinct shingle hashes of the documents in ids."""
+    wanted = small(ids.distinct(), 16)
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(hashes(t, size)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set"])
+
+    return map_arrow(texts(docs).join(wanted, "doc_id", "left_semi"), run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+
+
+def _open(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """(value, m, doc_id, root) of the crowded values whose documents are not of one class; of values that the same
+    documents have, one."""
+    rows = crowd.select("value", "m", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    who = [F.bit_xor(F.xxhash64("doc_id")).alias("w1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("w2")]
+    values = rows.groupBy("value", "m").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), *who).where("r1 <> r2")
+    values = values.groupBy("m", "w1", "w2").agg(F.min("value").alias("value")).select("value")
+    return checkpoint(rows.join(small(values, 16), "value", "left_semi"))
+
+
+def _tiles(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes of all documents with a common value that are alike. A value's documents are
+    dealt into blocks of about TILE, and each two blocks are a tile."""
+    blocks = f"cast(ceil(m / {TILE}) as int)"
+    rows = rest.withColumn("own", F.expr(f"cast(pmod(xxhash64(doc_id, 2), {blocks}) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
+    rows = rows.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root").join(sets, "doc_id")
+
+    def run(tile: pa.Table) -> pa.Table:
+        ids, (label, _) = tile.column("doc_id").to_numpy(), pd.factorize(tile.column("root").to_numpy())
+        own = [np.frombuffer(x, np.int64) for x in tile.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in own])
+        row, (column, values) = np.repeat(np.arange(len(own)), sizes), pd.factorize(np.concatenate(own))
+        both = np.zeros((len(own), len(own)), np.float32)
+        shared = np.bincount(column, minlength=len(values)) > 1
+        column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for at in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, (at, at + COLUMNS))
+            part = np.zeros((len(own), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - at] = 1
+            both += part @ part.T
+        out = []
+        for x in range(len(own)):
+            near = np.flatnonzero((label != label[x]) & (both[x] >= similarity * (sizes[x] + sizes - both[x].astype(np.float64))))
+            while len(near):
+                out.append((min(ids[x], ids[near[0]]), max(ids[x], ids[near[0]])))
+                label[label == label[near[0]]] = label[x]
+                near = near[label[near] != label[x]]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")

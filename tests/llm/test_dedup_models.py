@@ -98,6 +98,40 @@ def test_near_classes(spark):
     assert all(got[100 + i] == 100 + i for i in range(40))
 
 
+@pytest.mark.parametrize("sample,tile", [(16, 512), (1, 512), (1, 16)])
+def test_near_classes_lose_no_crowd(spark, monkeypatch, sample, tile):
+    """A large group whose original has a high doc_id, pairs inside a shared template, and sizes about the limit."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    random.seed(8)
+    words = [f"w{i}" for i in range(3000)]
+
+    def changed(text, k):
+        own = list(text)
+        for i in random.sample(range(len(own)), k):
+            own[i] = random.choice(words)
+        return own
+
+    base, template = random.choices(words, k=200), random.choices(words, k=130)
+    texts = [changed(base, 4) for _ in range(150)] + [base]
+    for i in range(60):
+        filled = template + random.choices(words, k=40)
+        texts += [filled] + [changed(filled, 1 + i % 4)] * (i % 3 == 0)
+    texts += [random.choices(words[:4], k=random.randrange(5, 60)) for _ in range(40)]
+    ids = random.sample(range(10**6), len(texts))
+    ids[150] = 10**6
+    rows = list(zip(ids, map(" ".join, texts)))
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = components(len(sets), linked)
+    least = {}
+    for root, i in zip(roots, ids):
+        least[root] = min(least.get(root, i), i)
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: least[root] for i, root in zip(ids, roots)}
+    assert len({got[i] for i in ids[:151]}) < 20
+
+
 def brute_removed(docs):
     best = {}
     for d, t in docs:

@@ -180,14 +180,17 @@ def sketches(docs: DataFrame, size: int, similarity: float, common: tuple[np.nda
             for text in batch.column("text").to_pylist():
                 raw = hashes(text, size)
                 found = np.unique(raw)
-                same = hashlib.blake2b(b" ".join(text.encode().lower().split()), digest_size=16).hexdigest()
-                out.append((fingerprint_of(raw), *prefix(found), len(found), same))
+                out.append((fingerprint_of(raw), *prefix(found), len(found), digest_of(text)))
             fp, low, weight, n, same = zip(*out) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array(same, pa.string())], ["doc_id", "fp", "low", "n", "weight", "same"])
 
     return map_arrow(texts(docs), run, "doc_id long, fp long, low array<long>, n long, weight double, same string")
 
 
+def digest_of(text: str) -> str:
+    return hashlib.blake2b(b" ".join(text.encode().lower().split()), digest_size=16).hexdigest()
+
+
 def prefix_size(n: int, similarity: float) -> int:
     """So many of a set's n values that, in one order of all values, any two sets of the similarity share one of them."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -201,7 +204,8 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     """(doc_id, component_id): classes of documents that link by a Jaccard similarity of their shingle sets of at least
     `similarity`.
 
-    Texts of the same words are one from the start. Fingerprints within 2 bits give candidates, and an exact prefix
+    Texts of the same words are one from the start, a node of the graph; the different texts of one doc_id are linked.
+    Fingerprints within 2 bits give candidates, and an exact prefix
     filter gives all others: in one order of all shingles, the commonest last, two sets x and y that are alike share one
     of their first |x| - ceil(similarity |x|) + 1 and |y| - ceil(similarity |y|) + 1. Every candidate pair, of either
     kind, is verified on the whole sets.
@@ -210,19 +214,19 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     value's documents are held against each other in tiles, which give only the links that join classes."""
     prints = checkpoint(sketches(docs, size, similarity, common_shingles(docs, size)))
     heads = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "low", "n", "weight")))
-    heads = checkpoint(heads.where("doc_id is not null"))
-    firsts = checkpoint(heads.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    equal = heads.join(firsts, "fp").where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    heads = checkpoint(heads.where("doc_id is not null").withColumn("node", F.monotonically_increasing_id()))
+    firsts = checkpoint(heads.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = heads.join(firsts, "fp").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
     first_of = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
     close = links(firsts.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
-    one = heads.select("doc_id", "n", "weight", F.explode("low").alias("value"))
+    one = heads.select("node", "n", "weight", F.explode("low").alias("value"))
     shared = one.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
     met = checkpoint(one.join(shared, "value"))
     crowd = met.where(f"m > {CROWD_LOW}")
-    middle = crowd.groupBy("value").agg(F.max_by("doc_id", "weight").alias("middle"))
-    star = crowd.join(middle, "value").select(F.least("doc_id", "middle").alias("a"), F.greatest("doc_id", "middle").alias("b")).where("a < b")
+    middle = crowd.groupBy("value").agg(F.max_by("node", "weight").alias("middle"))
+    star = crowd.join(middle, "value").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).where("a < b")
     pairs = checkpoint(_pairs(met.where(f"m <= {CROWD_LOW}"), similarity).unionByName(star).unionByName(equal).unionByName(close).distinct())
-    sets = _sets(docs, size, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = _sets(docs, size, heads, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -233,42 +237,56 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
             out.append(both >= similarity * (len(a) + len(b) - both))
         return pd.Series(out)
 
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    edges = checkpoint(pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    alike_pairs = pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
+    edges = checkpoint(alike_pairs.unionByName(_of_one_document(prints, heads)))
     found = components(edges)
     rest = _open(crowd, found)
     if not rest.isEmpty():
-        found = components(edges.unionByName(_tiles(rest, _sets(docs, size, rest.select("doc_id")), similarity)))
-    roots = heads.select("same", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    roots = roots.select("same", F.coalesce("root", "doc_id").alias("component_id"))
+        found = components(edges.unionByName(_tiles(rest, _sets(docs, size, heads, rest.select("node")), similarity)))
+    roots = checkpoint(heads.select("same", "doc_id", "node").join(found, "node", "left").select("same", "doc_id", F.coalesce("root", "node").alias("root")))
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    roots = roots.join(least, "root").select("same", "component_id")
     found = prints.select("doc_id", "same")
     return lookup_join(found, roots, "same", hot_keys(found, "same")).select("doc_id", "component_id")
 
 
+def _of_one_document(prints: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links (a, b) between the different texts of one doc_id."""
+    text = F.xxhash64("same")
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("doc_id")
+    rows = prints.select("doc_id", "same").join(small(several, 8), "doc_id", "left_semi").distinct()
+    rows = checkpoint(rows.join(heads.select("same", "node"), "same").select("doc_id", "node"))
+    least = rows.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return rows.join(least, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
 def _pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of documents with one value whose sizes allow the similarity; a value has at most CROWD_LOW."""
-    lists = met.groupBy("value").agg(F.collect_list(F.struct("doc_id", "n")).alias("l"))
-    fits = f"b.doc_id > a.doc_id and least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9"
-    return lists.select(F.explode(F.expr(f"flatten(transform(l, a -> transform(filter(l, b -> {fits}), b -> struct(a.doc_id as a, b.doc_id as b))))")).alias("e")).select("e.a", "e.b").distinct()
+    """The pairs of texts with one value whose sizes allow the similarity; a value has at most CROWD_LOW."""
+    lists = met.groupBy("value").agg(F.collect_list(F.struct("node", "n")).alias("l"))
+    fits = f"b.node > a.node and least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9"
+    return lists.select(F.explode(F.expr(f"flatten(transform(l, a -> transform(filter(l, b -> {fits}), b -> struct(a.node as a, b.node as b))))")).alias("e")).select("e.a", "e.b").distinct()
 
 
-def _sets(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
-    """(doc_id, set): the sorted distinct shingle hashes of the documents in ids."""
-    wanted = small(ids.distinct(), 16)
+def _sets(docs: DataFrame, size: int, heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set): the sorted distinct shingle hashes of the texts of the nodes."""
+    wanted = checkpoint(heads.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id", "same"))
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(hashes(t, size)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set"])
+            found = batch.column("text").to_pylist()
+            sets = [np.unique(hashes(t, size)).tobytes() for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(map(digest_of, found), pa.string()), pa.array(sets, pa.binary())], ["same", "set"])
 
-    return map_arrow(texts(docs).join(wanted, "doc_id", "left_semi"), run, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    rows = texts(docs).join(small(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi")
+    return map_arrow(rows, run, "same string, set binary").join(small(wanted.select("same", "node"), 60), "same").select("node", "set").dropDuplicates(["node"])
 
 
 def _open(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """(value, m, doc_id, root) of the crowded values whose documents are not of one class; of values that the same
+    """(value, m, node, root) of the crowded values whose documents are not of one class; of values that the same
     documents have, one."""
-    rows = crowd.select("value", "m", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    who = [F.bit_xor(F.xxhash64("doc_id")).alias("w1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("w2")]
+    rows = crowd.select("value", "m", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    who = [F.bit_xor(F.xxhash64("node")).alias("w1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("w2")]
     values = rows.groupBy("value", "m").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), *who).where("r1 <> r2")
     values = values.groupBy("m", "w1", "w2").agg(F.min("value").alias("value")).select("value")
     return checkpoint(rows.join(small(values, 16), "value", "left_semi"))
@@ -278,12 +296,12 @@ def _tiles(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join the classes of all documents with a common value that are alike. A value's documents are
     dealt into blocks of about TILE, and each two blocks are a tile."""
     blocks = f"cast(ceil(m / {TILE}) as int)"
-    rows = rest.withColumn("own", F.expr(f"cast(pmod(xxhash64(doc_id, 2), {blocks}) as int)"))
+    rows = rest.withColumn("own", F.expr(f"cast(pmod(xxhash64(node, 2), {blocks}) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr(f"sequence(0, {blocks} - 1)")))
-    rows = rows.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root").join(sets, "doc_id")
+    rows = rows.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(sets, "node")
 
     def run(tile: pa.Table) -> pa.Table:
-        ids, (label, _) = tile.column("doc_id").to_numpy(), pd.factorize(tile.column("root").to_numpy())
+        ids, (label, _) = tile.column("node").to_numpy(), pd.factorize(tile.column("root").to_numpy())
         own = [np.frombuffer(x, np.int64) for x in tile.column("set").to_pylist()]
         sizes = np.array([len(x) for x in own])
         row, (column, values) = np.repeat(np.arange(len(own)), sizes), pd.factorize(np.concatenate(own))

@@ -132,6 +132,18 @@ def test_near_classes_lose_no_crowd(spark, monkeypatch, sample, tile):
     assert len({got[i] for i in ids[:151]}) < 20
 
 
+def test_near_classes_of_texts_that_share_a_doc_id(spark):
+    """Each text of a doc_id is held against its own near copies, whatever the order of the rows."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(500)]
+    one, two, far = (random.choices(words, k=200) for _ in range(3))
+    near = lambda t, i: " ".join([*t[:i], "other", *t[i + 1 :]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (9, near(one, 20)), (11, near(two, 30)), (3, " ".join(far)), (8, near(far, 40)), (8, near(far, 150)), (4, near(far, 150))]
+    for own in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in simhash.near_classes(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+        assert got == {(5, 5), (9, 5), (11, 5), (3, 3), (8, 3), (4, 3)}
+
+
 def brute_removed(docs):
     best = {}
     for d, t in docs:

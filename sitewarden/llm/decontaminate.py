@@ -3,7 +3,8 @@
 Texts and benchmark items are normalised alike: lower case, ASCII punctuation and white space as single blanks, UTF-8.
 An item is cut into windows of WINDOW bytes, a new one every STRIDE (a shorter item is one window); a text is
 contaminated by the item if some stretch of it is within an edit budget of one of its windows, RATE of the window's
-length. A window of m bytes and a stretch at most e edits away share at least m + 1 - Q (e + 1) of the window's q-grams,
+length. So a verbatim stretch of WINDOW bytes of an item is surely found, wherever it begins: some window is at most
+STRIDE / 2 bytes off, which the edit budget covers. A window of m bytes and a stretch at most e edits away share at least m + 1 - Q (e + 1) of the window's q-grams,
 and these lie on diagonals no more than e apart.
 
 1. Each q-gram (8 bytes, one machine word) of a text is looked up in a table of the benchmark's; stretches of a
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from sitewarden.llm.common import map_arrow, texts
 
-Q, WINDOW, STRIDE, RATE, LEAST = 8, 64, 32, 0.08, 24
-BLOCK = 2 << 20
+Q, WINDOW, STRIDE, RATE, LEAST = 8, 64, 8, 0.08, 24
+BLOCK = 512 << 10
 PIECE = 4 << 20
 _BLANK = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)

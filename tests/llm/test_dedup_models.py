@@ -311,6 +311,22 @@ def test_decontamination_against_brute_force(spark, tmp_path):
             assert [texts[14][s.start : s.stop] for s in r.spans] == [items[0][1].replace(" ", "\n  ").rstrip(".")]
 
 
+def test_decontamination_finds_partial_leaks():
+    """A verbatim stretch of WINDOW bytes of an item is found wherever it begins, and one of 71 with 5 edits."""
+    random.seed(10)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    make = lambda n: " ".join("".join(random.choices(letters, k=random.randrange(2, 9))) for _ in range(n))
+    item = decontaminate.normalise(make(50)).decode()
+    index = decontaminate.Index.build([(1, item), (2, make(60))])
+    for size, edits in ((64, 0), (71, 5)):
+        for at in range(len(item) - size + 1):
+            leak = list(item[at : at + size])
+            for i in random.sample(range(size), edits):
+                leak[i] = random.choice("0123456789")
+            assert 1 in decontaminate.by_item(index, f"{make(20)}q{''.join(leak)}q{make(20)}"), at
+    assert not decontaminate.by_item(index, make(200))
+
+
 def test_kneser_ney_against_brute_force(spark):
     docs = [(0, "the cat sat on the mat the cat", "en"), (1, "the dog sat on the log", "en"), (2, "", "en"), (3, None, None), (4, "zzz qqq ###", "fr"), (4, "zzz qqq ###", "fr"), (None, "the cat", "en"), (7, "le chat était là", "fr")]
     trusted = {0, 1, 7}

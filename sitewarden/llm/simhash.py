@@ -34,7 +34,7 @@ from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join,
 
 CROWD = 64
 CROWD_LOW = 16
-SAMPLE, COMMON = 16, 200_000
+SAMPLE, COMMON = 4, 200_000
 TILE, COLUMNS = 512, 2048
 BLOCK = 200_000
 SEED = 42
@@ -219,12 +219,13 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     equal = heads.join(firsts, "fp").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
     first_of = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
     close = links(firsts.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
-    one = heads.select("node", "n", "weight", F.explode("low").alias("value"))
-    shared = one.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
-    met = checkpoint(one.join(shared, "value"))
+    # both sides of the join read one exchange, so both need the same two columns
+    one = heads.select("node", F.explode("low").alias("value")).repartition(shuffle_partitions(docs.sparkSession), "value")
+    shared = one.groupBy("value").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("value", "m")
+    met = checkpoint(one.join(shared, "value").join(heads.select("node", "n", "weight"), "node"))
     crowd = met.where(f"m > {CROWD_LOW}")
-    middle = crowd.groupBy("value").agg(F.max_by("node", "weight").alias("middle"))
-    star = crowd.join(middle, "value").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).where("a < b")
+    middle = crowd.groupBy("value").agg(F.max_by("node", "weight").alias("middle"), F.max_by("n", "weight").alias("middle_n"))
+    star = crowd.join(middle, "value").where(F.least("n", "middle_n") >= similarity * F.greatest("n", "middle_n") - 1e-9).select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).where("a < b")
     pairs = checkpoint(_pairs(met.where(f"m <= {CROWD_LOW}"), similarity).unionByName(star).unionByName(equal).unionByName(close).distinct())
     sets = _sets(docs, size, heads, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
@@ -284,12 +285,18 @@ def _sets(docs: DataFrame, size: int, heads: DataFrame, nodes: DataFrame) -> Dat
 
 def _open(crowd: DataFrame, found: DataFrame) -> DataFrame:
     """(value, m, node, root) of the crowded values whose documents are not of one class; of values that the same
-    documents have, one."""
+    documents have, one. Values that are connected by their documents, up to TILE of these, are one value."""
     rows = crowd.select("value", "m", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     who = [F.bit_xor(F.xxhash64("node")).alias("w1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("w2")]
     values = rows.groupBy("value", "m").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), *who).where("r1 <> r2")
     values = values.groupBy("m", "w1", "w2").agg(F.min("value").alias("value")).select("value")
-    return checkpoint(rows.join(small(values, 16), "value", "left_semi"))
+    rows = checkpoint(rows.join(small(values, 16), "value", "left_semi"))
+    least = rows.groupBy("value").agg(F.min("node").alias("a"))
+    cluster = components(rows.join(least, "value").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("k")).where(f"k <= {TILE}")
+    met = rows.join(cluster, "node").join(sizes, "cluster", "left")
+    whole = met.where("k is not null").select(F.col("cluster").alias("value"), F.col("k").alias("m"), "node", "root").distinct()
+    return checkpoint(met.where("k is null").select("value", "m", "node", "root").unionByName(whole))
 
 
 def _tiles(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

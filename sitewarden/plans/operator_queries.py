@@ -48,7 +48,7 @@ def html_title_h1(spark, folder):
 
 
 def html_extract(spark, folder):
-    found = html.observations(responses.from_pages(table(spark, folder, "pages")))
+    found = html.observations(responses.from_pages(table(spark, folder, "pages"), max_bytes=(1 << 31) - 1))
     return found.select("identity", "page.html_lang", "page.charset_declared", F.size("links").cast("long").alias("links"), F.size("page.headings").cast("long").alias("headings"), F.size("page.titles").cast("long").alias("titles"), "page.raw_bytes")
 
 

@@ -50,3 +50,12 @@ def test_every_rule_has_a_query():
 
     names = entry.queries()
     assert all("rule_" + r.replace(".", "_") in names for r in engine.default_registry().families)
+
+
+def test_html_extract_reads_whole_pages(spark, tmp_path):
+    from sitewarden.plans import operator_queries
+
+    page = "<html><body>" + "x" * (1 << 20) + '<h2>Late</h2><a href="/late">late</a></body></html>'
+    spark.createDataFrame([(1, "https://a.example/", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    row = operator_queries.html_extract(spark, str(tmp_path)).first()
+    assert (row.links, row.headings, row.raw_bytes) == (1, 1, len(page))

@@ -1,13 +1,15 @@
 """Chat formatting with typed content parts, in DataFrame functions alone.
 
 A conversation is a set of turns; a turn has a role and an ordered array of parts, each (type, text, uri, units). A
-visitor renders each part by its type: text is escaped and kept, an image, audio or document part becomes a
-placeholder, is recorded as an attachment and counts for `units` x its rate of tokens. The template is
+visitor renders the parts by their types: each run of neighbouring texts is joined, escaped and kept, an image, audio or
+document part becomes a placeholder, is recorded as an attachment and counts for `units` x its rate of tokens. The
+template is
 
     <|im_start|>ROLE\\n BODY <|im_end|>\\n        (without the blanks)
 
 and every control string inside texts and roles is escaped: `<`, any backslashes, `|` gets one backslash more, which
-unescape() takes away again, so that no text can forge a turn.
+unescape() takes away again, so that no text can forge a turn, nor can neighbouring texts that are harmless alone.
+read_back() tells placeholders from texts that only look like them and gives the parts again.
 
 Defined cases: a null conversation id is a conversation of its own; a null role or text is empty; null parts are no
 parts; unknown part types are rendered as text; turns sort by (turn, role, body), nulls first, and repeated rows
@@ -43,12 +45,22 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def render(part: Column) -> Column:
-    """The visitor: what a part leaves in the text."""
-    out = escape(F.coalesce(part["text"], F.lit("")))
-    for kind in RATES:
-        out = F.when(part["type"] == kind, F.lit(f"<|{kind}|>")).otherwise(out)
-    return out
+def is_file(part: Column) -> Column:
+    return F.coalesce(part["type"].isin(*RATES), F.lit(False))
+
+
+def render(parts: Column) -> Column:
+    """The visitor: what a turn's parts leave in its body; a run of texts is one text, whatever its parts."""
+    files = F.filter(F.transform(parts, lambda p, i: F.when(is_file(p), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.array(F.lit(-1)), files, F.array(F.size(parts)))
+
+    def run(i: Column) -> Column:
+        before, after = ends[i], ends[i + 1]
+        texts = F.transform(F.slice(parts, before + 2, after - before - 1), lambda p: F.coalesce(p["text"], F.lit("")))
+        mark = F.when(after < F.size(parts), F.concat(F.lit("<|"), F.get(parts, after)["type"], F.lit("|>"))).otherwise("")
+        return F.concat(escape(F.array_join(texts, "")), mark)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(files)), run), "")
 
 
 def expand(part: Column) -> Column:
@@ -71,13 +83,12 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     loss_spans: for each turn of the role `learn`, in order, (turn_index, turn_start, start, length) in code points of
     formatted; the span is the body without the template. attachments: (ordinal, turn_index, type, uri, tokens).
     """
-    bits = F.coalesce(F.col(parts).cast(PARTS), F.array().cast(PARTS))
-    rows = turns.select(
-        F.col(conv).alias("conv_id"),
-        F.col(turn).alias("_turn"),
-        F.coalesce(F.col(role), F.lit("")).alias("_role"),
-        F.array_join(F.transform(bits, render), "").alias("_body"),
-        F.transform(F.filter(bits, lambda p: expand(p).isNotNull()), lambda p: F.struct(p["type"].alias("type"), p["uri"].alias("uri"), expand(p).alias("tokens"))).alias("_files"),
+    bits = F.filter(F.coalesce(F.col(parts).cast(PARTS), F.array().cast(PARTS)), lambda p: p.isNotNull())
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("_role"), bits.alias("_bits"))
+    rows = rows.select(
+        "conv_id", "_turn", "_role",
+        render(F.col("_bits")).alias("_body"),
+        F.transform(F.filter("_bits", is_file), lambda p: F.struct(p["type"].alias("type"), p["uri"].alias("uri"), expand(p).alias("tokens"))).alias("_files"),
     )
     rows = rows.withColumn("_head", F.concat(F.lit(START), escape_role(F.col("_role")), F.lit("\n")))
     rows = rows.withColumn("_chars", (F.length("_head") + F.length("_body") + len(END)).cast("long"))
@@ -109,13 +120,18 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), loss_texts and formatted_chars, parsed from formatted and loss_spans alone."""
+    """conv_id, turns (role, text, parts), loss_texts and formatted_chars, parsed from formatted and loss_spans alone. A
+    turn's parts are (type, text): its placeholders, without a text, and the texts between them, empty ones left out."""
+    files = rf"<\|({'|'.join(RATES)})\|>"
     pieces = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 2147483647)
 
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
         body = F.substring(piece, F.length(role) + 2, F.length(piece) - F.length(role) - 1 - len(END))
-        return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"))
+        texts = F.transform(F.split(body, files), lambda t: F.struct(F.lit("text").alias("type"), unescape(t).alias("text")))
+        marks = F.transform(F.regexp_extract_all(body, F.lit(files), F.lit(1)), lambda m: F.struct(m.alias("type"), F.lit(None).cast("string").alias("text")))
+        parts = F.flatten(F.transform(F.arrays_zip(texts.alias("t"), marks.alias("m")), lambda z: F.filter(F.array(z["t"], z["m"]), lambda p: p.isNotNull() & (F.coalesce(p["text"], F.lit("-")) != ""))))
+        return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"), parts.alias("parts"))
 
     def masked(span: Column) -> Column:
         piece = F.element_at(F.col("_pieces"), span["turn_index"] + 1)

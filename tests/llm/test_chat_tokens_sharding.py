@@ -36,12 +36,16 @@ def test_token_counts_equal_the_library(spark, tmp_path):
         assert r.n_tokens == want[texts[r.doc_id]] and r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 512)
 
 
-def test_small_caches_change_nothing(spark, tmp_path, monkeypatch):
-    counter = token_counts.PieceCounter(P.path("byte_bpe_50k.json"), P.PATTERN)
-    whole = counter.count(ODD)
-    monkeypatch.setattr(token_counts, "CACHE", 3)
-    monkeypatch.setattr(token_counts, "BLOCK", 2)
-    assert token_counts.PieceCounter(P.path("byte_bpe_50k.json"), P.PATTERN).count(ODD) == whole
+@pytest.mark.parametrize("chunk,hot_docs", [(1, 100), (200, 1), (4 << 20, 10**9)])
+def test_chunks_and_hot_words_change_nothing(spark, monkeypatch, chunk, hot_docs):
+    """Chunks of one document or all, every pre-token hot or none: the same counts as the library's."""
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    monkeypatch.setattr(token_counts, "HOT_DOCS", hot_docs)
+    monkeypatch.setattr(token_counts, "BLOCK", 2000)
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(i % 5, t) for i, t in enumerate(ODD * 2 + ["The cat's mat, the cat"] * 20)]
+    found = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in found.collect()) == sorted((i, len(t.encode()), len(tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in rows)
 
 
 def test_bpe_equals_the_library(spark, tmp_path):

@@ -3,13 +3,14 @@
 Each worker has a DuckDB connection with the merge table (left, right, id): all pairs of tokens whose bytes join to a
 token, ranked by that token's id. The distinct pre-tokens of a slice of texts become token-position rows, one per
 byte; a recursive query joins neighbours to the merge table and contracts each word's leftmost pair of least rank,
-until no word has a pair left. An ordered aggregation gives each word's ids, another joins the ids to the vocabulary
-and gives its bytes again. A text's ids are its words' ids in order; likewise its decoded bytes.
+until no word has a pair left. The recursion is keyed by position, so it holds one row a byte, whatever the steps, and
+each step looks only at words that changed in the last. A text's ids are its words' ids in order. Decoding starts from
+those ids: the ordered aggregation joins each id of a text to the vocabulary and strings their bytes together.
 
-The recursion makes a row per position and step, the square of a word's length; words over LONG bytes are therefore
-merged by a priority queue with the same order of merges. Words are looked up among those that the worker has already
-encoded, in this task or an earlier one; the table of these is emptied when it holds `keep` words. Neither changes a
-result.
+A batch of words has at most WORDS words and BYTES bytes. Words over LONG bytes, which would take a step for each of
+their merges, are merged by a priority queue with the same order of merges. Words are looked up among those that the
+worker has encoded lately, in this task or an earlier one: two tables, of which the older is dropped when the newer
+holds half of `keep` words. None of these changes a result.
 
 Defined cases: a null text is empty and has no ids; special tokens are ordinary text; invalid ids fail in decode();
 repeated rows are encoded one by one; an empty table gives an empty result.
@@ -28,25 +29,26 @@ from sitewarden.llm.common import map_arrow, slices, texts, worker_cache
 from sitewarden.llm.pretokens import Splitter
 
 LONG = 128
-CACHE = 600_000
-#: Words of one recursive query, and bytes of text whose words are encoded together.
-WORDS, SLICE = 20_000, 4 << 20
+#: Words that a worker keeps, about; words and bytes of one recursive query.
+KEEP, WORDS, BYTES = 300_000, 20_000, 512 << 10
+#: Bytes of text whose words are encoded together, and ids that one query decodes.
+SLICE, DECODED = 2 << 20, 500_000
 
-#: One row a token and step of each word that can still change; a word's last step has its result. A token's key is its
-#: word's number and its place in it, 10 bits: one integer to sort by. It stays with the first byte of what it covers.
+#: A token's key is its word's number and its place in it, 10 bits: one integer to sort by. It stays with the first byte
+#: of what it covers; the key of a token that went into its left neighbour is kept with the token -1.
 ENCODE = """
-with recursive step(i, k, t) as (
-  select 0, k, t from bytes_in
-  union all
-  (with pairs as (select i, k, t, lead(t) over o as t2, lead(k) over o as k2, lag(k) over o as k0 from step window o as (order by k)),
-        best as (select pairs.k >> 10 as w, min(m.id * 1024 + (pairs.k & 1023)) as b
+with recursive step(k, t) using key (k) as (
+  select k, t from bytes_in
+  union
+  (with live as (select k, t from recurring.step where t >= 0 and k >> 10 in (select k >> 10 from step)),
+        pairs as (select k, t, lead(t) over o as t2, lead(k) over o as k2 from live window o as (order by k)),
+        best as (select pairs.k >> 10 as w, min((m.id << 20) | ((pairs.k & 1023) << 10) | (pairs.k2 & 1023)) as b
                  from pairs join merges m on m.pair = pairs.t * 65536 + pairs.t2 where pairs.k2 >> 10 = pairs.k >> 10 group by 1)
-   select pairs.i + 1, pairs.k, case when (b & 1023) = (pairs.k & 1023) then b >> 10 else pairs.t end
-   from pairs join best on w = pairs.k >> 10 where not (coalesce(pairs.k0 >> 10, -1) = w and (pairs.k0 & 1023) = (b & 1023)))
-), last as (select k >> 10 as w, max(i) as i from step group by 1)
-select step.k, step.t from step join last on last.w = step.k >> 10 and last.i = step.i order by step.k
+   select unnest([(w << 10) | ((b >> 10) & 1023), (w << 10) | (b & 1023)]), unnest([b >> 20, -1]) from best)
+)
+select k, t from step where t >= 0 order by k
 """
-DECODE = "select w, string_agg(v.hex, '' order by p) as hex from ids_in join vocab v on v.id = ids_in.t group by w"
+DECODE = "select w, array_to_string(list(v.raw order by p), '') as raw from ids_in join vocab v on v.id = ids_in.t group by w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,22 +59,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes words by a rank file."""
 
-    def __init__(self, path: str, pattern: str, keep: int = CACHE):
+    def __init__(self, path: str, pattern: str, keep: int = KEEP):
         import duckdb
 
         self.keep = keep
-
         self.ranks = read_ranks(path)
         self.split = Splitter(pattern)
         self.ids: dict[str, bytes] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         ranks = self.ranks
         pairs = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int64).reshape(-1, 3)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         if len(ranks) > 65536:
             raise ValueError("the merge table packs two ids of 16 bits")
         self.con.register("_m", pa.table({"pair": pairs[:, 0].astype(np.int64) * 65536 + pairs[:, 1], "id": pairs[:, 2].astype(np.int64)}))
-        self.con.register("_v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        # a byte is the character of the same number, since strings can be aggregated in order
+        self.con.register("_v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]}))
         self.con.execute("create table merges as select * from _m")
         self.con.execute("create table vocab as select * from _v")
         self.last = max(ranks.values())
@@ -99,69 +101,61 @@ class Codec:
         return [ranks[p] for p in parts if p]
 
     def learn(self, words: list[str]) -> None:
-        """Put the ids and the decoded bytes of words into the table."""
+        """Put the ids of words into the table."""
         rest: list[tuple[bytes, str]] = []
-        whole: list[str] = []
-        flat: list[int] = []
-        sizes: list[int] = []
         for word in words:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                ids = [rank]
+                self.ids[word] = rank.to_bytes(4, "little")
             elif len(raw) > LONG:
-                ids = self._queue(raw)
+                self.ids[word] = np.array(self._queue(raw), np.int32).tobytes()
             else:
                 rest.append((raw, word))
-                continue
-            whole.append(word)
-            flat += ids
-            sizes.append(len(ids))
-        self._keep(whole, np.array(flat, np.int32), np.array(sizes, np.int64))
         rest.sort(key=lambda x: len(x[0]))
-        for at in range(0, len(rest), WORDS):
-            some = rest[at : at + WORDS]
-            lengths = np.array([len(raw) for raw, _ in some])
+        while rest:
+            lengths = np.array([len(raw) for raw, _ in rest[:WORDS]])
+            n = max(1, int(np.searchsorted(np.cumsum(lengths), BYTES, side="right")))
+            some, rest, lengths = rest[:n], rest[n:], lengths[:n]
             ends = np.cumsum(lengths)
             tokens = self.byte_ids[np.frombuffer(b"".join([raw for raw, _ in some]), np.uint8)].astype(np.int64)
             places = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
             self.con.register("bytes_in", pa.table({"k": np.repeat(np.arange(len(some)), lengths) * 1024 + places, "t": tokens}))
             out = self.con.sql(ENCODE).to_arrow_table()
             self.con.unregister("bytes_in")
-            self._keep([word for _, word in some], out.column("t").to_numpy().astype(np.int32), np.bincount(out.column("k").to_numpy() >> 10, minlength=len(some)))
-
-    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        """Put words into the table, given their ids one after the other."""
-        raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
-        starts = [0, *ends[:-1]]
-        self.ids.update(zip(words, [raw[a:b] for a, b in zip(starts, ends)]))
-        self.bytes.update(zip(words, self.decode(flat, sizes)))
+            raw = out.column("t").to_numpy().astype(np.int32).tobytes()
+            ends = (4 * np.cumsum(np.bincount(out.column("k").to_numpy() >> 10, minlength=len(some)))).tolist()
+            self.ids.update(zip([word for _, word in some], [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-        """The bytes of id sequences, by an ordered aggregation of the vocabulary's bytes."""
-        if not len(flat):
-            return [b""] * len(sizes)
-        if flat.min() < 0 or flat.max() > self.last:
+        """The bytes of id sequences, by an ordered aggregation of the vocabulary's bytes; long ones in several parts."""
+        if len(flat) and (flat.min() < 0 or flat.max() > self.last):
             raise ValueError("an id is not in the vocabulary")
-        self.con.register("ids_in", pa.table({"w": np.repeat(np.arange(len(sizes)), sizes), "p": np.arange(len(flat)), "t": flat}))
-        out = self.con.sql(DECODE).to_arrow_table()
-        self.con.unregister("ids_in")
-        found = dict(zip(out.column("w").to_pylist(), map(bytes.fromhex, out.column("hex").to_pylist())))
-        return [found.get(w, b"") for w in range(len(sizes))]
-
-    def encode(self, batch: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as 32-bit integers, decoded bytes) of each text."""
-        if len(self.ids) > self.keep:
-            self.ids.clear()
-            self.bytes.clear()
+        of, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat))
+        out: list[list[bytes]] = [[] for _ in sizes]
+        for at in range(0, len(flat), DECODED):
+            part = slice(at, at + DECODED)
+            self.con.register("ids_in", pa.table({"w": of[part], "p": place[part], "t": flat[part]}))
+            found = self.con.sql(DECODE).to_arrow_table()
+            self.con.unregister("ids_in")
+            for w, raw in zip(found.column("w").to_pylist(), found.column("raw").to_pylist()):
+                out[w].append(raw.encode("latin-1"))
+        return [b"".join(parts) for parts in out]
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit integers."""
+        if len(self.ids) > self.keep // 2:
+            self.ids, self.older = {}, self.ids
         rows = [list(self.split.pieces(t)) for t in batch]
-        new = [p for p in set().union(*rows) if p not in self.ids]
-        if new:
+        new = set().union(*rows).difference(self.ids)
+        again = new.intersection(self.older)
+        self.ids.update((p, self.older[p]) for p in again)
+        if new := list(new - again):
             self.learn(new)
-        ids, raw = self.ids.__getitem__, self.bytes.__getitem__
-        return [(b"".join(map(ids, row)), b"".join(map(raw, row))) for row in rows]
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, row)) for row in rows]
 
 
-def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: int = CACHE) -> DataFrame:
+def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP) -> DataFrame:
     """(doc_id, ids, decoded) for each row of docs: the ids of the text and the bytes that they decode to. keep: how
     many words a worker keeps; fewer take less memory and more time."""
 
@@ -172,10 +166,9 @@ def roundtrip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
         codec = kept[ranks, pattern, keep]
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                pairs = codec.encode(batch.column("text").to_pylist())
-                flat = np.frombuffer(b"".join(a for a, _ in pairs), np.int32)
-                offsets = np.cumsum([0, *(len(a) // 4 for a, _ in pairs)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([b for _, b in pairs], pa.binary())], ["doc_id", "ids", "decoded"])
+                raw = codec.encode(batch.column("text").to_pylist())
+                flat, sizes = np.frombuffer(b"".join(raw), np.int32), np.array([len(r) // 4 for r in raw], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(codec.decode(flat, sizes), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded binary")

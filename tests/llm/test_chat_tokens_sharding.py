@@ -60,6 +60,27 @@ def test_bpe_equals_the_library(spark, tmp_path):
     assert digest.n_tokens == len(library.encode_ordinary(ODD[3]))
 
 
+def test_bpe_limits_change_nothing(monkeypatch):
+    """Small batches, no cache, decoding in parts, the queue for words of any length or none: the library's ids, all decoded."""
+    import random
+
+    import numpy as np
+
+    random.seed(5)
+    texts = [*ODD, *("".join(chr(random.randrange(0x4E00, 0x9000)) for _ in range(41)) for _ in range(30)), "".join(map(chr, range(256))), "a" * 127 + " " + "b" * 128 + " " + "é" * 64]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = [np.array(library.encode_ordinary(t), np.int32).tobytes() for t in texts]
+    for name, value in ((None, 0), ("LONG", 1), ("LONG", 1000), ("WORDS", 3), ("BYTES", 100), ("DECODED", 7)):
+        with monkeypatch.context() as m:
+            if name:
+                m.setattr(bpe, name, value)
+            codec = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 10 if name == "WORDS" else bpe.KEEP)
+            got = [codec.encode([t])[0] for t in texts] if name == "WORDS" else codec.encode(texts)
+            assert got == want
+            flat = np.frombuffer(b"".join(got), np.int32)
+            assert codec.decode(flat, np.array([len(g) // 4 for g in got])) == [t.encode() for t in texts]
+
+
 def test_bpe_refuses_unknown_ids():
     import numpy as np
 

@@ -22,57 +22,66 @@ CHUNK = 4 << 20
 NO_ID = -(1 << 63)
 
 
-def pack(ids: list, raw: list[bytes], tags: list[str | None] | None = None) -> tuple[str, bytes]:
-    """(key, blob) of documents with a tag each; null ids and tags are kept."""
-    tags = tags or [None] * len(ids)
-    coded = [(t or "").encode() for t in tags]
-    lengths = [-1 if t is None else len(c) for t, c in zip(tags, coded)]
-    numbers = [[NO_ID if i is None else i for i in ids], [len(r) for r in raw], lengths]
-    whole = struct.pack("<q", len(ids)) + np.array(numbers, np.int64).tobytes() + b"".join(coded) + b"".join(raw)
+def pack(ids: list, raw: list[bytes], others: pa.Table | None = None) -> tuple[str, bytes]:
+    """(key, blob) of documents and their other columns, which keep their Arrow types; null ids are kept."""
     import zstandard
 
+    rest = b""
+    if others is not None and others.num_columns:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, others.schema) as stream:
+            stream.write_table(others)
+        rest = sink.getvalue().to_pybytes()
+    numbers = [[NO_ID if i is None else i for i in ids], [len(r) for r in raw]]
+    whole = struct.pack("<qq", len(ids), len(rest)) + np.array(numbers, np.int64).tobytes() + rest + b"".join(raw)
     return hashlib.blake2b(whole, digest_size=16).hexdigest(), zstandard.ZstdCompressor(level=1).compress(whole)
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
-    """(ids, offsets, bytes, tags): document i is bytes[offsets[i]:offsets[i + 1]]."""
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(ids, offsets, bytes, others): document i is bytes[offsets[i]:offsets[i + 1]]; columns() reads the others."""
     import zstandard
 
     whole = zstandard.ZstdDecompressor().decompress(blob)
-    (n,) = struct.unpack_from("<q", whole)
-    ids, sizes, lengths = np.frombuffer(whole, np.int64, 3 * n, 8).reshape(3, n)
-    tags, at = [], 8 + 24 * n
-    for length in lengths.tolist():
-        tags.append(None if length < 0 else whole[at : at + length].decode())
-        at += max(length, 0)
-    return ids, np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(whole, np.uint8, int(sizes.sum()), at), tags
-
-
-def chunked(batches, size: int = CHUNK) -> Iterator[tuple[list, list[bytes], list]]:
-    """The (doc_id, text[, tag]) rows of record batches as runs of ids, UTF-8 texts of about `size` bytes, and tags."""
-    ids, raw, tags, held = [], [], [], 0
+    n, rest = struct.unpack_from("<qq", whole)
+    ids, sizes = np.frombuffer(whole, np.int64, 2 * n, 16).reshape(2, n)
+    at = 16 + 16 * n
+    return ids, np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(whole, np.uint8, int(sizes.sum()), at + rest), whole[at : at + rest]
+
+
+def columns(others: bytes) -> dict[str, pa.Array]:
+    """The other columns of a chunk's documents."""
+    if not others:
+        return {}
+    table = pa.ipc.open_stream(others).read_all().combine_chunks()
+    return {name: table.column(name).chunk(0) for name in table.column_names}
+
+
+def chunked(batches, size: int = CHUNK) -> Iterator[tuple[list, list[bytes], pa.Table]]:
+    """The (doc_id, text, ...) rows of record batches as runs of ids, UTF-8 texts of about `size` bytes, and the others."""
+    ids, raw, parts, held = [], [], [], 0
     for batch in batches:
-        marks = batch.column("tag").to_pylist() if "tag" in batch.schema.names else [None] * batch.num_rows
-        for doc, text, tag in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), marks):
-            own = text.encode()
+        others = batch.select([c for c in batch.schema.names if c not in ("doc_id", "text")])
+        start = 0
+        for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"))):
+            own = text.as_buffer().to_pybytes()
             ids.append(doc)
             raw.append(own)
-            tags.append(tag)
             held += len(own)
             if held >= size:
-                yield ids, raw, tags
-                ids, raw, tags, held = [], [], [], 0
+                yield ids, raw, pa.Table.from_batches([*parts, others.slice(start, i + 1 - start)])
+                ids, raw, parts, held, start = [], [], [], 0, i + 1
+        parts.append(others.slice(start))
     if ids:
-        yield ids, raw, tags
+        yield ids, raw, pa.Table.from_batches(parts)
 
 
 def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(chunk, blob) of (doc_id, text[, tag]). rows must come from a plan that gives the same rows in the same order again,
+    """(chunk, blob) of (doc_id, text, ...). rows must come from a plan that gives the same rows in the same order again,
     such as a scan of files, if the chunks are made more than once."""
 
     def run(batches):
-        for ids, raw, tags in chunked(batches, size):
-            key, blob = pack(ids, raw, tags)
+        for ids, raw, others in chunked(batches, size):
+            key, blob = pack(ids, raw, others)
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
     return map_arrow(rows, run, "chunk string, blob binary")

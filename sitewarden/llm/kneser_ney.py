@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewarden.llm.chunks import NO_ID, chunked, chunks, meet, unpack
+from sitewarden.llm.chunks import NO_ID, chunked, chunks, columns, meet, unpack
 from sitewarden.llm.common import checkpoint, map_arrow, small
 
 ORDER = 5
@@ -137,7 +137,7 @@ def _discounts(model: DataFrame):
     return of
 
 
-def _score(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, tags: list, keys: np.ndarray, logp: np.ndarray) -> pa.RecordBatch:
+def _score(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, lang: pa.Array, keys: np.ndarray, logp: np.ndarray) -> pa.RecordBatch:
     """Mean log probabilities of documents by a table sorted by key that has all their 5-grams."""
     place, found = pd.factorize(grams(sizes, raw))
     at = np.searchsorted(keys, found)
@@ -146,21 +146,21 @@ def _score(ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, tags: list, keys
     each = logp[at].astype(np.float64)[place]
     ends = np.cumsum(sizes + 1)
     total = np.add.reduceat(each, ends - sizes - 1)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=np.asarray(ids) == NO_ID), pa.array(tags, pa.string()), pa.array(sizes), pa.array(-total / (sizes + 1))], ["doc_id", "lang", "n_bytes", "loss"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=np.asarray(ids) == NO_ID), lang, pa.array(sizes), pa.array(-total / (sizes + 1))], ["doc_id", "lang", "n_bytes", "loss"])
 
 
 def losses(rows: DataFrame, counts: DataFrame, limit: int = BROADCAST) -> DataFrame:
     """(doc_id, lang, n_bytes, loss) for each row of (doc_id, text, lang): the mean negative log probability of a symbol."""
     table = checkpoint(probabilities(counts))
     schema = "doc_id long, lang string, n_bytes long, loss double"
-    rows = rows.select("doc_id", "text", F.col("lang").alias("tag"))
+    rows = rows.select("doc_id", "text", "lang")
     if table.count() * 12 <= limit:
         shared = rows.sparkSession.sparkContext.broadcast(_gather(table))
 
         def run(batches):
             keys, logp = shared.value
-            for ids, raw, tags in chunked(batches, BATCH):
-                yield _score(np.array([NO_ID if i is None else i for i in ids], np.int64), np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8), tags, keys, logp)
+            for ids, raw, others in chunked(batches, BATCH):
+                yield _score(np.array([NO_ID if i is None else i for i in ids], np.int64), np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8), others.column("lang").combine_chunks(), keys, logp)
 
         return map_arrow(rows, run, schema)
     packed = chunks(rows)
@@ -183,10 +183,10 @@ def losses(rows: DataFrame, counts: DataFrame, limit: int = BROADCAST) -> DataFr
     replies = map_arrow(asked.repartition("chunk"), reply, "chunk string, reply binary")
 
     def score(key, blob, own):
-        ids, offsets, raw, tags = unpack(blob)
+        ids, offsets, raw, others = unpack(blob)
         both = np.concatenate([np.frombuffer(r, np.int64).reshape(2, -1) for r in own], axis=1) if own else np.zeros((2, 0), np.int64)
         both = both[:, np.argsort(both[0], kind="stable")]
-        yield _score(ids, np.diff(offsets), raw, tags, both[0], both[1].view(np.float64).astype(np.float32))
+        yield _score(ids, np.diff(offsets), raw, columns(others)["lang"], both[0], both[1].view(np.float64).astype(np.float32))
 
     return meet(packed, replies, score, schema)
 

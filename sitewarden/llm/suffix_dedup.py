@@ -29,13 +29,15 @@ gives an empty result. The plan of docs must give the same rows in the same orde
 from __future__ import annotations
 
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sitewarden.llm.chunks import NO_ID, chunks, meet, unpack
+from sitewarden.llm.chunks import NO_ID, chunks, columns, meet, unpack
 from sitewarden.llm.common import checkpoint, map_arrow
 
 DEPTH, Q = 50, 24
@@ -119,7 +121,7 @@ class Chunk:
 
     def __init__(self, blob: bytes, bits: int):
         self.bits = bits
-        self.ids, self.offsets, self.raw, self.tags = unpack(blob)
+        self.ids, self.offsets, self.raw, self.others = unpack(blob)
         self.order = np.where(self.ids == NO_ID, LAST, self.ids)
         self.anchor, self.first, self.count, self.doc = runs(self.offsets, self.raw)
         low = np.uint64((1 << bits) - 1)
@@ -348,12 +350,16 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "reply": pa.array(out, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None, as_text: bool = False) -> DataFrame:
-    """(doc_id, tag, n_bytes, n_removed, n_spans, spans, kept) for each row of docs; spans are the maximal removed runs
-    of the text's UTF-8 bytes, (start, stop), and kept is what remains: bytes, or with as_text a string without what is
-    left of characters that were cut. tag is a string that travels with a row."""
-    tag = F.lit(None) if tag is None else tag
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), tag.cast("string").alias("tag"))
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, spans, kept[, others]) for each row of docs; spans are the maximal removed
+    runs of the text's UTF-8 bytes, (start, stop), and kept is what remains: bytes, or with as_text a string without what
+    is left of characters that were cut, null for a null text. others: columns that travel along, as a struct."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.col(text_col).isNull().alias("null"),
+        *([F.struct(*(docs[c] for c in others)).alias("others")] if others else []),
+    )
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(6, (total // PER_BUCKET).bit_length())
     packed = chunks(rows)
@@ -380,7 +386,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats = checkpoint(repeats)
     strings = meet(packed, repeats, send_strings, sent)
     least = strings.groupBy("bucket").applyInArrow(_resolve, "chunk string, reply binary")
-    schema = "doc_id long, tag string, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept " + ("string" if as_text else "binary")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept " + ("string" if as_text else "binary"))
+    if others:
+        schema = schema.add(rows.schema["others"])
     return meet(packed, repeats.unionByName(least), cut, schema)
 
 
@@ -396,13 +404,16 @@ def _cut(chunk: Chunk, gone: np.ndarray, as_text: bool) -> pa.RecordBatch:
     doc = np.searchsorted(offsets, starts, side="right") - 1
     n_spans = np.bincount(doc, minlength=len(sizes))
     spans = pa.StructArray.from_arrays([pa.array(starts - offsets[doc]), pa.array(stops - offsets[doc])], ["start", "stop"])
-    kept = chunk.raw[~gone].tobytes()
+    others = columns(chunk.others)
+    left = chunk.raw[~gone].tobytes()
     ends = np.concatenate([[0], np.cumsum(sizes - removed)]).tolist()
-    columns = [
-        pa.array(chunk.ids, pa.int64(), mask=chunk.ids == NO_ID),
-        pa.array(chunk.tags, pa.string()),
-        pa.array(sizes), pa.array(removed), pa.array(n_spans),
-        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), spans),
-        pa.array([kept[a:b].decode("utf-8", "ignore") if as_text else kept[a:b] for a, b in zip(ends, ends[1:])], pa.string() if as_text else pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+    kept = [left[a:b] for a, b in zip(ends, ends[1:])]
+    if as_text:
+        kept = [None if null else k.decode("utf-8", "ignore") for k, null in zip(kept, others["null"].to_pylist())]
+    found = {
+        "doc_id": pa.array(chunk.ids, pa.int64(), mask=chunk.ids == NO_ID),
+        "n_bytes": pa.array(sizes), "n_removed": pa.array(removed), "n_spans": pa.array(n_spans),
+        "spans": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), spans),
+        "kept": pa.array(kept, pa.string() if as_text else pa.binary()),
+    } | {name: others[name] for name in ("others",) if name in others}
+    return pa.RecordBatch.from_arrays(list(found.values()), list(found))

@@ -80,6 +80,14 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
+def trim(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, after which a JVM gives back heap that it doesn't need: a job of one
+    short task for each core, so that an executor hardly goes without. It changes no result; it is for between two
+    stages of which the first has grown the heaps and the second needs memory for its Python workers."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).agg(F.count("done")).collect()
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST) -> DataFrame:
     """df, to be broadcast if its rows are counted and found to take at most `limit` bytes, else to be shuffled."""
     df = checkpoint(df)

@@ -3,12 +3,11 @@
 Each worker has a DuckDB connection with the merge table (left, right, id): all pairs of tokens whose bytes join to a
 token, ranked by that token's id. The distinct pre-tokens of a slice of texts become token-position rows, one per
 byte; a recursive query joins neighbours to the merge table and contracts each word's leftmost pair of least rank,
-until no word has a pair left. The recursion is keyed by position, so it holds one row a byte, whatever the steps, and
-each step looks only at words that changed in the last. A text's ids are its words' ids in order. Decoding starts from
+until no word has a pair left. A word takes part in a step only if the last one changed it. A text's ids are its words' ids in order. Decoding starts from
 those ids: the ordered aggregation joins each id of a text to the vocabulary and strings their bytes together.
 
-A batch of words has at most WORDS words and BYTES bytes. Words over LONG bytes, which would take a step for each of
-their merges, are merged by a priority queue with the same order of merges. Words are looked up among those that the
+The recursion holds a row for each position and step, at most half the square of a word's length; a batch of words is cut
+where the squares sum up to SQUARES, which bounds its memory. Words over LONG bytes are merged by a priority queue with the same order of merges. Words are looked up among those that the
 worker has encoded lately, in this task or an earlier one: two tables, of which the older is dropped when the newer
 holds half of `keep` words. None of these changes a result.
 
@@ -29,24 +28,24 @@ from sitewarden.llm.common import map_arrow, slices, texts, worker_cache
 from sitewarden.llm.pretokens import Splitter
 
 LONG = 128
-#: Words that a worker keeps, about; words and bytes of one recursive query.
-KEEP, WORDS, BYTES = 300_000, 20_000, 512 << 10
+#: Words that a worker keeps, about; words, and the sum of their squared lengths, of one recursive query.
+KEEP, WORDS, SQUARES = 500_000, 40_000, 8 << 20
 #: Bytes of text whose words are encoded together, and ids that one query decodes.
-SLICE, DECODED = 2 << 20, 500_000
+SLICE, DECODED = 4 << 20, 500_000
 
-#: A token's key is its word's number and its place in it, 10 bits: one integer to sort by. It stays with the first byte
-#: of what it covers; the key of a token that went into its left neighbour is kept with the token -1.
+#: One row a token and step of each word that can still change; a word's last step has its result. A token's key is its
+#: word's number and its place in it, 10 bits: one integer to sort by. It stays with the first byte of what it covers.
 ENCODE = """
-with recursive step(k, t) using key (k) as (
-  select k, t from bytes_in
-  union
-  (with live as (select k, t from recurring.step where t >= 0 and k >> 10 in (select k >> 10 from step)),
-        pairs as (select k, t, lead(t) over o as t2, lead(k) over o as k2 from live window o as (order by k)),
-        best as (select pairs.k >> 10 as w, min((m.id << 20) | ((pairs.k & 1023) << 10) | (pairs.k2 & 1023)) as b
-                 from pairs join merges m on m.pair = pairs.t * 65536 + pairs.t2 where pairs.k2 >> 10 = pairs.k >> 10 group by 1)
-   select unnest([(w << 10) | ((b >> 10) & 1023), (w << 10) | (b & 1023)]), unnest([b >> 20, -1]) from best)
-)
-select k, t from step where t >= 0 order by k
+with recursive step(i, k, t) as (
+  select 0::utinyint, k, t from bytes_in
+  union all
+  (with pairs as (select i, k, t, lead(t) over o as t2, lead(k) over o as k2, lag(k) over o as k0 from step window o as (order by k)),
+        best as (select pairs.k >> 10 as w, min(m.id * 1024 + (pairs.k & 1023)) as b
+                 from pairs join merges m on m.pair = pairs.t::bigint * 65536 + pairs.t2 where pairs.k2 >> 10 = pairs.k >> 10 group by 1)
+   select (pairs.i + 1)::utinyint, pairs.k, case when (b & 1023) = (pairs.k & 1023) then (b >> 10)::integer else pairs.t end
+   from pairs join best on w = pairs.k >> 10 where not (coalesce(pairs.k0 >> 10, -1) = w and (pairs.k0 & 1023) = (b & 1023)))
+), last as (select k >> 10 as w, max(i) as i from step group by 1)
+select step.k, step.t from step join last on last.w = step.k >> 10 and last.i = step.i order by step.k
 """
 DECODE = "select w, array_to_string(list(v.raw order by p), '') as raw from ids_in join vocab v on v.id = ids_in.t group by w"
 
@@ -114,15 +113,15 @@ class Codec:
         rest.sort(key=lambda x: len(x[0]))
         while rest:
             lengths = np.array([len(raw) for raw, _ in rest[:WORDS]])
-            n = max(1, int(np.searchsorted(np.cumsum(lengths), BYTES, side="right")))
+            n = max(1, int(np.searchsorted(np.cumsum(lengths**2), SQUARES, side="right")))
             some, rest, lengths = rest[:n], rest[n:], lengths[:n]
             ends = np.cumsum(lengths)
-            tokens = self.byte_ids[np.frombuffer(b"".join([raw for raw, _ in some]), np.uint8)].astype(np.int64)
+            tokens = self.byte_ids[np.frombuffer(b"".join([raw for raw, _ in some]), np.uint8)]
             places = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-            self.con.register("bytes_in", pa.table({"k": np.repeat(np.arange(len(some)), lengths) * 1024 + places, "t": tokens}))
+            self.con.register("bytes_in", pa.table({"k": (np.repeat(np.arange(len(some)), lengths) * 1024 + places).astype(np.int32), "t": tokens}))
             out = self.con.sql(ENCODE).to_arrow_table()
             self.con.unregister("bytes_in")
-            raw = out.column("t").to_numpy().astype(np.int32).tobytes()
+            raw = out.column("t").to_numpy().tobytes()
             ends = (4 * np.cumsum(np.bincount(out.column("k").to_numpy() >> 10, minlength=len(some)))).tolist()
             self.ids.update(zip([word for _, word in some], [raw[a:b] for a, b in zip([0, *ends], ends)]))
 

@@ -70,7 +70,7 @@ def test_bpe_limits_change_nothing(monkeypatch):
     texts = [*ODD, *("".join(chr(random.randrange(0x4E00, 0x9000)) for _ in range(41)) for _ in range(30)), "".join(map(chr, range(256))), "a" * 127 + " " + "b" * 128 + " " + "é" * 64]
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = [np.array(library.encode_ordinary(t), np.int32).tobytes() for t in texts]
-    for name, value in ((None, 0), ("LONG", 1), ("LONG", 1000), ("WORDS", 3), ("BYTES", 100), ("DECODED", 7)):
+    for name, value in ((None, 0), ("LONG", 1), ("LONG", 200), ("WORDS", 3), ("SQUARES", 100), ("DECODED", 7)):
         with monkeypatch.context() as m:
             if name:
                 m.setattr(bpe, name, value)

@@ -5,6 +5,9 @@ of equal row counts (law `rows`: counts at most one apart). Neighbours on the cu
 so each run spans a small box and min/max statistics prune files on several columns at once. Rows of one cell order by
 (text_crc32, doc_id), so equal texts of one cell stand together.
 
+A number's cell is its logarithm; a value's cell is the share of rows with lesser values, so that frequent values lie
+apart and order is kept, whatever the number of values.
+
 Only the small columns are sorted, by sampled ranges of the whole key (doc_id included, so that no key is hot). A
 row's rank is its place in its partition plus the rows of the partitions before, a sum over partitions, not rows.
 
@@ -16,10 +19,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import checkpoint, shuffle_partitions
+from sitewarden.llm.common import BROADCAST, checkpoint, hot_keys, lookup_join, shuffle_partitions
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -56,15 +59,29 @@ def by_magnitude(value: Column, bits: int) -> Column:
     return F.least(F.greatest(F.coalesce(cell, F.lit(0)), F.lit(0)), F.lit(2**bits - 1)).cast("int")
 
 
-def by_value(df: DataFrame, value: Column, bits: int) -> Column:
-    """Cells by the rank of a value among the distinct ones; by its hash where there are more than cells."""
-    cells = 2**bits
-    found = sorted(r[0] for r in df.select(value.cast("string").alias("v")).where("v is not null").distinct().limit(cells + 1).collect())
-    if len(found) >= cells:
-        return F.coalesce(F.pmod(F.xxhash64(value), F.lit(cells)), F.lit(0)).cast("int")
-    if not found:
-        return F.lit(0)
-    return F.coalesce(F.array_position(F.array(*map(F.lit, found)), value.cast("string")), F.lit(0)).cast("int")
+def by_share(rows: DataFrame, column: str, bits: int, cell: str, limit: int = BROADCAST) -> DataFrame:
+    """rows with a column `cell`: the cells that the rows with a lesser value of `column` fill, of 2**bits; null has 0.
+
+    Values are counted and put in order by ranges, so no task sees them all. Their cells are broadcast if they take at
+    most `limit` bytes, else joined by shuffle, frequent values apart."""
+    counts = rows.select(F.col(column).cast("string").alias("_value")).where("_value is not null").groupBy("_value").agg(F.count("*").alias("_n"), F.max(F.octet_length("_value")).alias("_bytes"))
+    placed = checkpoint(counts.repartitionByRange(shuffle_partitions(rows.sparkSession), "_value").sortWithinPartitions("_value").withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    parts = {r["_part"]: (r["n"], r["size"]) for r in placed.groupBy("_part").agg(F.sum("_n").alias("n"), F.sum(F.col("_bytes") + 24).alias("size")).collect()}
+    total, starts = 0, []
+    for part in sorted(parts):
+        starts.append((part, total))
+        total += parts[part][0]
+    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = (before + F.col("_start")) * 2**bits / max(total, 1)
+    cells = placed.join(F.broadcast(offsets), "_part").select("_value", F.floor(share).cast("int").alias("_cell"))
+    keyed = rows.withColumn("_value", F.col(column).cast("string"))
+    if sum(size for _, size in parts.values()) <= limit:
+        found = keyed.join(F.broadcast(cells), "_value", "left")
+    else:
+        found = lookup_join(keyed, checkpoint(cells), "_value", hot_keys(keyed, "_value"))
+    return found.select(*rows.columns, F.coalesce("_cell", F.lit(0)).alias(cell))
 
 
 def hilbert_shards(rows: DataFrame, dims: list[Column], bits: int, shards: int, ties: list[str]) -> DataFrame:

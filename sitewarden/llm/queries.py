@@ -37,7 +37,8 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
     rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "lang", "source")
-    dims = [hilbert.by_magnitude(F.col("size"), 5), hilbert.by_value(docs, F.col("lang"), 5), hilbert.by_value(docs, F.col("source"), 5)]
+    rows = hilbert.by_share(hilbert.by_share(rows, "lang", 5, "lang_cell"), "source", 5, "source_cell")
+    dims = [hilbert.by_magnitude(F.col("size"), 5), F.col("lang_cell"), F.col("source_cell")]
     placed = hilbert.hilbert_shards(rows, dims, bits=5, shards=SHARDS, ties=["text_crc32", "doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 

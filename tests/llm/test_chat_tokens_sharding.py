@@ -166,6 +166,43 @@ def test_shards(spark, tmp_path):
     assert set(by_shard) == set(range(8)) and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by_shard.values())
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_shares(spark, limit):
+    values = ["b"] * 50 + ["a"] * 3 + [None] * 7 + [f"v{i:03}" for i in range(100)]
+    rows = spark.createDataFrame([(i, v, "clash") for i, v in enumerate(values)], "i long, v string, _n string")
+    got = {r.i: r.cell for r in hilbert.by_share(rows, "v", 5, "cell", limit).collect()}
+    known = [v for v in values if v is not None]
+    assert got == {i: 0 if v is None else sum(k < v for k in known) * 32 // len(known) for i, v in enumerate(values)}
+
+
+def test_shards_against_brute_force(spark, tmp_path):
+    """The whole order: cells, curve, ties; with more languages than cells."""
+    import math
+    import random
+
+    import numpy as np
+
+    random.seed(6)
+    rows = [(i, random.choice([None, "", "x" * random.randrange(5000), f"t{i % 7}"]), random.choice([None, "en", "en", *(f"l{j}" for j in range(60))]), random.choice([None, "web", "web", "book"]), 0) for i in range(300)]
+    rows += rows[:5] + [(None, "n", "en", "web", 0)]
+    folder = table(spark, tmp_path, rows, DOCS, "documents")
+
+    def share(values):
+        known = [v for v in values if v is not None]
+        return [0 if v is None else sum(k < v for k in known) * 32 // len(known) for v in values]
+
+    size = [len((r[1] or "").encode()) + 1 for r in rows]
+    cells = np.array([[min(31, math.floor(math.log2(s) * 2)) for s in size], share([r[2] for r in rows]), share([r[3] for r in rows])]).T
+    curve = hilbert.hilbert_index(cells, 5)
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], zlib.crc32((rows[i][1] or "").encode()), rows[i][0] is not None, rows[i][0] or 0))
+    want, n = [], len(rows)
+    for rank, i in enumerate(order):
+        shard = rank * 8 // n
+        want.append((rows[i][0], int(curve[i]), shard, rank - -(-shard * n // 8)))
+    got = [(r.doc_id, r.hilbert, r.shard, r.slot) for r in queries.op3_hilbert_shards(spark, folder).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("name", ["op1_simhash_components", "op2_bpe_roundtrip", "op3_hilbert_shards", "op4_language_id", "op6_flac_media", "op7_token_counts", "op10_repeated_substrings"])
 def test_empty_tables(spark, tmp_path, name):
     folder = table(spark, tmp_path, [], DOCS, "documents")

@@ -79,6 +79,8 @@ class Index:
     place_of: np.ndarray
     table: np.ndarray
     shift: np.uint64
+    need: int  # the least bound of a window, and the longest stretch that can match one
+    reach: int
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> Index:
@@ -107,7 +109,7 @@ class Index:
         shift = np.uint64(64 - bits)
         table = np.zeros(1 << bits, bool)
         table[(grams * _MIX) >> shift] = True
-        return cls(np.array(owners, np.int64), windows, budgets, bounds, grams, np.append(first, len(order)), window[order], place[order], table, shift)
+        return cls(np.array(owners, np.int64), windows, budgets, bounds, grams, np.append(first, len(order)), window[order], place[order], table, shift, int(bounds.min()) if windows else 0, int((sizes + budgets).max(initial=0)))
 
     def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(window, start, stop, edits) of verified matches in a normalised text; one for each window and band."""
@@ -116,11 +118,11 @@ class Index:
         grams = grams_of(np.frombuffer(text, np.uint8))
         hit = self.table[(grams * _MIX) >> self.shift]
         at = np.flatnonzero(hit)
-        if len(at) < self.bounds.min():
+        if len(at) < self.need:
             return []
         # stretches with enough hits of any kind: from each hit to the one that completes the least bound
-        need, reach = int(self.bounds.min()), int((np.array([len(w) for w in self.windows]) + self.budgets).max())
-        close = at[need - 1 :] - at[: len(at) - need + 1] <= reach - Q
+        need = self.need
+        close = at[need - 1 :] - at[: len(at) - need + 1] <= self.reach - Q
         cover = np.zeros(len(at) + 1, np.int64)
         cover[np.flatnonzero(close)] += 1
         cover[np.flatnonzero(close) + need] -= 1

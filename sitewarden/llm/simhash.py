@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, shuffle_partitions, small, texts
@@ -78,45 +78,36 @@ def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
     return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
-def grid_cells(values: np.ndarray) -> list[np.ndarray]:
-    """The grid points within 1 of each fingerprint's; a point is 16 counts of 4 bits each in one integer."""
-    x = values.astype(np.int64).view(np.uint64)
-    fives, threes = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333)
-    x = (x & fives) + ((x >> np.uint64(1)) & fives)
-    x = (x & threes) + ((x >> np.uint64(2)) & threes)
-    shifts = np.arange(0, 64, 4, dtype=np.uint64)
-    counts = (x[:, None] >> shifts) & np.uint64(15)
-    step = np.uint64(1) << shifts
-    points = np.concatenate([x[:, None], x[:, None] + step, x[:, None] - step], axis=1)
-    valid = np.concatenate([np.ones((len(x), 1), bool), counts < 4, counts > 0], axis=1)
-    return [row[ok] for row, ok in zip(points.view(np.int64), valid)]
+def grid_cells(fp: Column) -> Column:
+    """The grid points within 1 of a fingerprint's, null for those off the grid; a point is 16 counts of 4 bits each in
+    one integer."""
+    fives, threes = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
+    odd, even = fp.bitwiseAND(fives), F.shiftrightunsigned(fp, 1).bitwiseAND(fives)
+    twos = odd.bitwiseXOR(even).bitwiseOR(F.shiftleft(odd.bitwiseAND(even), 1))
+    point = twos.bitwiseAND(threes) + F.shiftrightunsigned(twos, 2).bitwiseAND(threes)
+    out = [point]
+    for at in range(0, 64, 4):
+        count = F.shiftrightunsigned(point, at).bitwiseAND(F.lit(15))
+        out += [F.when(count < 4, point + (1 << at)), F.when(count > 0, point - (1 << at))]
+    return F.array(*out)
 
 
-def within_one_bit(values: np.ndarray) -> list[np.ndarray]:
-    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
-    return list((values.astype(np.int64).view(np.uint64)[:, None] ^ flips).view(np.int64))
+def within_one_bit(fp: Column) -> Column:
+    return F.array(fp, *(fp.bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between the distinct values of fps.fp that connect all values within 2 bits of each other."""
-
-    @F.pandas_udf("array<long>")
-    def cells_of(fp: pd.Series) -> pd.Series:
-        return pd.Series(grid_cells(fp.to_numpy()))
-
-    @F.pandas_udf("array<long>")
-    def near_of(fp: pd.Series) -> pd.Series:
-        return pd.Series(within_one_bit(fp.to_numpy()))
-
-    # fingerprints are few bytes, their cells are not: so many partitions that each task's cells stay small
-    fps = fps.repartition(shuffle_partitions(fps.sparkSession), "fp")
-    cells = fps.select("fp", F.explode(cells_of("fp")).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    parts = shuffle_partitions(fps.sparkSession)
+    # fingerprints are few bytes, their cells are not: so many partitions that each task's cells stay small; both sides of
+    # the join then read one exchange of the cells, for which both need the same two columns
+    cells = fps.repartition(parts, "fp").select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell")).where("cell is not null").repartition(parts, "cell")
+    shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("cell", "n")
     met = checkpoint(cells.join(shared, "cell"))
     pairs = met.where(f"n <= {CROWD}").groupBy("cell").agg(F.collect_list("fp").alias("l"))
     pairs = pairs.select(F.explode(F.expr("flatten(transform(l, a -> transform(filter(l, b -> b > a and bit_count(a ^ b) <= 2), b -> struct(a, b))))")).alias("e")).select("e.a", "e.b").distinct()
     crowd = met.where(f"n > {CROWD}").select("fp").distinct()
-    spread = crowd.select("fp", F.explode(near_of("fp")).alias("value"))
+    spread = crowd.select("fp", F.explode(within_one_bit(F.col("fp"))).alias("value"))
     centre = spread.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     star = spread.join(centre, "value").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
     return pairs.unionByName(star)

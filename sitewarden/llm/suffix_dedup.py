@@ -11,9 +11,10 @@ repeat where its anchor repeats, so suffixes are brought together by anchors.
    by anchor. Strings that share an anchor but differ are dealt to shards; each shard's suffix array and Burrows-Wheeler
    transform are built, and the transforms are merged by refining an interleave: it starts with the shards one after
    the other and is stably sorted by the preceding symbols, two at a time, until it is in the order of the first DEPTH
-   symbols. No suffixes of different shards are ever compared or sorted again. The blocks carried along are the
-   intervals with a common prefix of DEPTH symbols: each gives the least doc_id of its string. A string that is alone
-   with its anchor is an interval by itself.
+   symbols. No suffixes of different shards are ever compared or sorted again. The round in which two neighbours come
+   apart is the length of their common prefix, in steps of two symbols; repeated intervals are where no prefix is
+   shorter than DEPTH, and each gives the least doc_id of its string. A string that is alone with its anchor is an
+   interval by itself.
 3. The least doc_ids go back to the chunks, which mark and remove.
 
 Every string is sent once by a chunk, however often the chunk has it. An anchor that more than CROWD chunks have, or that
@@ -23,7 +24,8 @@ the input.
 
 Defined cases: null texts are empty; texts shorter than DEPTH keep everything; null doc_ids count as larger than all
 others and don't remove each other; rows with one doc_id, repeated ones too, never remove each other; an empty table
-gives an empty result. The plan of docs must give the same rows in the same order again (a scan does).
+gives an empty result. The plan of docs must give the same rows in the same order again (a scan does); if it
+doesn't, a chunk finds no answers and the job fails by name.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ STEP = 1 << 15
 #: Bytes of text a bucket answers for, at least 2**6 buckets; larger with larger executors, so that more is sent in a row.
 PER_BUCKET = 4 << 20
 LAST = (1 << 63) - 1
+CHANGED = "a chunk has no answer for what it sends: the plan of docs gave other rows, or in another order, when it ran again"
 #: In an answer: the windows of this string have least doc_ids of their own.
 MANY = -(1 << 63)
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -140,7 +143,10 @@ class Chunk:
         """Keep the runs whose anchor repeats, here or elsewhere; split those of crowded anchors into windows."""
         repeats, crowded = np.zeros(len(self.codes), bool), np.zeros(len(self.codes), bool)
         buckets = (self.codes >> np.uint64(40)).astype(np.int64)
-        for answer in answers:
+        by_bucket = {struct.unpack_from("<q", a, 1)[0]: a for a in answers}
+        if by_bucket.keys() != set(buckets.tolist()):
+            raise RuntimeError(CHANGED)
+        for answer in by_bucket.values():
             bucket, n = struct.unpack_from("<qq", answer, 1)
             a = int(np.searchsorted(buckets, bucket))
             bits = np.unpackbits(np.frombuffer(answer, np.uint8, -1, 17)).astype(bool)
@@ -192,6 +198,8 @@ class Chunk:
         import zstandard
 
         by_bucket = {struct.unpack_from("<q", a, 1)[0]: a for a in answers}
+        if by_bucket.keys() != set(self.bucket.tolist()):
+            raise RuntimeError(CHANGED)
         least, own = np.full(len(self.strings), LAST, np.int64), {}
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(self.bucket)]):
@@ -244,21 +252,26 @@ def transform(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, block) of the merged order of all shards' suffixes: blocks agree in the first `depth` symbols.
+    """(shard, lcp) of the merged order of all shards' suffixes: lcp is the length of the common prefix with the suffix
+    before, rounded down to an even number, `depth` at most.
 
     Each round sorts the interleave stably by the two symbols before; a shard's suffixes keep their own order, so the
-    transforms are read in sequence and no suffix is looked at."""
+    transforms are read in sequence and no suffix is looked at. Places of neighbours that differ stay where they are in
+    later rounds, so the round in which one appears tells the common prefix."""
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    block = np.zeros(len(shard), np.int32)
-    for _ in range(depth // 2):
+    block, lcp = np.zeros(len(shard), np.int32), np.full(len(shard), depth, np.uint8)
+    apart = np.zeros(len(shard), bool)
+    for length in range(0, depth, 2):
         before = np.empty(len(shard), np.uint16)
         for s, t in enumerate(transforms):
             before[shard == s] = t
         order = np.argsort(before, kind="stable")
         shard, block, before = shard[order], block[order], before[order]
-        new = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
-        block = np.concatenate([[0], np.cumsum(new)]).astype(np.int32)
-    return shard, block
+        now = np.concatenate([[True], (before[1:] != before[:-1]) | (block[1:] != block[:-1])])[: len(shard)]
+        lcp[now & ~apart] = length
+        apart = now
+        block = np.cumsum(now, dtype=np.int32) - 1
+    return shard, lcp
 
 
 def least_by_window(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
@@ -275,15 +288,16 @@ def least_by_window(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]
         whole = np.append(place[:-1] + DEPTH < np.repeat(sizes, sizes), False)
         order = suffix_array(text)
         built.append((transform(text, order), string[order], place[order], whole[order]))
-    shard, block = merge([b[0] for b in built], DEPTH)
-    best = np.full(int(block.max()) + 1, LAST, np.int64)
+    shard, lcp = merge([b[0] for b in built], DEPTH)
+    interval = np.cumsum(lcp < DEPTH) - 1
+    best = np.full(int(interval[-1]) + 1, LAST, np.int64)
     spots = [np.flatnonzero(shard == s) for s in range(len(built))]
     for (_, string, _, whole), spot in zip(built, spots):
-        np.minimum.at(best, block[spot[whole]], least[string[whole]])
+        np.minimum.at(best, interval[spot[whole]], least[string[whole]])
     for i, s in enumerate(strings):
         out[i] = np.empty(len(s) - DEPTH + 1, np.int64)
     for (_, string, place, whole), spot in zip(built, spots):
-        of, at, value = string[whole], place[whole], best[block[spot[whole]]]
+        of, at, value = string[whole], place[whole], best[interval[spot[whole]]]
         order = np.argsort(of.astype(np.int64) * (1 << 20) + at)
         of, value = of[order], value[order]
         cuts = np.flatnonzero(np.diff(of, prepend=-1))

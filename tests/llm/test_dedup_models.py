@@ -202,6 +202,30 @@ def test_merge_orders_shards():
             assert got[i][o] == min(least[j] for j, t in enumerate(strings) if s[o : o + 50] in t)
 
 
+def test_a_chunk_without_its_answers_fails():
+    _, blob = chunks.pack([1, 2], [b"x" * 60, b"y" * 70])
+    with pytest.raises(RuntimeError, match="chunk has no answer"):
+        suffix_dedup.Chunk(blob, 6).choose([])
+
+
+def test_merge_derives_common_prefixes():
+    """The merged order is that of the first symbols, and lcp what neighbours share of them, in steps of two."""
+    random.seed(16)
+    texts, built = [], []
+    for _ in range(3):
+        own = "".join(random.choices("ab", k=70)) + random.choice(["", "ab" * 30])
+        texts.append(np.frombuffer((own + "\x01\x00").encode(), np.uint8))
+        order = suffix_dedup.suffix_array(texts[-1])
+        built.append((suffix_dedup.transform(texts[-1], order), order))
+    shard, lcp = suffix_dedup.merge([t for t, _ in built], 50)
+    left = [iter(order.tolist()) for _, order in built]
+    heads = [np.roll(texts[s], -next(left[s])).tobytes()[:50] for s in shard.tolist()]
+    assert heads == sorted(heads)
+    for i in range(1, len(heads)):
+        shared = next((n for n in range(50) if heads[i][n] != heads[i - 1][n]), 50)
+        assert lcp[i] == shared // 2 * 2
+
+
 def test_flac_round_trips():
     random.seed(7)
     payloads = [bytes(64), bytes(random.randrange(256) for _ in range(4096)), bytes([7] * 1024) + bytes(range(256)) * 5, b"text and more text " * 64, bytes(np.cumsum(np.random.default_rng(1).integers(-3, 4, 8192)).astype(np.int64) & 255)]

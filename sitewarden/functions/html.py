@@ -98,13 +98,16 @@ def parse_link_header(value: str) -> tuple[list[str], list[dict]]:
     return canonicals, alternates
 
 
-def extract(url: str, status: int, content_type: str, headers: list[tuple[str, str]], body: bytes, truncated: bool = False, duration_ms: int | None = None, redirects: list[dict] | None = None) -> dict:
-    """The observation of one response, as the nested record of schemas.OBSERVATION."""
+def extract(url: str, status: int | None, content_type: str | None, headers: list[tuple[str, str]] | None, body: bytes | None, truncated: bool = False, duration_ms: int | None = None, redirects: list[dict] | None = None) -> dict:
+    """The observation of one response, as the nested record of schemas.OBSERVATION.
+
+    A response without a status is one that failed, so it counts as an error; missing headers or body are empty ones."""
+    headers, body = headers or [], body or b""
     document = parse_url(url)
     text, encoding, fallback, declared = decode_body(content_type, body)
     low = text.lower()
     page = {
-        "flags": {"truncated": truncated, "challenge": "cf-chl-" in low or "<title>just a moment" in low, "error_status": status >= 400, "non_html": not is_html(content_type, text), "encoding_fallback": fallback},
+        "flags": {"truncated": truncated, "challenge": "cf-chl-" in low or "<title>just a moment" in low, "error_status": status is None or status >= 400, "non_html": not is_html(content_type, text), "encoding_fallback": fallback},
         "status": status, "content_type": content_type, "duration_ms": duration_ms, "raw_bytes": len(body), "decoded_bytes": len(text.encode()),
         "encoding": encoding, "charset_declared": declared, "doctype": None, "html_lang": None, "titles": [], "descriptions": [], "headings": [],
         "robots_meta": [], "robots_headers": [v for k, v in headers if k.lower() == "x-robots-tag"], "canonicals": [], "hreflangs": [], "viewport": None,

@@ -28,7 +28,7 @@ def parse(text: str, errors: list[str] | None = None) -> dict:
     sitemaps: list[str] = []
     errors = list(errors or [])
     group, has_rules = None, False
-    for number, line in enumerate(text.splitlines(), 1):
+    for number, line in enumerate(text.split("\n"), 1):  # at line feeds only; a carriage return before one is stripped
         body = line.split("#", 1)[0].strip()
         if not body:
             if not line.strip():

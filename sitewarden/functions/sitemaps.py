@@ -6,10 +6,13 @@ import re
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from sitewarden.functions import urls as U
+
 #: The limits of the crawl.
 MAX_BYTES, MAX_DEPTH, MAX_FILES = 1 << 20, 4, 64
 _ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
@@ -55,40 +58,66 @@ class SitemapLocations:
             yield parsed[0], None, None
 
 
+def _parse_all(bodies: pd.Series) -> pd.DataFrame:
+    kinds, found = [], []
+    for body in bodies:
+        raw = inflate(bytes(body or b""))
+        parsed = None if raw is None else parse(raw.decode("utf-8", "replace"))
+        kinds.append("oversized" if raw is None else "parse_error" if parsed is None else parsed[0])
+        found.append(parsed[1] if parsed else [])
+    return pd.DataFrame({"kind": kinds, "locations": found})
+
+
+def parse_column(body: Column) -> Column:
+    """A document's kind (urlset, sitemapindex, oversized, parse_error) and its locations; a null body is an empty one."""
+    return F.pandas_udf(_parse_all, "kind string, locations array<string>")(body)
+
+
+def _admit(queue: list[tuple[str, str, int]], files: int, seen: set[str], origin: str) -> list[tuple[dict, int]]:
+    """(record, depth) of a level in queue order; the state of those that can be fetched is still open (None)."""
+    home, out = U.parse(origin), []
+    for href, parent, depth in queue:
+        target = U.parse(href, U.parse(parent))
+        record = {"url": href, "identity": target.text(fragment=False) if target else None, "state": None, "reason": "", "listed_urls": 0}
+        if files + len(out) >= MAX_FILES:
+            record |= {"identity": None, "state": "capped", "reason": f"more than {MAX_FILES} files"}
+        elif depth > MAX_DEPTH:
+            record |= {"identity": None, "state": "depth_limit", "reason": f"deeper than {MAX_DEPTH}"}
+        elif target is None:
+            record |= {"state": "parse_error", "reason": "not an address"}
+        elif (target.scheme, target.host, target.effective_port) != (home.scheme, home.host, home.effective_port):
+            record |= {"state": "cross_origin", "reason": "another origin"}
+        elif record["identity"] in seen:
+            record |= {"state": "cycle", "reason": "already visited"}
+        else:
+            seen.add(record["identity"])
+        out.append((record, depth))
+    return out
+
+
 def walk(documents: DataFrame, roots: list[str], origin: str) -> tuple[list[dict], list[dict]]:
     """(files, urls) of the sitemaps reached from roots, breadth first, each file once, within the limits.
 
-    documents has (url, body); a level of the index is one lookup, and there are at most MAX_FILES files."""
-    files, urls, seen, queue = [], [], set(), [(r, 0) for r in roots]
+    documents has (url, body), of one address one row. The files of a level are chosen in the order of the queue, at
+    most MAX_FILES in all whatever becomes of them; one lookup finds their bodies, which are parsed where they are, and
+    only locations come back."""
+    files, urls, seen, queue = [], [], set(), [(r, origin, 0) for r in roots]
     while queue:
-        level = {u for u, _ in queue if u.startswith(origin)}
-        bodies = {r["url"]: bytes(r["body"]) for r in documents.where(F.col("url").isin(*level)).limit(MAX_FILES).collect()} if level else {}
-        nxt = []
-        for url, depth in queue:
-            record = {"url": url, "state": "fetched", "reason": "", "listed_urls": 0}
+        level = _admit(queue, len(files), seen, origin)
+        wanted = [r["identity"] for r, _ in level if r["state"] is None]
+        rows = documents.where(F.col("url").isin(*wanted)).select("url", parse_column(F.col("body")).alias("p")).select("url", "p.*").collect() if wanted else []
+        found, queue = {r["url"]: (r["kind"], list(r["locations"])) for r in rows}, []
+        for record, depth in level:
             files.append(record)
-            if url in seen:
-                record |= {"state": "cycle", "reason": "already visited"}
-            elif not url.startswith(origin):
-                record |= {"state": "cross_origin", "reason": "another origin"}
-            elif depth > MAX_DEPTH:
-                record |= {"state": "depth_limit", "reason": f"deeper than {MAX_DEPTH}"}
-            elif len(seen) >= MAX_FILES:
-                record |= {"state": "capped", "reason": f"more than {MAX_FILES} files"}
-            elif url not in bodies:
-                record |= {"state": "inaccessible", "reason": "not fetched"}
+            if record["state"] is not None:
+                continue
+            kind, locations = found.get(record["identity"], ("inaccessible", []))
+            if kind in ("urlset", "sitemapindex"):
+                record |= {"state": "fetched", "listed_urls": len(locations)}
             else:
-                seen.add(url)
-                raw = inflate(bodies[url])
-                parsed = None if raw is None else parse(raw.decode("utf-8", "replace"))
-                if raw is None:
-                    record |= {"state": "oversized", "reason": f"more than {MAX_BYTES} bytes"}
-                elif parsed is None:
-                    record |= {"state": "parse_error", "reason": "no urlset or sitemapindex"}
-                elif parsed[0] == "sitemapindex":
-                    nxt += [(u, depth + 1) for u in parsed[1]]
-                else:
-                    record["listed_urls"] = len(parsed[1])
-                    urls += [{"original": u, "source_sitemap": url} for u in parsed[1]]
-        queue = nxt
+                record |= {"state": kind, "reason": {"oversized": f"more than {MAX_BYTES} bytes", "parse_error": "no urlset or sitemapindex"}.get(kind, "not fetched")}
+            if kind == "sitemapindex":
+                queue += [(loc, record["identity"], depth + 1) for loc in locations]
+            elif kind == "urlset":
+                urls += [{"original": loc, "source_sitemap": record["identity"]} for loc in locations]
     return files, urls

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,24 +25,32 @@ def homepage(ev: Evidence) -> str | None:
 
 
 def bfs(edges: DataFrame, root: str, max_depth: int = 10_000) -> DataFrame:
-    """(node, depth, parent, rank) of the nodes reached from root.
+    """(node, depth, parent, rank) of the nodes reached from root; RuntimeError if some are deeper than max_depth.
 
     Nodes are visited in the order of a queue whose children are sorted: a node's parent is the neighbour that was
     visited first, its rank within its depth follows (parent's rank, node). Each level is a join of the frontier with
-    the edges and an anti-join with what was seen; levels are checkpointed. Only the ranks of one level are put in
-    order, by range partitions and not in one task."""
+    the edges and an anti-join with what was seen; levels are checkpointed, and runs of as many levels are merged, so
+    that a node is written again as often as the depth can be halved. Only the ranks of one level are put in order, by
+    range partitions and not in one task."""
     spark = edges.sparkSession
     edges = checkpoint(edges)
     frontier = spark.createDataFrame([(root, 0, None, 0)], "node string, depth int, parent string, rank long")
-    seen = frontier
+    seen = [(1, frontier)]
     for depth in range(1, max_depth + 1):
-        reached = edges.join(frontier.select(F.col("node").alias("src"), F.col("rank").alias("_r")), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        reached = edges.join(frontier.select(F.col("node").alias("src"), F.col("rank").alias("_r")), "src").join(_all(seen).select(F.col("node").alias("dst")), "dst", "left_anti")
         first = reached.groupBy("dst").agg(F.min(F.struct("_r", "src")).alias("p"))
         frontier = checkpoint(_ranked(first, depth))
         if frontier.isEmpty():
-            return seen
-        seen = checkpoint(seen.unionByName(frontier))
-    return seen
+            return _all(seen)
+        seen.append((1, frontier))
+        while len(seen) > 1 and seen[-1][0] == seen[-2][0]:
+            (n, last), (_, before) = seen.pop(), seen.pop()
+            seen.append((2 * n, checkpoint(before.unionByName(last))))
+    raise RuntimeError(f"there are nodes deeper than {max_depth}")
+
+
+def _all(levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (level for _, level in levels))
 
 
 def _ranked(first: DataFrame, depth: int) -> DataFrame:
@@ -54,13 +64,21 @@ def _ranked(first: DataFrame, depth: int) -> DataFrame:
 
 
 def paths(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, path array) from the root for the given nodes, by climbing one parent a round."""
+    """(node, path array) from the root for the given nodes (node, depth).
+
+    A row for each place of a path climbs to its ancestor by jumps of 1, 2, 4, ... parents, so that a path of any
+    length takes as many rounds as its length can be halved."""
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    out = nodes.select("node", F.col("parent").alias("_at"), F.array("node").alias("path"))
-    up = tree.select(F.col("node").alias("_at"), F.col("parent").alias("_up"))
-    for _ in range(deepest):
-        out = out.join(up, "_at", "left").select("node", F.col("_up").alias("_at"), F.when(F.col("_at").isNotNull(), F.concat(F.array("_at"), "path")).otherwise(F.col("path")).alias("path"))
-    return out.select("node", "path")
+    jump = tree.where("parent is not null").select(F.col("node").alias("_from"), F.col("parent").alias("_to"))
+    rows = nodes.select("node", F.explode(F.sequence(F.lit(0), "depth")).alias("_up")).withColumn("_at", F.col("node"))
+    for bit in range(deepest.bit_length()):
+        if bit:
+            again = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+            jump = checkpoint(jump.join(again, "_to").select("_from", F.col("_next").alias("_to")))
+        climbs = F.shiftright("_up", bit).bitwiseAND(F.lit(1)) == 1
+        rows = rows.join(jump, climbs & (F.col("_at") == F.col("_from")), "left").select("node", "_up", F.coalesce("_to", "_at").alias("_at"))
+    steps = F.sort_array(F.collect_list(F.struct((-F.col("_up")).alias("i"), "_at")))
+    return rows.groupBy("node").agg(F.transform(steps, lambda s: s["_at"]).alias("path"))
 
 
 def inbound(edges: DataFrame) -> DataFrame:
@@ -81,4 +99,6 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("e")).select("e.*").distinct()

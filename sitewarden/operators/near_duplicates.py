@@ -1,10 +1,13 @@
-"""Exact and near-duplicate groups of page texts: boilerplate removal, equal texts, 64-bit simhash with four bands.
+"""Exact and near-duplicate groups of page texts: boilerplate removal, equal texts, 64-bit simhash in blocks.
 
-Rows are (id, text). Equal fingerprints are one row from the start. Fingerprints that share one of four 16-bit bands
-are compared in an equi-join on the band; with up to three differing bits some band is equal, so nothing is missed."""
+Rows are (id, text). Equal fingerprints are one row from the start. The bits are cut into h + 3 blocks, h being the most
+bits that may differ; two fingerprints within h bits have three equal blocks at least, so they meet in an equi-join on
+some three blocks with their values. For h = 3 such a key has 32 bits, so that few meet that aren't near."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +18,9 @@ from sitewarden.functions import text as T
 from sitewarden.operators.graph import components
 from sitewarden.sources.tables import checkpoint
 
-SHINGLE, BANDS, BAND_BITS = 5, 4, 16
+SHINGLE, BITS = 5, 64
+#: Equal blocks of a key: as many as leave at most so many keys a fingerprint.
+EQUAL, KEYS = 3, 100
 #: Distances of pairs that were never compared.
 UNCOMPARED = 4294967295
 
@@ -82,23 +87,37 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def block_keys(max_hamming: int) -> list[int]:
+    """Masks of bits, of which two fingerprints within max_hamming agree in one at least."""
+    for equal in range(EQUAL, 0, -1):
+        n = max_hamming + equal
+        edges = [BITS * i // n for i in range(n + 1)]
+        blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+        masks = [sum(chosen) for chosen in combinations(blocks, equal)]
+        if len(masks) <= KEYS:
+            break
+    return masks
+
+
 def near_pairs(prints: DataFrame, max_hamming: int) -> DataFrame:
-    """(a, b, distance): pairs of distinct fingerprints that share a band and are within max_hamming."""
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", BAND_BITS * i).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).alias("value")) for i in range(BANDS)))
-    keys = prints.select("fp").distinct().select("fp", F.explode(bands).alias("k")).select("fp", "k.band", "k.value")
+    """(a, b, distance): the pairs of distinct fingerprints within max_hamming."""
+    signed = lambda mask: F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
+    keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(signed(m)).alias("value")) for i, m in enumerate(block_keys(max_hamming))))
+    keys = prints.select("fp").distinct().select("fp", F.explode(keys).alias("k")).select("fp", "k.mask", "k.value")
     left, right = keys.withColumnRenamed("fp", "a"), keys.withColumnRenamed("fp", "b")
-    pairs = left.join(right, ["band", "value"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
+    pairs = left.join(right, ["mask", "value"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b")))
     return pairs.where(F.col("distance") <= max_hamming).select("a", "b", "distance").distinct()
 
 
 def groups(rows: DataFrame, min_pages: int = 3, min_tokens: int = 12, max_hamming: int = 3) -> DataFrame:
     """(method, fingerprint, distance, members): exact groups, and clusters of near ones outside exact groups."""
     stripped = strip_boilerplate(rows, min_pages).where(F.size("words") > 0)
-    stripped = checkpoint(stripped.select("id", F.array_join("words", " ").alias("rest"), F.size("words").alias("n"), simhash_udf("words").alias("fp")))
+    rest = F.array_join("words", " ")
+    stripped = checkpoint(stripped.select("id", F.sha2(rest, 256).alias("rest"), T.hex64(T.fnv1a64(rest)).alias("print"), F.size("words").alias("n"), simhash_udf("words").alias("fp")))
     sizes = stripped.groupBy("rest").agg(F.count("*").alias("copies"))
     marked = stripped.join(sizes, "rest")
-    equal = marked.where("copies > 1").groupBy("rest").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    exact = equal.select(F.lit("exact").alias("method"), T.hex64(T.fnv1a64(F.col("rest"))).alias("fingerprint"), F.lit(None).cast("long").alias("distance"), "members")
+    equal = marked.where("copies > 1").groupBy("rest", "print").agg(F.sort_array(F.collect_list("id")).alias("members"))
+    exact = equal.select(F.lit("exact").alias("method"), F.col("print").alias("fingerprint"), F.lit(None).cast("long").alias("distance"), "members")
     single = checkpoint(marked.where((F.col("copies") == 1) & (F.col("n") >= min_tokens)).select("id", "fp"))
     pairs = checkpoint(near_pairs(single, max_hamming))
     roots = components(pairs.select("a", "b"))

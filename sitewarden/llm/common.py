@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_ONE_IN = 200
 #: The most bytes of a measured side of a join that is broadcast.
 BROADCAST = 32 << 20
+#: Edges of a graph that a task gets, at least.
+EDGES = 100_000
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -117,18 +119,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): each
     round every node links its larger neighbours, then its smaller ones, to the least node that it sees. Each is an
     aggregation to a minimum and a join on the node, so no neighbourhood is gathered. A round's edges are written to
-    the checkpoint folder; the rounds end when no edge changes.
+    the checkpoint folder; the rounds end when no edge changes. Edges are dealt to one task for every EDGES of them, so
+    that the many rounds of a small graph don't cost a task and a file for each shuffle partition.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
+    parts = min(shuffle_partitions(edges.sparkSession), 1 + edges.count() // EDGES)
+    edges, seen = edges.coalesce(parts), None
     for _ in range(max_rounds):
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("x"), F.col("m").alias("y")).coalesce(parts).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.explode(F.array(F.struct(F.col("x").alias("u"), "m"), F.struct(F.col("y").alias("u"), "m"))).alias("e"))
-        small = small.select(F.greatest("e.u", "e.m").alias("a"), F.least("e.u", "e.m").alias("b"))
-        edges = checkpoint(small.where("a <> b").distinct())
+        small = small.select(F.greatest("e.u", "e.m").alias("a"), F.least("e.u", "e.m").alias("b")).where("a <> b").coalesce(parts)
+        edges = checkpoint(small.distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -136,7 +140,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     pairs = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))
-    return edges.select(F.explode(pairs).alias("e")).select("e.node", "e.root").distinct()
+    return edges.select(F.explode(pairs).alias("e")).select("e.node", "e.root").distinct().coalesce(parts)
 
 
 def slices(batch, column: str, limit: int):

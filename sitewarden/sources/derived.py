@@ -35,20 +35,21 @@ select k, concat(case when k % 17 = 0 then 'http' else 'https' end, '://shop.exa
   k % 43 = 0 as has_frames, k % 47 = 0 as has_plugin, case when k % 37 = 0 then '5; url=/x' end as refresh,
   case when k % 3 = 0 then null when k % 12 = 1 then 'de-DE' else 'en' end as html_lang,
   case when k % 31 = 0 then 'noindex, nofollow' end as robots_header, case when k % 59 = 0 then 'NOINDEX' end as robots_meta,
-  case when k % 19 = 11 or k % 19 = 13 then 1 + k % 2 else 0 end as n_hops, k % 38 = 11 as hops_loop
+  case when k % 19 = 11 or k % 19 = 13 then 1 + k % 2 else 0 end as n_hops, k % 38 = 11 as hops_loop,
+  k % 101 = 9 as challenged, k % 103 = 8 as fallback
 from v_keys
 union all
 select -1 - s_suppkey, concat('https://ext.example/s/', s_suppkey), case when s_nationkey % 5 = 0 then 403 when s_nationkey % 5 = 1 then 404 else 200 end,
   false, true, case when s_nationkey % 2 = 0 then 'application/pdf' else 'text/html; charset=utf-8' end,
-  null, null, 0, null, true, null, 10, false, false, null, null, null, null, 0, false
+  null, null, 0, null, true, null, 10, false, false, null, null, null, null, 0, false, false, false
 from supplier""",
-    "v_cp": "select * from v_pages where not truncated and status < 400 and not non_html",
+    "v_cp": "select * from v_pages where not truncated and status < 400 and not non_html and not challenged and not fallback",
     "v_urls": """
 select identity as original, identity, 'fetched' as state, '' as reason, case when k = 1 then 0 when k between 2 and 9 then 1 end as click_depth from v_pages where k % 113 <> 50
 union all
 select concat('https://shop.example/o/', o_orderkey), concat('https://shop.example/o/', o_orderkey), case when o_orderstatus = 'P' then 'blocked' else 'failed' end,
   case when o_orderstatus = 'P' then 'Disallow: /o/' when o_orderstatus = 'F' then 'Connection failed' else 'HTTP 410 from server; exceeded the redirect limit' end, null
-from orders where o_orderkey % 25 = 0""",
+from orders""",
     "v_links0": """
 select l_partkey as k, l_orderkey, l_linenumber, l_suppkey, l_returnflag,
   row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) - 1 as seq,
@@ -62,14 +63,18 @@ select p.identity, l.k, l.seq, l.l_linenumber as ln,
   case when l.l_returnflag = 'R' then 'noopener NoFollow' else '' end as rel, case when l.l_linenumber = 6 then 'area' else 'a' end as element,
   case when l.l_linenumber = 7 or (l.l_linenumber = 6 and l.l_suppkey % 50 = 0) then 'opaque' when l.l_linenumber = 5 then 'other_host'
        when substring(p.identity, 1, 8) = substring(t.identity, 1, 8) then 'same_host' else 'other_host' end as host_owner
-from v_links0 l join v_pages p on p.k = l.k join v_pages t on t.k = l.t join v_pages e on e.k = -1 - l.l_suppkey""",
+from v_links0 l join v_pages p on p.k = l.k join v_pages t on t.k = l.t join v_pages e on e.k = -1 - l.l_suppkey
+union all
+select h.identity, h.k, (select count(*) from v_links0 where k = 4) + 2 * t.k + x.n, 1, concat(t.identity, x.mark), concat(t.identity, x.mark), t.identity, concat('entry ', t.k), '', 'area',
+  case when substring(h.identity, 1, 8) = substring(t.identity, 1, 8) then 'same_host' else 'other_host' end
+from v_pages t join v_pages h on h.k = case when t.k >= 0 then 4 end join (select 0 as n, '' as mark union all select 1, '#top') x on true""",
     "v_resources": """
 select p.identity, l.k, row_number() over (partition by l.k order by l.seq) - 1 as seq,
   case when l.l_linenumber = 1 then 'image' when l.l_linenumber = 2 then 'script' else 'style' end as kind,
   concat(case when l.l_returnflag = 'N' then 'https://shop.example/a/' else 'http://cdn.example/a/' end, l.l_suppkey, case when l.l_linenumber = 1 then '.png' else '.js' end) as destination,
   case when l.l_orderkey % 3 = 0 then null when l.l_orderkey % 3 = 1 then '' else 'a thing' end as alt,
   case when l.l_returnflag = 'N' then 'same_host' else 'other_host' end as host_owner
-from v_links0 l join v_pages p on p.k = l.k where l.l_linenumber <= 3""",
+from v_links0 l join v_pages p on p.k = l.k""",
     "v_fetches": """
 select concat(h.base, s_suppkey, x.ext) as identity, case when s_suppkey % 7 = 0 then 404 when s_suppkey % 7 = 1 then 403 when s_suppkey % 7 = 2 then null else 200 end as status,
   case when s_suppkey % 7 = 2 then 'DNS lookup failed' end as failed_reason, s_suppkey % 11 = 3 as challenge, s_suppkey % 13 = 4 as robots_blocked
@@ -92,7 +97,16 @@ union all select 'https://shop.example/lost.xml', 'inaccessible', 'HTTP 404', 0
 union all select 'https://shop.example/big.xml', 'oversized', 'more than the limit', 10""",
     "v_sitemap_urls": """
 select p.identity as original, p.identity, 'https://shop.example/sitemap.xml' as source_sitemap from v_pages p where p.k >= 0 and p.k % 3 = 0 and p.k % 113 <> 50
-union all select concat('https://shop.example/o/', o_orderkey), concat('https://shop.example/o/', o_orderkey), 'https://shop.example/sitemap.xml' from orders where o_orderkey % 100 = 0""",
+union all select concat('https://shop.example/o/', o_orderkey), concat('https://shop.example/o/', o_orderkey), 'https://shop.example/sitemap.xml' from orders""",
+    "v_structured": """
+select identity, k, 0 as pos, 'json_ld' as format, 0 as place, concat('{"@type":"Product","image":"x","name":"', k, '"}') as raw, '' as types from v_pages where k >= 0 and k % 7 = 2
+union all select identity, k, 1, 'json_ld', 1, '{"@graph":[{"@type":"Organization","url":"u"},{"@type":"Recipe"}]}', '' from v_pages where k >= 0 and k % 7 = 2
+union all select identity, k, 0, 'json_ld', 0, concat('{"name": ', k), '' from v_pages where k >= 0 and k % 7 = 4
+union all select identity, k, 0, 'microdata', 0, '', 'Thing,Offer' from v_pages where k >= 0 and k % 7 = 5
+union all select identity, k, 0, 'json_ld', 0, '{"price": NaN}', '' from v_pages where k >= 0 and k % 7 = 6""",
+    "v_branch_robots": """
+select concat('https://n', n_nationkey, '.example') as origin, case when n_nationkey % 2 = 0 then 'not_found' else 'fetched' end as fetch_kind,
+  case when n_nationkey % 2 = 1 then 200 when n_regionkey = 0 then 410 else 404 end as fetch_status from nation""",
     "v_tls": """
 select concat('n', n_nationkey, '.example') as host, 443 as port, n_nationkey % 6 <> 5 as inspected, n_nationkey % 4 = 0 as hostname_ok, 1700000000 + (n_nationkey - 8) * 200000 as not_after,
   case when n_nationkey % 3 = 0 then '*.example' else 'other.example' end as name from nation""",
@@ -123,7 +137,7 @@ def views(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]
 
     def make(name: str) -> DataFrame:
         if name not in made:
-            sql = VIEWS[name]
+            sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
             uses = {v: make(v) for v in dict.fromkeys(re.findall(r"\bv_\w+", sql))}
             used = {t: tables[t] for t in tables if re.search(rf"\b(from|join) {t}\b", sql)}
             for t in (*uses, *used):
@@ -136,7 +150,7 @@ def views(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]
 
 def site(spark: SparkSession, folder: str, text: bool = False) -> Evidence:
     """The evidence of the derived site; page texts only where asked for."""
-    v = views(spark, folder, "v_pages", "v_urls", "v_links", "v_resources", "v_fetches", "v_canonicals", "v_hreflangs", "v_sitemap_files", "v_sitemap_urls", "v_tls", "v_text")
+    v = views(spark, folder, "v_pages", "v_urls", "v_links", "v_resources", "v_fetches", "v_canonicals", "v_hreflangs", "v_sitemap_files", "v_sitemap_urls", "v_tls", "v_text", "v_structured")
 
     def children(name: str, order: str, value) -> DataFrame:
         return v[name].groupBy("identity").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]).alias(name))
@@ -145,6 +159,8 @@ def site(spark: SparkSession, folder: str, text: bool = False) -> Evidence:
     links = children("v_links", "seq", F.struct(F.col("identity").alias("source"), "href", "destination", "anchor", "rel", "element", "host_owner"))
     resources = children("v_resources", "seq", F.struct(F.col("identity").alias("referring"), "kind", F.col("destination").alias("href"), "destination", "alt", "host_owner"))
     pages = v["v_pages"].join(links, "identity", "left").join(resources, "identity", "left").join(children("v_canonicals", "pos", F.col("href")), "identity", "left").join(children("v_hreflangs", "pos", F.struct("lang", "href")), "identity", "left")
+    kinds = F.when(F.col("types") != "", F.split("types", ",")).otherwise(F.array().cast("array<string>"))
+    pages = pages.join(children("v_structured", "pos", F.struct("format", F.col("place").cast("int").alias("index"), "raw", kinds.alias("types"))), "identity", "left")
     pages = pages.join(v["v_text"], "identity", "left") if text else pages.withColumn("text", F.lit(""))
 
     def maybe(name: str):
@@ -155,14 +171,14 @@ def site(spark: SparkSession, folder: str, text: bool = False) -> Evidence:
     start, middle = F.concat("identity", F.lit("/old")), F.concat("identity", F.lit("/mid"))
     last = F.when(F.col("hops_loop"), start).otherwise(F.col("identity"))
     hops = F.when(F.col("n_hops") == 1, F.array(hop(start, last))).when(F.col("n_hops") == 2, F.array(hop(start, middle), hop(middle, last))).otherwise(F.array()).cast(f"array<{schemas.HOP}>")
-    flags = F.struct("truncated", F.lit(False).alias("challenge"), (F.col("status") >= 400).alias("error_status"), "non_html", F.lit(False).alias("encoding_fallback"))
+    flags = F.struct("truncated", F.col("challenged").alias("challenge"), (F.col("status") >= 400).alias("error_status"), "non_html", F.col("fallback").alias("encoding_fallback"))
     headings = F.transform(F.slice(F.array(F.lit(1), F.lit(2)), 1, F.col("n_h1")), lambda i: F.struct(F.lit(1).alias("level"), F.when(i == 1, heading).otherwise(F.lit("More")).alias("text")))
     page = F.struct(
         flags.alias("flags"), F.col("status").cast("int").alias("status"), "content_type", F.lit(None).cast("long").alias("duration_ms"), F.col("raw_bytes").cast("long").alias("raw_bytes"), F.col("raw_bytes").cast("long").alias("decoded_bytes"),
         F.lit("utf-8").alias("encoding"), "charset_declared", "doctype", "html_lang", maybe("title").alias("titles"), maybe("description").alias("descriptions"), headings.alias("headings"),
         maybe("robots_meta").alias("robots_meta"), maybe("robots_header").alias("robots_headers"), F.coalesce("v_canonicals", F.array().cast("array<string>")).alias("canonicals"),
         F.coalesce("v_hreflangs", F.array().cast("array<struct<lang:string,href:string>>")).alias("hreflangs"), "viewport", "has_frames", F.col("has_plugin").alias("has_plugin_markup"),
-        maybe("refresh").alias("meta_refresh"), F.array().cast("array<struct<format:string,index:int,raw:string,types:array<string>>>").alias("structured"), F.coalesce("text", F.lit("")).alias("text"),
+        maybe("refresh").alias("meta_refresh"), F.coalesce("v_structured", F.array().cast("array<struct<format:string,index:int,raw:string,types:array<string>>>")).alias("structured"), F.coalesce("text", F.lit("")).alias("text"),
     )
     observations = pages.select("identity", page.alias("page"), F.coalesce("v_links", F.array().cast(f"array<{schemas.LINK}>")).alias("links"), F.coalesce("v_resources", F.array().cast(f"array<{schemas.RESOURCE}>")).alias("resources"), hops.alias("redirect_chain"))
     probe = [("http_homepage", "http://shop.example/", "http://shop.example/", 200, [], [], None), ("https_www", "https://www.shop.example/", "https://www.shop.example/", 200, [], [], None), ("https_apex", "https://shop.example/", "https://shop.example/", 200, [], [], None)]
@@ -178,3 +194,11 @@ def site(spark: SparkSession, folder: str, text: bool = False) -> Evidence:
         tls_inspections=v["v_tls"].select("host", "port", "inspected", F.col("hostname_ok").alias("verified"), "hostname_ok", F.lit(0).cast("long").alias("not_before_unix"), F.col("not_after").cast("long").alias("not_after_unix"), F.array("name").alias("names"), null.alias("error")),
         host_probes=spark.createDataFrame(probe, schemas.HOST_PROBE), start_url=START, now=NOW,
     )
+
+
+def branches(spark: SparkSession, folder: str) -> Evidence:
+    """A second run, over the sites of the branches: an insecure start address and origins of which some have no robots.txt."""
+    found = views(spark, folder, "v_branch_robots")["v_branch_robots"]
+    none = F.array().cast("array<string>")
+    robots = found.select("origin", F.lit("bot/1.0").alias("user_agent"), F.lit("bot").alias("product_token"), F.lit("*").alias("selected_group"), "fetch_kind", F.col("fetch_status").cast("int").alias("fetch_status"), none.alias("sitemaps"), none.alias("format_errors"), none.alias("crawl_delay_notes"))
+    return Evidence(spark, spark.createDataFrame([], schemas.OBSERVATION), robots=robots, start_url="http://branch.example/", now=NOW)

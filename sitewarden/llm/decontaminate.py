@@ -11,7 +11,8 @@ and these lie on diagonals no more than e apart.
    window's length with fewer hits than the least bound hold no match.
 2. The hits of what remains are counted by (window, diagonal band); bands are 2 (e + 1) wide and overlap by half, so
    that some band has all hits of a match. Bands that meet the window's own bound are kept.
-3. Those are verified by an alignment within the band (semi-global: the window whole, the stretch anywhere).
+3. Those are verified by an alignment within the band (semi-global: the window whole, the stretch anywhere), the pairs
+   of a batch of texts side by side.
 
 The benchmark is a stated query set: it is read in blocks of at most BLOCK bytes of text, and each block's index is
 held against all documents, whose texts are never shuffled.
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import map_arrow, texts
+from sitewarden.llm.common import map_arrow, slices, texts
 
 Q, WINDOW, STRIDE, RATE, LEAST = 8, 64, 8, 0.08, 24
 BLOCK = 512 << 10
 PIECE = 4 << 20
+#: Bytes of texts whose candidates are verified together, and pairs that are aligned side by side.
+SLICE, ALIGNED = 4 << 20, 10_000
 _BLANK = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,6 +74,7 @@ class Index:
 
     items: np.ndarray  # item_id of each window
     windows: list[bytes]
+    sizes: np.ndarray
     budgets: np.ndarray
     bounds: np.ndarray
     grams: np.ndarray  # sorted distinct q-grams
@@ -109,10 +113,11 @@ class Index:
         shift = np.uint64(64 - bits)
         table = np.zeros(1 << bits, bool)
         table[(grams * _MIX) >> shift] = True
-        return cls(np.array(owners, np.int64), windows, budgets, bounds, grams, np.append(first, len(order)), window[order], place[order], table, shift, int(bounds.min()) if windows else 0, int((sizes + budgets).max(initial=0)))
+        return cls(np.array(owners, np.int64), windows, sizes, budgets, bounds, grams, np.append(first, len(order)), window[order], place[order], table, shift, int(bounds.min()) if windows else 0, int((sizes + budgets).max(initial=0)))
 
-    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(window, start, stop, edits) of verified matches in a normalised text; one for each window and band."""
+    def candidates(self, text: bytes) -> list[tuple[int, int, int, bytes]]:
+        """(window, a, low, stretch): a window, and the stretch of a normalised text, from place a on, where it may match on
+        the 2 (e + 1) diagonals of the stretch from low on."""
         if not self.windows or len(text) < Q:
             return []
         grams = grams_of(np.frombuffer(text, np.uint8))
@@ -153,12 +158,24 @@ class Index:
             pattern, e = self.windows[w], int(self.budgets[w])
             low = b * (e + 1) - len(text)  # diagonals low to low + 2 (e + 1) - 1
             a = max(0, low - e)
-            stretch = text[a : max(0, low + 2 * (e + 1) + e) + len(pattern)]
-            edits, start, stop = align(pattern, stretch, low - a, 2 * (e + 1), e)
-            if edits <= e:
-                out.append((w, a + start, a + stop, edits))
+            out.append((w, a, low - a, text[a : max(0, low + 2 * (e + 1) + e) + len(pattern)]))
         return out
 
+    def verify(self, pairs: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+        """(edits, start, stop) of the best match of each candidate, in places of its text; more edits than its budget
+        allows if it has none."""
+        out = np.zeros((len(pairs), 3), np.int64)
+        window = np.array([w for w, *_ in pairs], np.int64)
+        kinds, kind = np.unique(self.sizes[window], return_inverse=True)  # a window's budget follows from its size
+        for i in range(len(kinds)):
+            own = np.flatnonzero(kind == i)
+            for at in range(0, len(own), ALIGNED):
+                some = [pairs[k] for k in own[at : at + ALIGNED].tolist()]
+                found = align([self.windows[w] for w, *_ in some], [t for *_, t in some], np.array([low for _, _, low, _ in some]), int(self.budgets[some[0][0]]))
+                found[:, 1:] += np.array([a for _, a, *_ in some])[:, None]
+                out[own[at : at + ALIGNED]] = found
+        return list(map(tuple, out.tolist()))
+
 
 def grams_of(raw: np.ndarray) -> np.ndarray:
     """All runs of Q = 8 bytes as words."""
@@ -167,33 +184,36 @@ def grams_of(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) - Q + 1,), np.uint64, np.ascontiguousarray(raw), strides=(1,)).copy()
 
 
-def align(pattern: bytes, stretch: bytes, low: int, width: int, budget: int) -> tuple[int, int, int]:
-    """The least edits (budget + 1: more than the budget) that turn pattern into a part of stretch, and that part.
-
-    Only the diagonals low - budget to low + width + budget are filled: no other can be reached within the budget."""
-    at = stretch.find(pattern)
-    if at >= 0:
-        return 0, at, at + len(pattern)
-    far = budget + 1
-    first, last = low - budget, low + width + budget
-    row = {j: (0, j) for j in range(max(0, first), min(len(stretch), last) + 1)}
-    for i, p in enumerate(pattern, 1):
-        now: dict[int, tuple[int, int]] = {}
-        for j in range(max(0, i + first), min(len(stretch), i + last) + 1):
-            best = (far, 0)
-            if j in row:
-                best = min(best, (row[j][0] + 1, row[j][1]))
-            if j - 1 in row:
-                best = min(best, (row[j - 1][0] + (stretch[j - 1] != p), row[j - 1][1]))
-            if j - 1 in now:
-                best = min(best, (now[j - 1][0] + 1, now[j - 1][1]))
-            if best[0] <= budget:
-                now[j] = best
-        if not now:
-            return far, 0, 0
-        row = now
-    stop, (edits, start) = min(row.items(), key=lambda x: (x[1][0], x[0]))
-    return edits, start, stop
+def align(patterns: list[bytes], stretches: list[bytes], low: np.ndarray, budget: int) -> np.ndarray:
+    """Rows of (edits, start, stop): the least edits that turn each pattern, all of one length, into a part of its
+    stretch, and that part; the leftmost end of those, and its least start.
+
+    A cell is a diagonal of the band, from low - budget to low + 3 budget + 2: no other can be reached within the budget
+    from the 2 (budget + 1) diagonals from low on. It holds edits and start in one integer, so that a minimum is one of
+    both. All pairs go through the rows of the pattern together; a step to the right is a running minimum."""
+    n, m, wide = len(patterns), len(patterns[0]), 4 * budget + 3
+    one, never = np.int64(1 << 32), np.int64(1 << 60)
+    first = low - budget
+    place = first[:, None] + np.arange(m + wide)  # of the stretch, by row + diagonal
+    size = np.array([len(t) for t in stretches])
+    flat = np.frombuffer(b"".join(stretches) + b"\0", np.uint8).astype(np.int16)
+    inside = (place >= 0) & (place < size[:, None])
+    letter = np.where(inside, flat[np.where(inside, place + (np.cumsum(size) - size)[:, None], 0)], np.int16(-1))
+    off = np.where((place >= 0) & (place <= size[:, None]), np.int64(0), never)
+    pattern = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int16).reshape(n, m)
+    right = np.arange(wide) * one
+    row = np.where(off[:, :wide] == 0, place[:, :wide], never)
+    edge = np.full((n, 1), never)
+    for i in range(m):
+        same = row + (letter[:, i : i + wide] != pattern[:, i : i + 1]) * one
+        row = np.minimum(same, np.concatenate([row[:, 1:], edge], axis=1) + one)
+        row = np.minimum(row + off[:, i + 1 : i + 1 + wide], never)
+        row = np.minimum(np.minimum.accumulate(row - right, axis=1) + right, never) + off[:, i + 1 : i + 1 + wide]
+        row = np.minimum(row, never)
+    edits = row >> np.int64(32)
+    at = np.argmin(edits, axis=1)
+    best = row[np.arange(n), at]
+    return np.stack([best >> np.int64(32), best & np.int64((1 << 32) - 1), first + m + at], axis=1)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -233,8 +253,10 @@ def _without(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         own = Index(**shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array([not by_item(own, t or "") for t in batch.column("text").to_pylist()], pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                found = by_item(own, [t or "" for t in batch.column("text").to_pylist()])
+                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 
@@ -244,10 +266,10 @@ def _against(rows: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         own = Index(**shared.value)
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for item, hits in by_item(own, text).items():
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
+            out, texts_of = [], batch.column("text").to_pylist()
+            for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts_of, by_item(own, texts_of)):
+                for item, hits in found.items():
                     spans: list[list[int]] = []
                     for a, b in sorted(places(text, [h[0] for h in hits], [h[1] for h in hits])):
                         if spans and a <= spans[-1][1]:
@@ -262,11 +284,17 @@ def _against(rows: DataFrame, index: Index) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, item_id long, n_windows long, least_edits long, spans array<struct<start:long,stop:long>>")
 
 
-def by_item(index: Index, text: str) -> dict[int, list[tuple[int, int, int, int]]]:
-    """(start, stop, window, edits) of the matches in a text, by item; long texts in overlapping pieces."""
-    raw = normalise(text)
-    out: dict[int, list[tuple[int, int, int, int]]] = {}
-    for at in range(0, max(len(raw), 1), PIECE):
-        for window, a, b, edits in index.search(raw[at : at + PIECE + 4 * WINDOW]):
-            out.setdefault(int(index.items[window]), []).append((at + a, at + b, window, edits))
+def by_item(index: Index, texts: list[str]) -> list[dict[int, list[tuple[int, int, int, int]]]]:
+    """For each text (start, stop, window, edits) of the matches in it, by item; long texts in overlapping pieces."""
+    owners, pairs = [], []
+    for n, text in enumerate(texts):
+        raw = normalise(text)
+        for at in range(0, max(len(raw), 1), PIECE):
+            for pair in index.candidates(raw[at : at + PIECE + 4 * WINDOW]):
+                owners.append((n, at))
+                pairs.append(pair)
+    out: list[dict[int, list[tuple[int, int, int, int]]]] = [{} for _ in texts]
+    for (n, at), (window, *_), (edits, start, stop) in zip(owners, pairs, index.verify(pairs)):
+        if edits <= index.budgets[window]:
+            out[n].setdefault(int(index.items[window]), []).append((at + start, at + stop, window, edits))
     return out

@@ -311,6 +311,30 @@ def edit_distance_in(pattern, text):
     return min(row)
 
 
+def test_banded_alignment_against_brute_force():
+    """Pairs of all kinds side by side: where the band has a match within the budget, the least edits and a stretch with them."""
+    random.seed(19)
+    budget, pairs = 3, []
+    for _ in range(300):
+        pattern = "".join(random.choices("abc", k=24))
+        own = list(pattern)
+        for _ in range(random.randrange(6)):
+            own[random.randrange(len(own))] = random.choice(["", "x", "yy"])
+        before = "".join(random.choices("abc", k=random.randrange(12)))
+        pairs.append((pattern, before + "".join(own) + "".join(random.choices("abc", k=random.randrange(9))), len(before) - random.randrange(2 * budget)))
+    pairs += [("a" * 24, "", 0), ("a" * 24, "a" * 22, -1), ("b" * 24, "a" * 40, 3)]
+    got = decontaminate.align([p.encode() for p, _, _ in pairs], [t.encode() for _, t, _ in pairs], np.array([low for *_, low in pairs]), budget)
+    for (pattern, text, _), (edits, start, stop) in zip(pairs, got.tolist()):
+        least = edit_distance_in(pattern, text)
+        assert edits >= least
+        if edits <= budget:
+            assert edits == edit_distance_in(pattern, text[start:stop]) and 0 <= start <= stop <= len(text)
+        else:
+            assert least > 0
+    inside = [(edits, edit_distance_in(p, t)) for (p, t, _), edits in zip(pairs, got[:, 0])]
+    assert sum(e == b for e, b in inside if b <= budget) >= 0.9 * sum(b <= budget for _, b in inside) > 100
+
+
 def test_decontamination_against_brute_force(spark, tmp_path):
     random.seed(9)
     syllables = "tion the er ou ing ha and re th on".split()
@@ -347,8 +371,8 @@ def test_decontamination_finds_partial_leaks():
             leak = list(item[at : at + size])
             for i in random.sample(range(size), edits):
                 leak[i] = random.choice("0123456789")
-            assert 1 in decontaminate.by_item(index, f"{make(20)}q{''.join(leak)}q{make(20)}"), at
-    assert not decontaminate.by_item(index, make(200))
+            assert 1 in decontaminate.by_item(index, [f"{make(20)}q{''.join(leak)}q{make(20)}"])[0], at
+    assert decontaminate.by_item(index, [make(200), "", make(5)]) == [{}, {}, {}]
 
 
 def test_kneser_ney_against_brute_force(spark):

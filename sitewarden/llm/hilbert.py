@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from sitewarden.llm.common import BROADCAST, checkpoint, hot_keys, lookup_join, shuffle_partitions
 
 
+#: Values, and bytes of each, that are put in order on the driver.
+FEW, SHORT = 1000, 1024
+
+
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Index along the Hilbert curve of rows of cells (n, dims), each below 2**bits (Skilling 2004), vectorised."""
     x = np.array(cells, dtype=np.uint64).T.copy()
@@ -59,29 +63,43 @@ def by_magnitude(value: Column, bits: int) -> Column:
     return F.least(F.greatest(F.coalesce(cell, F.lit(0)), F.lit(0)), F.lit(2**bits - 1)).cast("int")
 
 
-def by_share(rows: DataFrame, column: str, bits: int, cell: str, limit: int = BROADCAST) -> DataFrame:
+def by_share(rows: DataFrame, column: str, bits: int, cell: str, few: int = FEW, limit: int = BROADCAST) -> DataFrame:
     """rows with a column `cell`: the cells that the rows with a lesser value of `column` fill, of 2**bits; null has 0.
 
-    Values are counted and put in order by ranges, so no task sees them all. Their cells are broadcast if they take at
-    most `limit` bytes, else joined by shuffle, frequent values apart."""
-    counts = rows.select(F.col(column).cast("string").alias("_value")).where("_value is not null").groupBy("_value").agg(F.count("*").alias("_n"), F.max(F.octet_length("_value")).alias("_bytes"))
-    placed = checkpoint(counts.repartitionByRange(shuffle_partitions(rows.sparkSession), "_value").sortWithinPartitions("_value").withColumn("_id", F.monotonically_increasing_id()))
+    Up to `few` short values are put in order on the driver, more by ranges, so that no task sees them all. The cells of
+    the values are broadcast if they take at most `limit` bytes, else joined by shuffle, frequent values apart."""
+    counts = rows.select(F.col(column).cast("string").alias("_value")).where("_value is not null").groupBy("_value").agg(F.count("*").alias("_n"), F.octet_length("_value").alias("_bytes"))
+    found = counts.select(F.when(F.col("_bytes") <= SHORT, F.col("_value")).alias("_value"), "_n").limit(few + 1).collect()
+    if len(found) <= few and all(r["_value"] is not None for r in found):
+        total, size, cells = sum(r["_n"] for r in found), 0, []
+        before = 0
+        for r in sorted(found, key=lambda r: r["_value"].encode()):
+            cells.append((r["_value"], before * 2**bits // total))
+            before += r["_n"]
+        cells = rows.sparkSession.createDataFrame(cells, "_value string, _cell int")
+    else:
+        cells, size = _by_range(counts, bits)
+    keyed = rows.withColumn("_value", F.col(column).cast("string"))
+    if size <= limit:
+        joined = keyed.join(F.broadcast(cells), "_value", "left")
+    else:
+        joined = lookup_join(keyed, checkpoint(cells), "_value", hot_keys(keyed, "_value"))
+    return joined.select(*rows.columns, F.coalesce("_cell", F.lit(0)).alias(cell))
+
+
+def _by_range(counts: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """((_value, _cell), their bytes) of any number of values (_value, _n, _bytes)."""
+    placed = checkpoint(counts.repartitionByRange(shuffle_partitions(counts.sparkSession), "_value").sortWithinPartitions("_value").withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_id", 33))
     parts = {r["_part"]: (r["n"], r["size"]) for r in placed.groupBy("_part").agg(F.sum("_n").alias("n"), F.sum(F.col("_bytes") + 24).alias("size")).collect()}
     total, starts = 0, []
     for part in sorted(parts):
         starts.append((part, total))
         total += parts[part][0]
-    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    offsets = counts.sparkSession.createDataFrame(starts, "_part long, _start long")
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    share = (before + F.col("_start")) * 2**bits / max(total, 1)
-    cells = placed.join(F.broadcast(offsets), "_part").select("_value", F.floor(share).cast("int").alias("_cell"))
-    keyed = rows.withColumn("_value", F.col(column).cast("string"))
-    if sum(size for _, size in parts.values()) <= limit:
-        found = keyed.join(F.broadcast(cells), "_value", "left")
-    else:
-        found = lookup_join(keyed, checkpoint(cells), "_value", hot_keys(keyed, "_value"))
-    return found.select(*rows.columns, F.coalesce("_cell", F.lit(0)).alias(cell))
+    share = F.expr(f"cast((_before + _start) * {2**bits} div {max(total, 1)} as int)")
+    return placed.withColumn("_before", before).join(F.broadcast(offsets), "_part").select("_value", share.alias("_cell")), sum(size for _, size in parts.values())
 
 
 def hilbert_shards(rows: DataFrame, dims: list[Column], bits: int, shards: int, ties: list[str]) -> DataFrame:

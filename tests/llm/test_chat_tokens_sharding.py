@@ -166,11 +166,11 @@ def test_shards(spark, tmp_path):
     assert set(by_shard) == set(range(8)) and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by_shard.values())
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_shares(spark, limit):
+@pytest.mark.parametrize("few,limit", [(0, 0), (0, 1 << 20), (1000, 0)])
+def test_shares(spark, few, limit):
     values = ["b"] * 50 + ["a"] * 3 + [None] * 7 + [f"v{i:03}" for i in range(100)]
     rows = spark.createDataFrame([(i, v, "clash") for i, v in enumerate(values)], "i long, v string, _n string")
-    got = {r.i: r.cell for r in hilbert.by_share(rows, "v", 5, "cell", limit).collect()}
+    got = {r.i: r.cell for r in hilbert.by_share(rows, "v", 5, "cell", few, limit).collect()}
     known = [v for v in values if v is not None]
     assert got == {i: 0 if v is None else sum(k < v for k in known) * 32 // len(known) for i, v in enumerate(values)}
 

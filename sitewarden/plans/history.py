@@ -108,3 +108,16 @@ def compatibility_notes(baseline: RunView, later: RunView) -> list[tuple[str, st
     if a.start_url != b.start_url:
         out.append(("start_url", f"{a.start_url} and {b.start_url}"))
     return out
+
+
+def change_of(deltas: DataFrame, rule_id: str, entity_key: str) -> str | None:
+    """What became of one finding; None if neither run has it."""
+    found = deltas.where((F.col("rule_id") == rule_id) & (F.col("entity_key") == entity_key)).select("change").first()
+    return found[0] if found else None
+
+
+def summary_lines(deltas: DataFrame) -> list[str]:
+    """The counts by change as lines, and how much of the baseline was looked at again."""
+    row = summarize(deltas).first().asDict()
+    again, total = row.pop("rechecked_baseline"), row.pop("total")
+    return [f"{kind.replace('_', ' ')}: {n}" for kind, n in row.items()] + [f"looked at again: {again} of the baseline's findings", f"findings in either run: {total}"]

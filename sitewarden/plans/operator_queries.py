@@ -12,13 +12,13 @@ from sitewarden.functions import html, jsonld, register, robots, sitemaps
 from sitewarden.functions import text as T
 from sitewarden.functions import urls as U
 from sitewarden.operators import algebra, graph, near_duplicates
-from sitewarden.plans import baseline, catalogue, engine, history, presentation, rule_queries
+from sitewarden.plans import baseline, catalogue, engine, history, page_rules, presentation, rule_queries, stored
 from sitewarden.plans.config import Profile
 from sitewarden.plans.language_rules import WORDS, detect
 from sitewarden.sources import derived, exchange, responses, store
 from sitewarden.sources.derived import prelude
-from sitewarden.sources.tables import checkpoint, table
-from sitewarden.streaming import admission
+from sitewarden.sources.tables import checkpoint, shared_folder, table
+from sitewarden.streaming import admission, state
 
 PROFILE = Profile("shop", "https://shop.example/", excluded_paths=("/p/1", "/o/"), ignored_parameters=("c",))
 
@@ -265,12 +265,7 @@ def last_event_state(spark, folder):
 
 
 def _scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def streaming_event_windows(spark, folder):
@@ -319,7 +314,93 @@ def investigation(spark, folder):
     return presentation.investigation(report).select("severity", "rule_id", "label", "findings")
 
 
+PAGE_RULES = ("meta.missing_description", "meta.missing_viewport", "meta.missing_charset", "meta.long_title", "meta.short_title", "heading.h1_matches_title", "meta.duplicate_title")
+
+
+def pages_findings(spark, folder):
+    """From the stored pages to findings: extraction, evidence, rules."""
+    report = stored.audit_responses(responses.from_pages(table(spark, folder, "pages"), max_bytes=2**31 - 1), rules=PAGE_RULES)
+    return engine.rows_of(report, PAGE_RULES)
+
+
+def _stored_site(spark, folder) -> store.Store:
+    """The derived site as a finished run of a new store."""
+    site, kept = rule_queries.site(spark, folder, False), store.Store(spark, _scratch(spark))
+    kept.begin(7, f'name = "shop"\nstart_url = "{derived.START}"\n', derived.START, 1)
+    for name, rows in (("observations", site.observations), ("url_records", site.urls), ("sitemap_files", site.sitemap_files), ("sitemap_urls", site.sitemap_urls), ("robots_runs", site.robots), ("resource_fetches", site.resource_fetches), ("tls_inspections", site.tls_inspections), ("host_probes", site.host_probes)):
+        kept.replace(name, 7, rows)
+    kept.mark_sitemap_done(7, 2)
+    kept.finish(7, True, False, None, 3)
+    return kept
+
+
+STORED_RULES = [r for r in page_rules.RULES if r in rule_queries._SQL]
+
+
+def stored_audit(spark, folder):
+    """A run written to a store, loaded, evaluated and read back: states, findings and evaluations of its report."""
+    kept, registry, whole = _stored_site(spark, folder), engine.Registry(), engine.default_registry()
+    for rule in STORED_RULES:
+        registry.register(rule, whole.families[rule])
+    kept.suppress(7, "meta.missing_title", None, "known", 4)
+    stored.evaluate_stored(kept, 7, registry=registry, now=derived.NOW)
+    found = kept.read("findings", 7).groupBy("rule_id").agg(F.count("*").alias("findings"), F.count_if("suppressed").alias("suppressed"))
+    states = kept.read("rule_outcomes", 7).where("state <> 'unsupported'").join(found, "rule_id", "left")
+    return states.select("rule_id", "state", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("suppressed", F.lit(0)).alias("suppressed"))
+
+
+def stored_comparison(spark, folder):
+    """Two stored runs compared from the store."""
+    kept = store.Store(spark, _scratch(spark))
+    profile = 'name = "p"\nstart_url = "https://shop.example/"\nexcluded_paths = ["/p/1", "/o/"]\nignored_parameters = ["c"]\n'
+    for number, run in zip((1, 2), _slices(spark, folder)):
+        kept.begin(number, profile, "https://shop.example/", number)
+        findings = run.findings.select("rule_id", "entity_key", "severity", F.lit("findings").alias("state"), "fact", F.lit("x").alias("recommendation"), "evidence", F.lit(False).alias("suppressed"), F.lit(1).alias("config_version"), F.lit(1).alias("catalogue_version"))
+        kept.replace("findings", number, findings)
+        kept.replace("rule_outcomes", number, run.outcomes.withColumn("config_version", F.lit(1)))
+        records = run.urls.select("original", "identity", "state", F.lit("").alias("reason"), F.lit(None).cast("int").alias("click_depth"), F.lit(True).alias("via_website"), F.lit(False).alias("via_sitemap"))
+        kept.replace("url_records", number, records)
+        kept.finish(number, True, False, None, number)
+    kept.suppress(2, "rule.view", None, "known", 3)
+    deltas, _ = stored.compare_stored(kept, 1, 2)
+    return deltas.select("rule_id", "entity_key", "change", "fact")
+
+
+def coverage_urls(spark, folder):
+    (links,) = _views(spark, folder, "v_links")
+    seen = links.select(F.struct("k", "seq").alias("order"), F.col("href").alias("original"), F.col("dest_key").alias("identity"), F.when(F.col("destination").isNull(), "Malformed URL").alias("skip_reason"))
+    return state.coverage(seen).select("key", "original", "skip_reason")
+
+
+def _records(spark, folder):
+    address = F.concat(F.lit("https://shop.example/o/"), F.col("o_orderkey").cast("string"))
+    status = F.when(F.col("o_orderstatus") == "P", "in_flight").when(F.col("o_orderstatus") == "O", "pending").otherwise("fetched")
+    reason = F.when((F.col("o_orderstatus") == "O") & (F.col("o_custkey") % 2 == 0), "URL cap").otherwise("")
+    return table(spark, folder, "orders").select(address.alias("original"), address.alias("identity"), status.alias("state"), reason.alias("reason"), F.lit(None).cast("int").alias("click_depth"), F.lit(True).alias("via_website"), F.lit(False).alias("via_sitemap"))
+
+
+def resumed_frontier(spark, folder):
+    """What waits after a stop, in order: the frontier has the orders of line items that were returned, twice."""
+    items = table(spark, folder, "lineitem").where("l_returnflag = 'N'")
+    frontier = items.select(F.concat(F.lit("https://shop.example/o/"), F.col("l_orderkey").cast("string")).alias("identity"), (-F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
+    return state.resume(_records(spark, folder), frontier)[1]
+
+
+def reclassified(spark, folder):
+    records = _records(spark, folder)
+    used = state.slots_used(records)
+    return state.reclassify_queued(records, "excluded", "Cancelled").groupBy("state", "reason").agg(F.count("*").alias("n")).join(F.broadcast(used.withColumnRenamed("n", "slots")))
+
+
+def retry_plan(spark, folder):
+    events = table(spark, folder, "events")
+    tries = events.select(F.col("user_id").alias("identity"), F.pmod("event_id", F.lit(6)).alias("attempt"), (F.col("event_type") != "error").alias("retryable"), (F.col("event_type") == "signup").alias("denied"), F.when(F.col("event_id") % 4 == 0, F.pmod(F.col("event_id"), F.lit(90))).alias("retry_after"))
+    one = tries.groupBy("identity", "attempt").agg(F.bool_and("retryable").alias("retryable"), F.bool_and("denied").alias("denied"), F.max("retry_after").alias("retry_after"))
+    return state.after_failures(one, 6)
+
+
 _NAMES = (
+    pages_findings, stored_audit, stored_comparison, coverage_urls, resumed_frontier, reclassified, retry_plan,
     sql_functions, href_classes, parameters_stripped, robots_decisions, urls_filtered, page_inlinks, sitemap_provenance, investigation,
     url_identity, url_parts, scope_exclusion, html_title_h1, html_extract, html_links_resolved, state_counters, crawl_set_semi, blocked_anti,
     target_index_full_outer, resources_grouped_referrers, robots_best_rule, robots_parse, sitemap_locations, shingle_df, exact_duplicates,
@@ -395,6 +476,32 @@ ORACLES: dict[str, str] = {
     "investigation": prelude("v_pages", "v_urls", "v_cp") + """select 'error' as severity, 'crawl.http_4xx' as rule_id, 'HTTP 4xx' as label, count(*) as findings from v_pages where status between 400 and 499 and identity in (select identity from v_urls where state = 'fetched')
       union all select 'warning', 'meta.frames', 'Frames', count(*) from v_cp where has_frames union all select 'warning', 'url.underscores', 'URL underscores', count(*) from v_pages where regexp_extract(identity, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '%\\_%' escape '\\'""",
 }
+_DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_SQUASHED = "trim(regexp_replace({}, '[\\s\u00a0]+', ' ', 'g'))"
+_RECORDS = """r as (select concat('https://shop.example/o/', o_orderkey) as identity, case o_orderstatus when 'P' then 'in_flight' when 'O' then 'pending' else 'fetched' end as state,
+  case when o_orderstatus = 'O' and o_custkey % 2 = 0 then 'URL cap' else '' end as reason from orders)"""
+ORACLES |= {
+    "pages_findings": f"""with p as (select url, {_SQUASHED.format(_DECODED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} as title, {_SQUASHED.format(_DECODED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)"))} as h1 from pages), n as (select * from p where title <> ''),
+      f as (select 'meta.missing_description' as rule_id, url as entity_key, concat(url, '#description: ') as evidence from p
+      union all select 'meta.missing_viewport', url, concat(url, '#viewport: ') from p
+      union all select 'meta.long_title', url, concat(url, '#title: ', substring(title, 1, 240)) from n where length(title) > 60
+      union all select 'meta.short_title', url, concat(url, '#title: ', title) from n where length(title) < 30
+      union all select 'heading.h1_matches_title', url, concat(url, '#title: ', substring(title, 1, 240), ' | ', url, '#h1: ', substring(h1, 1, 240)) from n where title = h1
+      union all select 'meta.duplicate_title', concat('title:', title), string_agg(concat(url, '#title: ', substring(title, 1, 240)), ' | ' order by url) from n group by title having count(*) > 1)
+      select rule_id, 'findings' as state, entity_key, evidence from f
+      union all select x.rule_id, 'passed', null, null from (values {", ".join(f"('{r}')" for r in PAGE_RULES)}) x(rule_id) where x.rule_id not in (select rule_id from f)""",
+    "stored_audit": " union all ".join(f"select rule_id, state, count(entity_key) as findings, count(entity_key) filter (where rule_id = 'meta.missing_title') as suppressed from ({rule_queries.oracle(r)}) group by rule_id, state" for r in STORED_RULES),
+    "stored_comparison": _DIFF.replace("user_id % 17 = 0 then 'suppressed'", "rule_id = 'rule.view' then 'suppressed'") + "select rule_id, entity_key, change, fact from d",
+    "coverage_urls": prelude("v_links") + "select key, arg_min(href, (k, seq)) as original, nullif(arg_min(coalesce(skip, '-'), (k, seq)), '-') as skip_reason from (select k, seq, href, coalesce('i:' || dest_key, 'o:' || href) as key, case when destination is null then 'Malformed URL' end as skip from v_links) group by key",
+    "resumed_frontier": f"""with {_RECORDS}, w as (select identity, state = 'in_flight' as again from r where state = 'in_flight' or (state = 'pending' and reason = '')),
+      p as (select concat('https://shop.example/o/', l_orderkey) as identity, 0 as kind, -l_orderkey * 8 + l_linenumber as place from lineitem where l_returnflag = 'N' union all select identity, case when again then 1 else 2 end, 0 from w),
+      f as (select identity, min((kind, place)) as first from p where identity in (select identity from w) group by identity)
+      select row_number() over (order by first, identity) - 1 as position, identity from f""",
+    "reclassified": f"with {_RECORDS}, c as (select case when state = 'pending' and reason = '' then 'excluded' else state end as state, case when state = 'pending' and reason = '' then 'Cancelled' else reason end as reason from r) select state, reason, count(*) as n, (select count(*) from r where state <> 'pending' or reason = '') as slots from c group by state, reason",
+    "retry_plan": """with o as (select user_id as identity, event_id % 6 as attempt, bool_and(event_type <> 'error') as retryable, bool_and(event_type = 'signup') as denied, max(case when event_id % 4 = 0 then event_id % 90 end) as retry_after from events group by all),
+      l as (select * from o qualify row_number() over (partition by identity order by attempt desc) = 1), n as (select *, case when denied then 'stop' when retryable and attempt < 6 then 'retry' else 'failed' end as next from l)
+      select identity, next, case when next = 'retry' then least(coalesce(retry_after, cast(pow(2, least(attempt, 4)) as bigint)), 30) end as wait from n""",
+}
 for _name in ("export_rows", "admission_states", "graph_depth"):
     ORACLES[_name] = ORACLES[_name].replace("\n, ", ",\n", 1)
 

@@ -58,6 +58,52 @@ class Store:
         merged = latest(self.read(name, run_id).drop("run_id").unionByName(rows), key, version)
         self.replace(name, run_id, checkpoint(merged))
 
+    def append_in_order(self, name: str, run_id: int, rows: DataFrame, order: list[str]) -> None:
+        """Append rows whose seq goes on from the largest that the run has, in the order of the columns."""
+        from sitewarden.sources.tables import ranked
+
+        last = self.read(name, run_id).agg(F.max("seq")).first()[0]
+        self.append(name, run_id, ranked(rows, order, "seq").withColumn("seq", F.col("seq") + F.lit(0 if last is None else last + 1)))
+
+    def html_body(self, run_id: int, identity: str) -> bytes | None:
+        """The body that was stored last for an address."""
+        found = self.read("raw_pages", run_id).where(F.col("identity") == identity).agg(F.max_by("body", "seq")).first()[0]
+        return None if found is None else bytes(found)
+
+    def begin(self, run_id: int, profile: str, start_url: str, now: int) -> None:
+        """A new run; ValueError if there is one of that number, or one that is running."""
+        if not self.read("runs").where((F.col("run_id") == run_id) | (F.col("status") == "running")).isEmpty():
+            raise ValueError(f"run {run_id} exists, or a run is going on")
+        row = (profile, start_url, "running", False, False, None, False, now, now, 1, 1)
+        self.replace("runs", run_id, self.spark.createDataFrame([row], schemas.RUN.replace("run_id bigint, ", "")))
+
+    def _change(self, run_id: int, **values) -> None:
+        from sitewarden.sources.tables import checkpoint
+
+        row = self.read("runs", run_id)
+        if row.isEmpty():
+            raise KeyError(f"no run {run_id}")
+        self.replace("runs", run_id, checkpoint(row.drop("run_id").withColumns({k: F.lit(v).cast(row.schema[k].dataType) for k, v in values.items()})))
+
+    def mark_sitemap_done(self, run_id: int, now: int) -> None:
+        self._change(run_id, sitemap_done=True, updated_at=now)
+
+    def mark_incomplete(self, run_id: int, error: str | None, now: int) -> None:
+        self._change(run_id, status="incomplete", completed=False, error=error, updated_at=now)
+
+    def finish(self, run_id: int, completed: bool, cancelled: bool, error: str | None, now: int) -> None:
+        status = "completed" if completed and not cancelled else "failed" if error else "incomplete"
+        self._change(run_id, status=status, completed=completed, cancelled=cancelled, error=error, updated_at=now)
+
+    def backup(self, folder: str) -> None:
+        """A copy of every table in a folder that must not exist."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            raise ValueError(f"{folder} exists")
+        for name in TABLES:
+            if not (rows := self.read(name)).isEmpty():
+                rows.write.partitionBy("run_id").parquet(f"{folder}/{name}")
+
     def persist_report(self, run_id: int, report: Report, now: int) -> None:
         """Replace the run's findings and outcomes, and add an evaluation."""
         self.replace("findings", run_id, report.findings)

@@ -480,7 +480,32 @@ _DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&qu
 _SQUASHED = "trim(regexp_replace({}, '[\\s\u00a0]+', ' ', 'g'))"
 _RECORDS = """r as (select concat('https://shop.example/o/', o_orderkey) as identity, case o_orderstatus when 'P' then 'in_flight' when 'O' then 'pending' else 'fetched' end as state,
   case when o_orderstatus = 'O' and o_custkey % 2 = 0 then 'URL cap' else '' end as reason from orders)"""
+_RULES = ", ".join(f"('{r.id}', '{r.severity}', '{r.unit}', '{r.status}', {'null' if r.captured is None else r.captured})" for r in catalogue.RULES.values())
+_UNITS = ", ".join(f"('{unit}', '{coarse}')" for unit, coarse in catalogue.COARSE.items())
+_LIST = lambda names: ", ".join(f"'{n}'" for n in names)
+_CHECKED = sorted(engine.default_registry().families)
+_CATALOGUE = f"""c as (select r.*, u.coarse, case when r.status = 'deferred' then 'deferred' when r.id in ({_LIST(_CHECKED)}) then 'checker' when r.id in ({_LIST(catalogue.ENGINE_COVERED)}) then 'engine' else 'specified_unregistered' end as coverage
+  from (values {_RULES}) r(id, severity, unit, status, captured) join (values {_UNITS}) u(unit, coarse) on u.unit = r.unit)"""
+_BASELINE_RULES = ("crawl.http_4xx", "meta.missing_viewport", "heading.multiple_h1")
+_COUNTED = "select rule_id, any_value(state) as state, count(entity_key) as findings from ({}) group by rule_id"
 ORACLES |= {
+    "catalogue_coverage": f"with {_CATALOGUE} select severity, coverage, coarse as coarse_unit, count(*) as n, coalesce(sum(captured), 0) as captured from c group by all",
+    "retention_quota": """with recursive o as (select o_custkey as c, row_number() over (partition by o_custkey order by o_orderkey) as n, cast(trunc(o_totalprice) as bigint) as b from orders),
+      r as (select c, cast(0 as bigint) as n, cast(0 as bigint) as used, cast(0 as bigint) as kept from (select distinct c from o)
+      union all select o.c, o.n, r.used + case when r.used + o.b <= 1000000 then o.b else 0 end, r.kept + case when r.used + o.b <= 1000000 then 1 else 0 end from r join o on o.c = r.c and o.n = r.n + 1)
+      select c as o_custkey, max(kept) as kept, max(used) as bytes from r group by c having max(kept) > 0""",
+    "audit_states": " union all ".join([_COUNTED.format(rule_queries.oracle(r)) for r in _CHECKED if r not in rule_queries.BRANCH_RULES] + [f"select '{r}', 'passed', 0" for r in rule_queries.BRANCH_RULES] + [f"select '{r}', 'unsupported', 0" for r in catalogue.RULES if r not in _CHECKED]),
+    "near_duplicate_groups": "with recursive src as (select cast(doc_id as varchar) as id, text from documents), " + ", ".join(rule_queries.GROUPS) + " select method, print as fingerprint, any_value(distance) as distance, string_agg(id, ',' order by id) as members from found group by method, print",
+    "baseline_matrix": prelude("v_pages", "v_urls") + ", " + _CATALOGUE + f""",
+      f as ({' union all '.join(f"select rule_id, entity_key from ({rule_queries.oracle(r)}) where entity_key is not null" for r in _BASELINE_RULES)}),
+      w as (select distinct case when status = 404 then 'crawl.http_4xx' else 'meta.missing_viewport' end as rule_id, identity as url from v_pages where status = 404 or viewport is null),
+      u as (select identity, max(state) as state from v_urls group by identity),
+      v as (select w.rule_id, case when exists (select 1 from f where f.rule_id = w.rule_id and f.entity_key = w.url) then 'overlap'
+        when u.state <> 'fetched' or (u.state is null and (w.url not like 'https://shop.example/%' or w.url like 'https://shop.example/o/%' or w.url like 'https://shop.example/p/1%' or w.url like '%&c=%')) then 'explained' else 'unexplained' end as verdict from w left join u on u.identity = w.url),
+      n as (select rule_id, count(*) filter (where verdict = 'overlap') as o, count(*) filter (where verdict = 'explained') as e, count(*) filter (where verdict = 'unexplained') as x from v group by rule_id)
+      select c.id as rule_id, case when n.x > 0 then 'entity_miss_unexplained' when n.o > 0 then 'entity_overlap' when n.e > 0 then 'entity_miss_explained' when c.coverage = 'engine' then 'engine_covered' when c.coverage in ('deferred', 'specified_unregistered') then 'deferred_explained'
+        when exists (select 1 from f where f.rule_id = c.id) then 'covered' when c.captured > 0 then 'aggregate_only' else 'covered' end as matrix_class, case when c.severity = 'error' or c.captured > 0 then 'high' else 'normal' end as impact
+      from c left join n on n.rule_id = c.id""",
     "pages_findings": f"""with p as (select url, {_SQUASHED.format(_DECODED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} as title, {_SQUASHED.format(_DECODED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)"))} as h1 from pages), n as (select * from p where title <> ''),
       f as (select 'meta.missing_description' as rule_id, url as entity_key, concat(url, '#description: ') as evidence from p
       union all select 'meta.missing_viewport', url, concat(url, '#viewport: ') from p

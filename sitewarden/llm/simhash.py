@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, shuffle_partitions, small, texts
+from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, shuffle_partitions, small, texts, trim
 
 CROWD = 64
 CROWD_LOW = 16
@@ -218,6 +218,7 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     middle = crowd.groupBy("value").agg(F.max_by("node", "weight").alias("middle"), F.max_by("n", "weight").alias("middle_n"))
     star = crowd.join(middle, "value").where(F.least("n", "middle_n") >= similarity * F.greatest("n", "middle_n") - 1e-9).select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).where("a < b")
     pairs = checkpoint(_pairs(met.where(f"m <= {CROWD_LOW}"), similarity).unionByName(star).unionByName(equal).unionByName(close).coalesce(shuffle_partitions(docs.sparkSession)).distinct())
+    trim(docs.sparkSession)  # the joins before have grown the heaps, what comes needs memory for sets
     sets = _sets(docs, size, heads, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
     @F.pandas_udf("boolean")

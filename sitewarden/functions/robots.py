@@ -133,3 +133,28 @@ def decisions(urls: DataFrame, fetch_kind: str, group: dict | None, path: Column
     if bypass:
         return found.withColumn("reason", F.when(F.col("allowed"), said).otherwise(F.concat(F.lit("bypassed "), said))).withColumn("allowed", F.lit(True)).drop("pattern")
     return found.withColumn("reason", said).drop("pattern")
+
+
+def _rules_for(token: str):
+    def each(bodies: pd.Series) -> pd.Series:
+        found = (select_group(parse(*decode(bytes(b or b""))), token) for b in bodies)
+        return pd.Series([[{"allow": r["allow"], "pattern": r["pattern"], "regex": to_regex(r["pattern"])} for r in (g or {"rules": []})["rules"] if r["pattern"]] for g in found], dtype=object)
+
+    return F.pandas_udf(each, "array<struct<allow:boolean,pattern:string,regex:string>>")
+
+
+def decide_all(urls: DataFrame, policies: DataFrame, token: str, origin: Column, path: Column) -> DataFrame:
+    """urls with allowed and reason, each by the policy of its own origin.
+
+    policies: (origin, fetch_kind, body), one row an origin. Each body is parsed once; its rules for the product token
+    meet the distinct paths of their origin in an equi-join, and the longest that matches is a maximum. An origin whose
+    policy wasn't found, couldn't be read, or isn't known allows everything."""
+    kinds = policies.select(F.col("origin").alias("_o"), F.col("fetch_kind").alias("_kind"))
+    rules = policies.where("fetch_kind = 'fetched'").select(F.col("origin").alias("_o"), F.explode(_rules_for(token)(F.col("body"))).alias("r")).select("_o", "r.*")
+    keyed = urls.withColumns({"_o": origin, "_path": path})
+    hits = keyed.select("_o", "_path").distinct().join(rules, "_o").where(F.expr("_path rlike regex"))
+    best = hits.groupBy("_o", "_path").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow", "pattern")).alias("_best"))
+    found = keyed.join(best, ["_o", "_path"], "left").join(kinds, "_o", "left")
+    said = F.when(F.col("_best").isNotNull(), F.concat(F.when(F.col("_best.allow"), "Allow: ").otherwise("Disallow: "), F.col("_best.pattern")))
+    why = F.when(F.col("_kind") == "not_found", "robots.txt not found").when(F.col("_kind") == "fetched", "no rule").otherwise("robots.txt unavailable")
+    return found.select(*urls.columns, F.coalesce("_best.allow", F.lit(True)).alias("allowed"), F.coalesce(said, why).alias("reason"))

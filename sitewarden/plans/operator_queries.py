@@ -372,6 +372,20 @@ def coverage_urls(spark, folder):
     return state.coverage(seen).select("key", "original", "skip_reason")
 
 
+_POLICIES = ("User-agent: other\nDisallow: /\n\nUser-agent: bot\nDisallow: /fr\nAllow: /fr/*5\nDisallow: /*?page=\n", "User-agent: *\nDisallow:\nDisallow: /en/\n")
+
+
+def robots_by_origin(spark, folder):
+    """Every page by the policy of its own origin."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    kind = F.length("origin") % 3
+    body = F.when(kind == 0, _POLICIES[0]).when(kind == 2, _POLICIES[1])
+    policies = pages.select(origin.alias("origin")).distinct().select("origin", F.when(kind == 1, "not_found").otherwise("fetched").alias("fetch_kind"), F.encode(body, "utf-8").alias("body"))
+    path = F.concat(U.path_of(F.col("url")), F.regexp_extract("url", r"(\?[^#]*)", 1))
+    return robots.decide_all(pages, policies, "bot", origin, path).select("page_id", "allowed", "reason")
+
+
 def _records(spark, folder):
     address = F.concat(F.lit("https://shop.example/o/"), F.col("o_orderkey").cast("string"))
     status = F.when(F.col("o_orderstatus") == "P", "in_flight").when(F.col("o_orderstatus") == "O", "pending").otherwise("fetched")
@@ -400,7 +414,7 @@ def retry_plan(spark, folder):
 
 
 _NAMES = (
-    pages_findings, stored_audit, stored_comparison, coverage_urls, resumed_frontier, reclassified, retry_plan,
+    robots_by_origin, pages_findings, stored_audit, stored_comparison, coverage_urls, resumed_frontier, reclassified, retry_plan,
     sql_functions, href_classes, parameters_stripped, robots_decisions, urls_filtered, page_inlinks, sitemap_provenance, investigation,
     url_identity, url_parts, scope_exclusion, html_title_h1, html_extract, html_links_resolved, state_counters, crawl_set_semi, blocked_anti,
     target_index_full_outer, resources_grouped_referrers, robots_best_rule, robots_parse, sitemap_locations, shingle_df, exact_duplicates,
@@ -506,6 +520,9 @@ ORACLES |= {
       select c.id as rule_id, case when n.x > 0 then 'entity_miss_unexplained' when n.o > 0 then 'entity_overlap' when n.e > 0 then 'entity_miss_explained' when c.coverage = 'engine' then 'engine_covered' when c.coverage in ('deferred', 'specified_unregistered') then 'deferred_explained'
         when exists (select 1 from f where f.rule_id = c.id) then 'covered' when c.captured > 0 then 'aggregate_only' else 'covered' end as matrix_class, case when c.severity = 'error' or c.captured > 0 then 'high' else 'normal' end as impact
       from c left join n on n.rule_id = c.id""",
+    "robots_by_origin": r"""with p as (select page_id, length(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) % 3 as n, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) as path from pages),
+      b as (select page_id, n, case when n = 0 and regexp_matches(path, '^/.*\?page=') then 'Disallow: /*?page=' when n = 0 and regexp_matches(path, '^/fr/.*5') then 'Allow: /fr/*5' when n = 0 and regexp_matches(path, '^/fr') then 'Disallow: /fr' when n = 2 and regexp_matches(path, '^/en/') then 'Disallow: /en/' end as said from p)
+      select page_id, coalesce(said not like 'Dis%', true) as allowed, coalesce(said, case when n = 1 then 'robots.txt not found' else 'no rule' end) as reason from b""",
     "pages_findings": f"""with p as (select url, {_SQUASHED.format(_DECODED.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} as title, {_SQUASHED.format(_DECODED.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)"))} as h1 from pages), n as (select * from p where title <> ''),
       f as (select 'meta.missing_description' as rule_id, url as entity_key, concat(url, '#description: ') as evidence from p
       union all select 'meta.missing_viewport', url, concat(url, '#viewport: ') from p

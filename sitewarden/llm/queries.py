@@ -104,6 +104,20 @@ select conv_id, count(*) as n_turns,
 from rows group by conv_id
 """
 
+OP10_SQL = r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select r, doc_id, p, substring(x, 2 * p + 1, 100) as s from (select *, unnest(range(0, len(x) // 2 - 49)) as p from d)),
+m as (select s, min(doc_id) as first from w group by s having count(distinct coalesce(doc_id, -1)) > 1),
+g as (select r, p, lag(p) over (partition by r order by p) as before from w join m using (s) where doc_id > first or (doc_id is null and first is not null)),
+i as (select r, p, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by r order by p) as k from g),
+spans as (select r, min(p) as a, max(p) + 50 as b from i group by r, k),
+cut as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as done from spans),
+gone as (select r, count(*) as n_spans, sum(b - a) as n_removed, max(b) as done, string_agg(substring(x, 2 * c.done + 1, 2 * (a - c.done)), '' order by a) as kept from cut c join d using (r) group by r)
+select doc_id, len(x) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(from_hex(coalesce(kept, '') || substring(x, 2 * coalesce(done, 0) + 1))) as kept_sha256
+from d left join gone using (r)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,4 +125,4 @@ QUERIES = {
         op6_flac_media, op7_token_counts, op8_chat_parts, op9_kneser_ney_quality, op10_repeated_substrings,
     )
 }
-ORACLES = {"op8_chat_parts": OP8_SQL}
+ORACLES = {"op8_chat_parts": OP8_SQL, "op10_repeated_substrings": OP10_SQL}

@@ -8,9 +8,10 @@ every order and context are joined into one log probability. Documents then look
 broadcast where that table is measured to be at most BROADCAST bytes, else by packing documents into chunks,
 joining each chunk's distinct 5-grams to the shards and meeting the chunk again. Both give the same figures.
 
-One in HELD of the trusted documents, by doc_id, are not counted but set the limits: a document is kept if its
-perplexity a byte is at most the QUANTILE of theirs in its language, times exp(MARGIN), and that of all languages
-together where its language has none. Quantiles are taken to 0.001 of the logarithm.
+One in HELD of the trusted documents, by doc_id, are not counted but set the limits; in a language of few trusted
+documents more of them, up to half, so that some LEAST serve. A document is kept if its perplexity a byte is at most the
+QUANTILE of theirs in its language, and that of all languages together where its language has none. Quantiles are taken
+to 0.001 of the logarithm.
 
 Defined cases: a null text is empty and is scored by its end alone; a null language is one without trusted documents;
 without trusted documents every document is kept and the model is uniform; a document is trusted if any label row for
@@ -31,7 +32,7 @@ from sitewarden.llm.chunks import NO_ID, chunked, chunks, columns, meet, unpack
 from sitewarden.llm.common import checkpoint, map_arrow, small
 
 ORDER = 5
-QUANTILE, MARGIN, HELD = 0.99, 0.15, 10
+QUANTILE, HELD, LEAST = 0.99, 10, 50
 BROADCAST = 32 << 20
 BATCH, TABLE = 4 << 20, 1 << 20
 
@@ -206,19 +207,25 @@ def _gather(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], logp[order]
 
 
+def held_share(n: Column) -> Column:
+    """The share of a language's n trusted documents that sets its limit."""
+    return F.greatest(F.lit(1 / HELD), F.least(F.lit(0.5), LEAST / n))
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, limit: int = BROADCAST) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, threshold, trusted, quality) for each row of docs (doc_id, text, lang);
+    """(doc_id, lang, n_bytes, perplexity, threshold, trusted, held, quality) for each row of docs (doc_id, text, lang);
     trusted_ids has the doc_ids of the trusted documents, repeats allowed."""
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("_known", F.lit(True))
     ids = small(ids, 16, limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
-    trusting = rows.join(ids, "doc_id", "left").select("doc_id", "text", (F.coalesce("_known", F.lit(False)) & ~held).alias("trusted"))
+    shares = small(rows.select("doc_id", "lang").join(ids, "doc_id").groupBy("lang").agg(held_share(F.count("*")).alias("_share")), 64, limit)
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < F.coalesce("_share", F.lit(1 / HELD)) * 10_000
+    trusting = rows.join(ids, "doc_id", "left").join(shares, "lang", "left").select("doc_id", "text", (F.coalesce("_known", F.lit(False)) & ~held).alias("trusted"))
     counts = checkpoint(count_grams(trusting))
     found = losses(rows, counts, limit)
     found = found.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("_known", F.lit(False))).drop("_known")
-    found = checkpoint(found.withColumn("bin", F.floor(F.col("loss") * 1000)))
-    bins = found.where(F.col("trusted") & held).groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    found = checkpoint(found.join(shares, "lang", "left").withColumn("bin", F.floor(F.col("loss") * 1000)).withColumn("held", held))
+    bins = found.where("trusted and held").groupBy("lang", "bin").agg(F.count("*").alias("n"))
     both = reduce(DataFrame.unionByName, (bins.where("lang is not null").select(F.lit(False).alias("any"), "lang", "bin", "n"), bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(True).alias("any"), F.lit("").alias("lang"), "bin", "n")))
     share = Window.partitionBy("any", "lang")
     running = both.withColumn("below", F.sum("n").over(share.orderBy("bin"))).withColumn("all", F.sum("n").over(share))
@@ -226,11 +233,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, limit: int = BROADCAST) ->
     own = limits.where("not any").select(F.col("lang").alias("_lang"), F.col("cut").alias("own"))
     every = limits.where("any").agg(F.max("cut").alias("every"))
     found = found.join(own, F.col("lang") == F.col("_lang"), "left").join(F.broadcast(every))
-    cut = F.coalesce("own", "every") + int(MARGIN * 1000)
+    cut = F.coalesce("own", "every")
     return found.select(
         "doc_id", "lang", "n_bytes",
         F.exp("loss").alias("perplexity"),
         F.exp((cut + 1) / 1000).alias("threshold"),
         "trusted",
+        "held",
         F.coalesce(F.col("bin") <= cut, F.lit(True)).alias("quality"),
     )

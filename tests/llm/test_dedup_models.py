@@ -376,10 +376,13 @@ def test_decontamination_finds_partial_leaks():
 
 
 def test_kneser_ney_against_brute_force(spark):
-    docs = [(0, "the cat sat on the mat the cat", "en"), (1, "the dog sat on the log", "en"), (2, "", "en"), (3, None, None), (4, "zzz qqq ###", "fr"), (4, "zzz qqq ###", "fr"), (None, "the cat", "en"), (7, "le chat était là", "fr")]
-    trusted = {0, 1, 7}
+    share = F.pmod(F.xxhash64("id"), F.lit(10_000)) >= 5000  # of so few trusted documents half sets limits
+    first, second, third = (r.id for r in spark.range(100, 200).where(share).orderBy("id").limit(3).collect())
+    docs = [(first, "the cat sat on the mat the cat", "en"), (second, "the dog sat on the log", "en"), (2, "", "en"), (3, None, None), (4, "zzz qqq ###", "fr"), (4, "zzz qqq ###", "fr"), (None, "the cat", "en"), (third, "le chat était là", "fr"), (1, "the log", "en")]
+    trusted = {first, second, third, 1}
     frame, ids = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i,) for i in [*trusted, 1]], "doc_id long")
-    held = {r.doc_id for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD)) == 0).collect()}
+    held = {r.doc_id for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < 5000).collect()}
+    assert not held & {first, second, third}
 
     def grams(text):
         raw = bytes(4) + (text or "").encode() + b"\0"
@@ -421,6 +424,33 @@ def test_quality_separates(spark):
     assert len(empty) == 3 and all(r.quality and r.threshold is None for r in empty)
 
 
+@pytest.mark.parametrize("limit", [0, 32 << 20])
+def test_quality_limits_against_brute_force(spark, tmp_path, limit):
+    """Each language's limit is the quantile of its held-out trusted documents; one without any has that of all."""
+    random.seed(12)
+    words = "the of and that with from have were their they this not".split()
+    rows = [(i, " ".join(random.choices(words, k=random.randrange(0, 30))) + "".join(random.choices("abcdefgh ", k=random.randrange(20))), ("en", "de", "xx", None)[i % 4], "clash") for i in range(400)]
+    rows += [(None, None, "en", "clash"), (7, "again", "de", "clash"), (900, "x" * 300_000, "fr", "clash"), (901, "", "fr", "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, threshold string")
+    trusted = spark.createDataFrame([(i,) for i in range(300) if i % 4 != 2] * 2 + [(None,)], "doc_id long")
+    got = kneser_ney.classify(docs, trusted, limit).collect()
+    assert len(got) == len(rows)
+    bins = lambda lang=None: sorted(math.floor(math.log(r.perplexity) * 1000 + 1e-9) for r in got if r.trusted and r.held and (lang is None or r.lang == lang))
+    quantile = lambda b: next(x for i, x in enumerate(b, 1) if i >= len(b) * kneser_ney.QUANTILE)
+    assert len(bins("en")) > 20 and len(bins("de")) > 20 and not bins("xx")
+    for r in got:
+        cut = quantile(bins(r.lang) if r.lang in ("en", "de") else bins())
+        assert abs(math.log(r.threshold) * 1000 - cut - 1) < 1e-6 and r.quality == (math.log(r.perplexity) * 1000 < cut + 1)
+    for lang in ("en", "de"):
+        own = [r for r in got if r.trusted and r.lang == lang]
+        assert 0.3 < sum(r.held for r in own) / len(own) <= 0.7
+
+
+def test_quality_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert kneser_ney.classify(docs, spark.createDataFrame([], "doc_id long")).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

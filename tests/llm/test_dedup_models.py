@@ -296,6 +296,90 @@ def test_language_features_dont_depend_on_blocks(monkeypatch):
         assert (langid.counts(text)[0] == whole).all()
 
 
+def naive_features(text):
+    """Counts of hashed 1- to 3-grams, one at a time."""
+    codes, out = [32], Counter()
+    for c in text.lower():
+        code = ord(c) if c.isalpha() else 32
+        if code != 32 or codes[-1] != 32:
+            codes.append(code)
+    for at in range(1, len(codes)):
+        mixed = 0
+        for n in range(3):
+            if at - n < 0:
+                break
+            mixed = (mixed + codes[at - n] * int(langid._MIX[n]) + n) & 0xFFFFFFFF
+            out[((mixed ^ mixed >> 15) * int(langid._MIX[1]) & 0xFFFFFFFF) >> 32 - langid.BITS] += 1
+    return out
+
+
+def test_language_features_against_brute_force():
+    for text in ("Thé quick, 12 brown  fox!", "a", "ab", "ß ñ 中文 xyz", "  lead", "x" * 50):
+        got = langid.counts(text)[0]
+        assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == naive_features(text)
+
+
+def test_ftrl_and_temperature_against_brute_force(monkeypatch):
+    """Every coordinate and class by itself, from the update rule; the divisor from a plain search of its grid."""
+    monkeypatch.setattr(langid, "BITS", 4)
+    random.seed(17)
+    train = []
+    for _ in range(40):
+        at = np.array(sorted(random.sample(range(16), 4)))
+        label = int(at[0]) % 3
+        train.append((at, np.array([random.random() for _ in at]), label))
+    weights, bias = langid._ftrl(train, 3)
+    z, n = {}, {}
+
+    def w(key):
+        if abs(z.get(key, 0.0)) <= langid.L1:
+            return 0.0
+        return -(z[key] - math.copysign(langid.L1, z[key])) / ((langid.BETA + math.sqrt(n[key])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(train)):
+            at, x, label = train[i]
+            pairs = [*zip(at.tolist(), x.tolist()), ("bias", 1.0)]
+            own = {(f, c): w((f, c)) for f, _ in pairs for c in range(3)}
+            scores = [sum(v * own[f, c] for f, v in pairs) for c in range(3)]
+            total = sum(math.exp(s - max(scores)) for s in scores)
+            for c in range(3):
+                slip = math.exp(scores[c] - max(scores)) / total - (c == label)
+                for f, v in pairs:
+                    g = v * slip
+                    before = n.get((f, c), 0.0)
+                    n[f, c] = before + g * g
+                    z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(n[f, c]) - math.sqrt(before)) / langid.ALPHA * own[f, c]
+    assert np.allclose(weights, [[w((f, c)) for c in range(3)] for f in range(16)]) and np.allclose(bias, [w(("bias", c)) for c in range(3)])
+    assert (weights == 0).any() and (weights != 0).any()
+
+    def loss(t):
+        out = 0.0
+        for at, x, label in train:
+            scores = [(sum(v * weights[f, c] for f, v in zip(at, x)) + bias[c]) / t for c in range(3)]
+            out -= scores[label] - math.log(sum(map(math.exp, scores)))
+        return out / len(train)
+
+    grid = [math.exp(math.log(0.2) + i * (math.log(5) - math.log(0.2)) / 64) for i in range(65)]
+    assert abs(langid._temperature(train, weights, bias) - min(grid, key=loss)) < 1e-9
+
+
+def test_language_scores_against_brute_force():
+    """A prediction from its parts: features, weights of log counts by rarity, unit length, a softmax at the temperature."""
+    random.seed(18)
+    rng = np.random.default_rng(5)
+    model = langid.Model(["a", "b", "c"], rng.random(1 << langid.BITS) + 1, rng.normal(size=(1 << langid.BITS, 3)), rng.normal(size=3), 1.7)
+    for text in ("Das ist ein Satz.", "the cat", "é"):
+        x = {f: math.log1p(k) * model.idf[f] for f, k in naive_features(text).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        scores = [(sum(v / size * model.weights[f, c] for f, v in x.items()) + model.bias[c]) / 1.7 for c in range(3)]
+        p = [math.exp(s) / sum(map(math.exp, scores)) for s in scores]
+        lang, score = model.predict(text)
+        assert lang == "abc"[p.index(max(p))] and abs(score - max(p)) < 1e-9
+    assert model.predict("12 !") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
+
+
 def test_language_id_without_training_rows(spark, tmp_path):
     folder = write(spark, tmp_path, "documents", [(1, "the cat", None, "s", 0)], DOCS)
     assert [(r.lang_pred, r.score) for r in queries.op4_language_id(spark, folder).collect()] == [("und", 0.0)]

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -244,6 +245,110 @@ def test_flac_round_trips():
         flac.encode_streams([b"x"])
 
 
+class NaiveFlac:
+    """A decoder of one-channel streams, a bit at a time, from the format's description (RFC 9639)."""
+
+    def __init__(self, stream):
+        self.data, self.at = stream, 0
+
+    def bits(self, n):
+        value = 0
+        for _ in range(n):
+            value = value << 1 | self.data[self.at >> 3] >> 7 - (self.at & 7) & 1
+            self.at += 1
+        return value
+
+    def signed(self, n):
+        value = self.bits(n)
+        return value - (1 << n) if n and value >> n - 1 else value
+
+    def unary(self):
+        n = 0
+        while not self.bits(1):
+            n += 1
+        return n
+
+    def crc(self, start, poly, width):
+        value = 0
+        for byte in self.data[start : self.at >> 3]:
+            value ^= byte << width - 8
+            for _ in range(8):
+                value = (value << 1 ^ (poly if value >> width - 1 else 0)) & (1 << width) - 1
+        return value
+
+    def residual(self, block, order):
+        wide = 4 + self.bits(2)
+        parts, out = 1 << self.bits(4), []
+        for part in range(parts):
+            rice = self.bits(wide)
+            for _ in range(block // parts - (order if part == 0 else 0)):
+                assert rice != (1 << wide) - 1, "no escapes are written"
+                folded = self.unary() << rice | self.bits(rice)
+                out.append(folded >> 1 ^ -(folded & 1))
+        return out
+
+    def subframe(self, block, width):
+        assert self.bits(1) == 0
+        kind = self.bits(6)
+        assert self.bits(1) == 0
+        if kind == 0:
+            return [self.signed(width)] * block
+        if kind == 1:
+            return [self.signed(width) for _ in range(block)]
+        order = kind - 8 if kind < 32 else kind - 31
+        out = [self.signed(width) for _ in range(order)]
+        if kind < 32:
+            weights, shift = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order], 0
+        else:
+            precision, shift = self.bits(4) + 1, self.signed(5)
+            weights = [self.signed(precision) for _ in range(order)]
+        for error in self.residual(block, order):
+            out.append(error + (sum(w * v for w, v in zip(weights, out[::-1])) >> shift))
+        return out
+
+    def samples(self):
+        assert self.bits(32) == int.from_bytes(b"fLaC")
+        last = 0
+        while not last:
+            last, kind, size = self.bits(1), self.bits(7), self.bits(24)
+            if kind == 0:
+                self.bits(80)
+                rate, channels, width, total = self.bits(20), self.bits(3) + 1, self.bits(5) + 1, self.bits(36)
+                digest = self.bits(128).to_bytes(16)
+                assert (channels, width, rate) == (1, 8, flac.RATE)
+            else:
+                self.bits(8 * size)
+        out = []
+        while len(out) < total:
+            start = self.at >> 3
+            assert self.bits(14) == 0x3FFE and self.bits(1) == 0 and self.bits(1) == 0
+            size, _, channel, depth = self.bits(4), self.bits(4), self.bits(4), self.bits(3)
+            assert channel == 0 and depth in (0, 1) and self.bits(1) == 0
+            lead = self.bits(8)
+            more = 0 if lead < 128 else format(lead, "08b").index("0") - 1
+            number = lead if lead < 128 else lead & (1 << 6 - more) - 1
+            for _ in range(more):
+                number = number << 6 | self.bits(8) & 63
+            assert number == len(out) // flac.BLOCK
+            block = 192 if size == 1 else 144 << size if size < 6 else self.bits(8) + 1 if size == 6 else self.bits(16) + 1 if size == 7 else 1 << size
+            check = self.crc(start, 0x07, 8)
+            assert self.bits(8) == check
+            out += self.subframe(block, 8)
+            self.at += -self.at % 8
+            check = self.crc(start, 0x8005, 16)
+            assert self.bits(16) == check
+        assert self.at == 8 * len(self.data) and hashlib.md5(bytes(v & 255 for v in out)).digest() == digest
+        return out
+
+
+def test_flac_streams_follow_the_format():
+    random.seed(14)
+    payloads = [bytes(64), bytes(random.randrange(256) for _ in range(1088)), b"text and more text  " * 16, "schöne Wörter, très été ".encode() * 90, bytes(np.cumsum(np.random.default_rng(1).integers(-3, 4, 3072)).astype(np.int64) & 255), bytes(range(256)) * 2 + bytes(1024)]
+    payloads = [p + bytes(-len(p) % 64) for p in payloads]
+    for payload, stream in zip(payloads, flac.encode_streams(payloads)):
+        assert bytes(v + 128 for v in NaiveFlac(stream).samples()) == payload
+
+
 def test_flac_rice_codes_with_long_quotients():
     bits = np.zeros(400, np.uint8)
     bits[3], bits[3 + 1 + 130] = 1, 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitewarden import schemas
 from sitewarden.functions import text as T
 from sitewarden.functions import urls as U
-from sitewarden.sources.tables import materialise
+from sitewarden.sources.tables import drop, materialised
 
 UNSETTLED = ("excluded", "pending", "in_flight")
 
@@ -33,7 +33,7 @@ class Evidence:
     host_probes: DataFrame | None = None
     start_url: str | None = None
     now: int = 0
-    settled: set[str] = field(default_factory=set)
+    settled: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         for name, ddl in (("urls", schemas.URL_RECORD), ("sitemap_files", schemas.SITEMAP_FILE), ("sitemap_urls", schemas.SITEMAP_URL), ("robots", schemas.ROBOTS_RUN), ("resource_fetches", schemas.RESOURCE_FETCH), ("tls_inspections", schemas.TLS_INSPECTION), ("host_probes", schemas.HOST_PROBE)):
@@ -110,8 +110,15 @@ class Evidence:
         for name in ("pages", "targets", "links", "resources"):
             if name not in self.settled:
                 self.__dict__.pop("complete_pages", None)
-                self.__dict__[name] = materialise(getattr(self, name))
-                self.settled.add(name)
+                self.__dict__[name], self.settled[name] = materialised(getattr(self, name))
+
+    def close(self) -> None:
+        """Delete what settle() wrote; the relations are made again if they are asked for."""
+        for name, folder in self.settled.items():
+            self.__dict__.pop(name, None)
+            drop(self.spark, folder)
+        self.settled.clear()
+        self.__dict__.pop("complete_pages", None)
 
     @cached_property
     def page_counts(self) -> DataFrame:

@@ -63,6 +63,7 @@ def evaluate_stored(store: Store, run_id: int, config: AuditConfig | None = None
     run = load_run(store, run_id, now)
     report = engine.evaluate(run.evidence, config, registry, run.suppressions)
     store.persist_report(run_id, report, now)
+    run.evidence.close()  # findings come from drafts that were written
     return report
 
 

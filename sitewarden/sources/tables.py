@@ -29,11 +29,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, read back; for wide rows of which each reader wants a few columns."""
+def materialised(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder, read back, and the folder, for drop() when no one reads the rows any more. For
+    wide rows of which each reader wants a few columns."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -119,3 +119,53 @@ def test_one_hot_block_makes_few_pairs(spark):
 
 def test_observation_schema_has_no_surprises(spark):
     assert html.observations(spark.createDataFrame([], "url string, status int, content_type string, headers array<struct<name:string,value:string>>, body binary, truncated boolean, duration_ms long")).schema == spark.createDataFrame([], schemas.OBSERVATION).schema
+
+
+def test_settled_evidence_is_deleted(spark, tmp_path):
+    from sitewarden.operators.evidence import Evidence
+    from sitewarden.plans import engine
+
+    rows = [("https://a/", 200, "text/html", [], b"<!doctype html><title>Short</title><h1>x</h1>", False, 1), ("https://a/b", 200, "text/html", [], b"<title>Short</title>", False, 1)]
+    responses = spark.createDataFrame(rows, "url string, status int, content_type string, headers array<struct<name:string,value:string>>, body binary, truncated boolean, duration_ms long")
+    ev = Evidence(spark, html.observations(responses), start_url="https://a/")
+    report = engine.evaluate(ev)
+    folders = list(ev.settled.values())
+    jvm = spark._jvm.org.apache.hadoop.fs
+    there = lambda f: jvm.Path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(f))
+    assert len(folders) == 4 and all(map(there, folders))
+    ev.close()
+    assert not any(map(there, folders)) and report.states["heading.missing_h1"] == "findings"
+    assert report.findings.where("rule_id = 'heading.missing_h1'").count() == 1 and ev.pages.count() == 2
+
+
+def test_stored_runs_from_begin_to_finish(spark, tmp_path):
+    from sitewarden.plans import stored
+    from sitewarden.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    profile = 'name = "p"\nstart_url = "https://a/"\n'
+    store.begin(1, profile, "https://a/", 5)
+    with pytest.raises(ValueError):
+        store.begin(2, profile, "https://a/", 6)  # one is running
+    bodies = spark.createDataFrame([("https://a/", b"one"), ("https://a/b", b"two")], "identity string, body binary")
+    store.append_in_order("raw_pages", 1, bodies, ["identity"])
+    store.append_in_order("raw_pages", 1, spark.createDataFrame([("https://a/", b"three")], "identity string, body binary"), ["identity"])
+    assert [r.seq for r in store.read("raw_pages", 1).orderBy("seq").collect()] == [0, 1, 2]
+    assert store.html_body(1, "https://a/") == b"three" and store.html_body(1, "https://a/c") is None
+    with pytest.raises(KeyError):
+        stored.load_run(store, 9)
+    store.mark_sitemap_done(1, 7)
+    store.finish(1, False, True, None, 8)
+    run = stored.load_run(store, 1)
+    assert (run.status, run.completed, run.cancelled, run.evidence.sitemap_done, run.profile.start_url) == ("incomplete", False, True, True, "https://a/")
+    report = stored.evaluate_stored(store, 1)
+    assert store.read("rule_outcomes", 1).count() == len(report.states) and run.view().findings.count() == 0
+    store.begin(2, profile, "https://a/", 9)
+    store.finish(2, True, False, None, 10)
+    stored.evaluate_stored(store, 2)
+    deltas, notes = stored.compare_stored(store, 2, 1)
+    assert [k for k, _ in notes] == ["incomplete_later_run"] and deltas.where("change = 'resolved'").count() == 0
+    store.backup(str(tmp_path / "copy"))
+    assert Store(spark, str(tmp_path / "copy")).read("runs").count() == 2
+    with pytest.raises(ValueError):
+        store.backup(str(tmp_path / "copy"))

@@ -99,9 +99,10 @@ def within_one_bit(fp: Column) -> Column:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between the distinct values of fps.fp that connect all values within 2 bits of each other."""
     parts = shuffle_partitions(fps.sparkSession)
-    # fingerprints are few bytes, their cells are not: so many partitions that each task's cells stay small; both sides of
+    # fingerprints are few bytes, their cells are not: so many partitions that each task's cells stay small (by another key
+    # than fps has, or the step would be dropped as needless and its partitions merged); both sides of
     # the join then read one exchange of the cells, for which both need the same two columns
-    cells = fps.repartition(parts, "fp").select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell")).where("cell is not null").repartition(parts, "cell")
+    cells = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell")).where("cell is not null").repartition(parts, "cell")
     shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("cell", "n")
     met = checkpoint(cells.join(shared, "cell"))
     pairs = met.where(f"n <= {CROWD}").groupBy("cell").agg(F.collect_list("fp").alias("l"))

@@ -386,6 +386,13 @@ def robots_by_origin(spark, folder):
     return robots.decide_all(pages, policies, "bot", origin, path).select("page_id", "allowed", "reason")
 
 
+def discovered(spark, folder):
+    """What the links of all pages offer to a crawl, each address once."""
+    pages = rule_queries.site(spark, folder, False).observations.select("identity", F.when(F.col("identity") == derived.START, 0).otherwise(1).alias("depth"), "links")
+    _, offers = state.discover(pages, lambda target: history.profile_exclusion(PROFILE, target))
+    return admission.merge_offers(offers).groupBy("depth", "skip_reason").agg(F.count("*").alias("n"), F.count_if("via_website").alias("via_website"))
+
+
 def _records(spark, folder):
     address = F.concat(F.lit("https://shop.example/o/"), F.col("o_orderkey").cast("string"))
     status = F.when(F.col("o_orderstatus") == "P", "in_flight").when(F.col("o_orderstatus") == "O", "pending").otherwise("fetched")
@@ -414,7 +421,7 @@ def retry_plan(spark, folder):
 
 
 _NAMES = (
-    robots_by_origin, pages_findings, stored_audit, stored_comparison, coverage_urls, resumed_frontier, reclassified, retry_plan,
+    discovered, robots_by_origin, pages_findings, stored_audit, stored_comparison, coverage_urls, resumed_frontier, reclassified, retry_plan,
     sql_functions, href_classes, parameters_stripped, robots_decisions, urls_filtered, page_inlinks, sitemap_provenance, investigation,
     url_identity, url_parts, scope_exclusion, html_title_h1, html_extract, html_links_resolved, state_counters, crawl_set_semi, blocked_anti,
     target_index_full_outer, resources_grouped_referrers, robots_best_rule, robots_parse, sitemap_locations, shingle_df, exact_duplicates,
@@ -520,6 +527,9 @@ ORACLES |= {
       select c.id as rule_id, case when n.x > 0 then 'entity_miss_unexplained' when n.o > 0 then 'entity_overlap' when n.e > 0 then 'entity_miss_explained' when c.coverage = 'engine' then 'engine_covered' when c.coverage in ('deferred', 'specified_unregistered') then 'deferred_explained'
         when exists (select 1 from f where f.rule_id = c.id) then 'covered' when c.captured > 0 then 'aggregate_only' else 'covered' end as matrix_class, case when c.severity = 'error' or c.captured > 0 then 'high' else 'normal' end as impact
       from c left join n on n.rule_id = c.id""",
+    "discovered": prelude("v_links") + f"""select depth, skip_reason, count(*) as n, count(*) as via_website from (select dest_key, cast(min(case when identity = '{derived.START}' then 1 else 2 end) as int) as depth,
+      any_value(case when destination like 'mailto:%' then 'Unsupported scheme' when destination not like 'https://shop.example/%' then 'Outside configured origin' when destination like 'https://shop.example/p/1%' then 'Excluded path prefix' when destination like '%&c=%' then 'Ignored parameter' end) as skip_reason
+      from v_links where destination is not null group by dest_key) group by depth, skip_reason""",
     "robots_by_origin": r"""with p as (select page_id, length(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) % 3 as n, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) as path from pages),
       b as (select page_id, n, case when n = 0 and regexp_matches(path, '^/.*\?page=') then 'Disallow: /*?page=' when n = 0 and regexp_matches(path, '^/fr/.*5') then 'Allow: /fr/*5' when n = 0 and regexp_matches(path, '^/fr') then 'Disallow: /fr' when n = 2 and regexp_matches(path, '^/en/') then 'Disallow: /en/' end as said from p)
       select page_id, coalesce(said not like 'Dis%', true) as allowed, coalesce(said, case when n = 1 then 'robots.txt not found' else 'no rule' end) as reason from b""",

@@ -5,11 +5,13 @@ out is pending with the cap as its reason."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewarden.functions import urls as U
 from sitewarden.sources.tables import ranked
 
 #: Tries after the first, the longest wait in seconds, and the tries after which a wait no longer doubles.
@@ -34,6 +36,17 @@ def coverage(seen: DataFrame) -> DataFrame:
     return first.select("key", "r.*")
 
 
+def discover(pages: DataFrame, exclusion: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(links, offers) of pages (identity, depth, links): every link as it was seen, left-out ones too, and what they offer
+    to the crawl, one click deeper. exclusion gives a profile's reason to leave an address out."""
+    rows = pages.select(F.col("identity").alias("from_identity"), "depth", F.posexplode("links").alias("seq", "link"))
+    target = U.resolve_of(F.col("from_identity"), F.col("link.href"))
+    seen = rows.select("from_identity", "depth", "seq", U.classify_href(F.col("from_identity"), F.col("link.href"), exclusion(target)).alias("c"))
+    links = seen.select(F.struct("from_identity", "seq").alias("order"), "from_identity", "c.original", "c.identity", "c.skip_reason")
+    offers = seen.where("c.identity is not null").select("c.identity", "c.original", (F.col("depth") + 1).alias("depth"), F.lit(True).alias("via_website"), F.lit(False).alias("via_sitemap"), "c.skip_reason")
+    return links, offers
+
+
 def slots_used(records: DataFrame) -> DataFrame:
     """One row, n: the records that take a place under the cap on URLs."""
     return records.agg(F.count_if(F.col("state").isin("fetched", "failed", "in_flight") | queued()).alias("n"))

@@ -169,3 +169,33 @@ def test_stored_runs_from_begin_to_finish(spark, tmp_path):
     assert Store(spark, str(tmp_path / "copy")).read("runs").count() == 2
     with pytest.raises(ValueError):
         store.backup(str(tmp_path / "copy"))
+
+
+def test_commands_of_a_crawl(spark, tmp_path):
+    """Start once, refuse a second start, resume with what came since, and keep every offer merged once."""
+    from sitewarden.streaming import admission, control
+
+    def put(rows):
+        spark.createDataFrame(rows, admission.OFFER).coalesce(1).write.mode("append").parquet(str(tmp_path / "offers"))
+
+    put([("a", "a", 2, True, False, None), ("b", "b", None, False, True, None)])
+    stream = lambda: spark.readStream.schema(admission.OFFER).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "offers"))
+    crawl = control.Crawl(spark, str(tmp_path / "crawl"))
+    assert not crawl.cancel() and crawl.events() == ([], 0)
+    with pytest.raises(RuntimeError, match="no crawl"):
+        crawl.resume(stream())
+    crawl.start(stream())
+    crawl.wait()
+    assert crawl.events()[0][0] == (0, 2)
+    with pytest.raises(RuntimeError, match="resume"):
+        crawl.start(stream())
+    put([("a", "a", 1, False, True, None)])
+    put([("c", "c", 3, True, False, "left out")])
+    crawl.resume(stream())
+    crawl.wait()
+    rows = spark.read.parquet(str(tmp_path / "crawl" / "merged" / "2")).collect()
+    assert sorted((r.identity, r.depth, r.via_website, r.via_sitemap) for r in rows) == [("a", 1, True, True), ("b", None, False, True), ("c", 3, True, False)]
+    crawl.resume(stream(), {"processingTime": "1 second"})
+    with pytest.raises(RuntimeError, match="running"):
+        crawl.resume(stream())
+    assert crawl.active and crawl.cancel() and not crawl.active

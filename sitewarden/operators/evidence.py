@@ -122,8 +122,9 @@ class Evidence:
 
     @cached_property
     def page_counts(self) -> DataFrame:
-        """One row: n_obs, n_complete."""
-        return self.observations.select("page.flags").agg(F.count("*").alias("n_obs"), F.count_if(~(F.col("flags.truncated") | F.col("flags.challenge") | F.col("flags.error_status") | F.col("flags.non_html") | F.col("flags.encoding_fallback"))).alias("n_complete"))
+        """One row, counted once: n_obs, n_complete."""
+        counts = self.observations.select("page.flags").agg(F.count("*").alias("n_obs"), F.count_if(~(F.col("flags.truncated") | F.col("flags.challenge") | F.col("flags.error_status") | F.col("flags.non_html") | F.col("flags.encoding_fallback"))).alias("n_complete"))
+        return self.spark.createDataFrame([tuple(counts.first())], counts.schema)
 
 
 def pointer(identity, name: str, excerpt) -> Column:

@@ -113,11 +113,11 @@ def groups(rows: DataFrame, min_pages: int = 3, min_tokens: int = 12, max_hammin
     """(method, fingerprint, distance, members): exact groups, and clusters of near ones outside exact groups."""
     stripped = strip_boilerplate(rows, min_pages).where(F.size("words") > 0)
     rest = F.array_join("words", " ")
-    stripped = checkpoint(stripped.select("id", F.sha2(rest, 256).alias("rest"), T.hex64(T.fnv1a64(rest)).alias("print"), F.size("words").alias("n"), simhash_udf("words").alias("fp")))
+    stripped = checkpoint(stripped.select("id", F.sha2(rest, 256).alias("rest"), rest.alias("text"), F.size("words").alias("n"), simhash_udf("words").alias("fp")))
     sizes = stripped.groupBy("rest").agg(F.count("*").alias("copies"))
     marked = stripped.join(sizes, "rest")
-    equal = marked.where("copies > 1").groupBy("rest", "print").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    exact = equal.select(F.lit("exact").alias("method"), F.col("print").alias("fingerprint"), F.lit(None).cast("long").alias("distance"), "members")
+    equal = marked.where("copies > 1").groupBy("rest").agg(F.sort_array(F.collect_list("id")).alias("members"), F.any_value("text").alias("text"))
+    exact = equal.select(F.lit("exact").alias("method"), T.hex64(T.fnv1a64(F.col("text"))).alias("fingerprint"), F.lit(None).cast("long").alias("distance"), "members")
     single = checkpoint(marked.where((F.col("copies") == 1) & (F.col("n") >= min_tokens)).select("id", "fp"))
     pairs = checkpoint(near_pairs(single, max_hamming))
     roots = components(pairs.select("a", "b"))

@@ -124,23 +124,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round every node links its larger neighbours, then its smaller ones, to the least node that it sees. Each is an
     aggregation to a minimum and a join on the node, so no neighbourhood is gathered. A round's edges are written to
     the checkpoint folder; the rounds end when no edge changes. Edges are dealt to one task for every EDGES of them, so
-    that the many rounds of a small graph don't cost a task and a file for each shuffle partition.
+    that the many rounds of a small graph don't cost a task and a file for each shuffle partition. In a graph of more
+    tasks the nodes with more than 1 in HOT_ONE_IN of the edges get their least node by broadcast, not by shuffle.
     """
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    parts = min(shuffle_partitions(edges.sparkSession), 1 + edges.count() // EDGES)
+    n = edges.count()
+    parts = min(shuffle_partitions(edges.sparkSession), 1 + n // EDGES)
     edges, seen = edges.coalesce(parts), None
+
+    def attach(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+        """rows with the column m of least (key, m, n), which has one row a key; n counts its rows."""
+        if parts == 1:
+            return rows.join(least.drop("n"), key)
+        hot = F.broadcast(least.where(f"n > {2 * n // HOT_ONE_IN}").drop("n"))
+        return rows.join(hot.select(key), key, "left_anti").join(least.drop("n"), key).unionByName(rows.join(hot, key))
+
     for _ in range(max_rounds):
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("x"), F.col("m").alias("y")).coalesce(parts).distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").select(F.explode(F.array(F.struct(F.col("x").alias("u"), "m"), F.struct(F.col("y").alias("u"), "m"))).alias("e"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = attach(both.where("v > u"), least, "u").where("v <> m").select(F.col("v").alias("x"), F.col("m").alias("y")).coalesce(parts).distinct()
+        least = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
+        small = attach(large, least, "x").select(F.explode(F.array(F.struct(F.col("x").alias("u"), "m"), F.struct(F.col("y").alias("u"), "m"))).alias("e"))
         small = small.select(F.greatest("e.u", "e.m").alias("a"), F.least("e.u", "e.m").alias("b")).where("a <> b").coalesce(parts)
         edges = checkpoint(small.distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     pairs = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))

@@ -85,6 +85,17 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Many tasks, a node with half of the edges on either side of them: the same classes as a plain search."""
+    monkeypatch.setattr(common, "EDGES", 20)
+    monkeypatch.setattr(common, "HOT_ONE_IN", 10)
+    random.seed(20)
+    pairs = [(50, i) for i in range(51, 160)] + [(500, i) for i in range(300, 400)] + [(random.randrange(160, 300), random.randrange(160, 300)) for _ in range(60)] + [(159, 400), (399, 600)]
+    roots = components(601, pairs)
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: roots[i] for i in {x for p in pairs for x in p if p[0] != p[1]}}
+
+
 def test_near_classes(spark):
     random.seed(3)
     words = [f"w{i}" for i in range(500)]

@@ -60,11 +60,12 @@ class Report:
     config_fingerprint: str
 
 
-def evaluate(ev: Evidence, config: AuditConfig | None = None, registry: Registry | None = None, suppressions: DataFrame | None = None, rules=None) -> Report:
+def evaluate(ev: Evidence, config: AuditConfig | None = None, registry: Registry | None = None, suppressions: DataFrame | None = None, rules=None, repeats: bool = False) -> Report:
     """Evaluate all rules (or the given ones with their prerequisites).
 
     Drafts of all rules are written once; what comes to the driver is a gate and a count for each rule. A rule's
-    findings are released only if its state is `findings`: one missing piece of evidence holds all of them back."""
+    findings are released only if its state is `findings`: one missing piece of evidence holds all of them back. Of the
+    drafts of one rule and entity the first counts, or with repeats each."""
     config, registry = config or AuditConfig(), registry or default_registry()
     wanted = registry.with_prerequisites(rules if rules is not None else registry.families)
     if len(wanted) > MANY:
@@ -84,7 +85,8 @@ def evaluate(ev: Evidence, config: AuditConfig | None = None, registry: Registry
     if rules is None:
         states |= {r: "unsupported" for r in catalogue.RULES if r not in states}
     released = [r for r, s in states.items() if s == "findings"]
-    kept = algebra.first_per_id(drafts.where(F.col("rule_id").isin(*released)) if released else drafts.limit(0))
+    kept = drafts.where(F.col("rule_id").isin(*released)) if released else drafts.limit(0)
+    kept = kept if repeats else algebra.first_per_id(kept)
     severity = F.create_map(*(F.lit(x) for r in catalogue.RULES.values() for x in (r.id, r.severity)))
     cut = F.transform("evidence", lambda e: F.struct(e["observation_identity"].alias("observation_identity"), e["field"].alias("field"), F.substring(e["excerpt"], 1, 240).alias("excerpt")))
     findings = kept.select("rule_id", "entity_key", F.coalesce(severity[F.col("rule_id")], F.lit("notice")).alias("severity"), F.lit("findings").alias("state"), "fact", "recommendation", cut.alias("evidence"), F.lit(config.version).alias("config_version"), F.lit(catalogue.VERSION).alias("catalogue_version"))

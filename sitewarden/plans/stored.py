@@ -73,6 +73,7 @@ def compare_stored(store: Store, baseline_id: int, later_id: int) -> tuple[DataF
     return history.compare_runs(baseline, later), history.compatibility_notes(baseline, later)
 
 
-def audit_responses(responses: DataFrame, start_url: str | None = None, config: AuditConfig | None = None, rules=None, now: int = 0) -> engine.Report:
-    """From raw responses to findings: extraction and the rules on what was extracted."""
-    return engine.evaluate(Evidence(responses.sparkSession, html.observations(responses), start_url=start_url, now=now), config, rules=rules)
+def audit_responses(responses: DataFrame, start_url: str | None = None, config: AuditConfig | None = None, rules=None, now: int = 0, repeats: bool = False) -> engine.Report:
+    """From raw responses to findings: extraction and the rules on what was extracted. repeats: responses may share an
+    address, and each has its own findings."""
+    return engine.evaluate(Evidence(responses.sparkSession, html.observations(responses), start_url=start_url, now=now), config, rules=rules, repeats=repeats)

@@ -59,3 +59,15 @@ def test_html_extract_reads_whole_pages(spark, tmp_path):
     spark.createDataFrame([(1, "https://a.example/", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     row = operator_queries.html_extract(spark, str(tmp_path)).first()
     assert (row.links, row.headings, row.raw_bytes) == (1, 1, len(page))
+
+
+def test_pages_findings_of_pages_that_share_an_address(spark, tmp_path):
+    from sitewarden.plans import operator_queries
+
+    page = '<html><head><meta charset="utf-8"><title>{}</title></head><body><h1>x</h1></body></html>'
+    spark.createDataFrame([(i, "https://a.example/", page.format(t)) for i, t in enumerate(("One", "Two", "Two"))], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = rows(operator_queries.pages_findings(spark, str(tmp_path)).toPandas())
+    assert got == rows(con.sql(ORACLES["pages_findings"]).df())
+    assert sum("meta.short_title" in r for r in got) == 3

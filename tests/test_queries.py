@@ -71,3 +71,17 @@ def test_pages_findings_of_pages_that_share_an_address(spark, tmp_path):
     got = rows(operator_queries.pages_findings(spark, str(tmp_path)).toPandas())
     assert got == rows(con.sql(ORACLES["pages_findings"]).df())
     assert sum("meta.short_title" in r for r in got) == 3
+
+
+def test_sitemap_locations_beyond_the_limit_of_a_crawl(spark, tmp_path):
+    from sitewarden.plans import operator_queries
+
+    for name in ("part", "supplier", "nation", "lineitem", "documents"):
+        os.symlink(f"{FOLDER}/{name}.parquet", tmp_path / f"{name}.parquet")
+    con = duckdb.connect()
+    con.execute(f"copy (select i as o_orderkey, 'F' as o_orderstatus from range(100000, 140000) x(i)) to '{tmp_path}/orders.parquet'")
+    for name in ("part", "supplier", "orders"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet')")
+    got = operator_queries.sitemap_locations(spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.sql(ORACLES["sitemap_locations"]).df())
+    assert got.n.max() >= 40000

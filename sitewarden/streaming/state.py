@@ -39,9 +39,14 @@ def coverage(seen: DataFrame) -> DataFrame:
 def discover(pages: DataFrame, exclusion: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """(links, offers) of pages (identity, depth, links): every link as it was seen, left-out ones too, and what they offer
     to the crawl, one click deeper. exclusion gives a profile's reason to leave an address out."""
-    rows = pages.select(F.col("identity").alias("from_identity"), "depth", F.posexplode("links").alias("seq", "link"))
-    target = U.resolve_of(F.col("from_identity"), F.col("link.href"))
-    seen = rows.select("from_identity", "depth", "seq", U.classify_href(F.col("from_identity"), F.col("link.href"), exclusion(target)).alias("c"))
+    return discover_links(pages.select("identity", "depth", F.posexplode("links").alias("seq", "link")).select("identity", "depth", "seq", "link.href"), exclusion)
+
+
+def discover_links(rows: DataFrame, exclusion: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """As discover(), of links (identity, depth, seq, href)."""
+    rows = rows.withColumnRenamed("identity", "from_identity")
+    target = U.resolve_of(F.col("from_identity"), F.col("href"))
+    seen = rows.select("from_identity", "depth", "seq", U.classify_href(F.col("from_identity"), F.col("href"), exclusion(target)).alias("c"))
     links = seen.select(F.struct("from_identity", "seq").alias("order"), "from_identity", "c.original", "c.identity", "c.skip_reason")
     offers = seen.where("c.identity is not null").select("c.identity", "c.original", (F.col("depth") + 1).alias("depth"), F.lit(True).alias("via_website"), F.lit(False).alias("via_sitemap"), "c.skip_reason")
     return links, offers

@@ -85,3 +85,17 @@ def test_sitemap_locations_beyond_the_limit_of_a_crawl(spark, tmp_path):
     got = operator_queries.sitemap_locations(spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(con.sql(ORACLES["sitemap_locations"]).df())
     assert got.n.max() >= 40000
+
+
+def test_links_of_the_site_are_rows_of_their_own(spark):
+    """The page of all entries has links in proportion to the site: no row may hold them all."""
+    from sitewarden.plans import rule_queries
+    from sitewarden.sources import derived
+
+    site = rule_queries.site(spark, FOLDER, False)
+    assert site.observations.selectExpr("max(size(links) + size(resources))").first()[0] == 0
+    links = derived.views(spark, FOLDER, "v_links")["v_links"]
+    assert site.all_links.count() == links.count()
+    assert site.whole_observations.selectExpr("sum(size(links))").first()[0] == links.count()
+    counts = site.counted(site.pages).select("identity", "n_links").where("n_links > 0")
+    assert counts.exceptAll(links.groupBy("identity").count()).isEmpty() and counts.count() == links.select("identity").distinct().count()

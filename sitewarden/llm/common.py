@@ -94,6 +94,15 @@ def trim(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).agg(F.count("done")).collect()
 
 
+def free(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, after which Spark deletes the shuffle files and checkpoints that no plan
+    names any more; left alone it does so at some later moment, or after the job. It changes no result."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST) -> DataFrame:
     """df, to be broadcast if its rows are counted and found to take at most `limit` bytes, else to be shuffled."""
     df = checkpoint(df)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewarden.llm.common import checkpoint, components, hot_keys, lookup_join, map_arrow, shuffle_partitions, small, texts, trim
+from sitewarden.llm.common import checkpoint, components, free, hot_keys, lookup_join, map_arrow, shuffle_partitions, small, texts, trim
 
 CROWD = 64
 CROWD_LOW = 16
@@ -207,18 +207,24 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     prints = checkpoint(sketches(docs, size, similarity, common_shingles(docs, size)))
     heads = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("fp", "low", "n", "weight")))
     heads = checkpoint(heads.where("doc_id is not null").withColumn("node", F.monotonically_increasing_id()))
+    # the first shingles are the bulk of what is kept: once they have met, nothing names them, and their files go
+    prints, wide, heads = checkpoint(prints.select("doc_id", "same")), heads, checkpoint(heads.drop("low"))
+    free(docs.sparkSession)
+    # both sides of the join read one exchange, so both need the same two columns
+    one = wide.select("node", F.explode("low").alias("value")).repartition(shuffle_partitions(docs.sparkSession), "value")
+    shared = one.groupBy("value").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("value", "m")
+    met = checkpoint(one.join(shared, "value").join(heads.select("node", "n", "weight"), "node"))
+    del wide, one, shared
+    free(docs.sparkSession)
     firsts = checkpoint(heads.groupBy("fp").agg(F.min("node").alias("first")))
     equal = heads.join(firsts, "fp").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
     first_of = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
     close = links(firsts.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
-    # both sides of the join read one exchange, so both need the same two columns
-    one = heads.select("node", F.explode("low").alias("value")).repartition(shuffle_partitions(docs.sparkSession), "value")
-    shared = one.groupBy("value").agg(F.count("*").alias("m"), F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("value", "m")
-    met = checkpoint(one.join(shared, "value").join(heads.select("node", "n", "weight"), "node"))
     crowd = met.where(f"m > {CROWD_LOW}")
     middle = crowd.groupBy("value").agg(F.max_by("node", "weight").alias("middle"), F.max_by("n", "weight").alias("middle_n"))
     star = crowd.join(middle, "value").where(F.least("n", "middle_n") >= similarity * F.greatest("n", "middle_n") - 1e-9).select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).where("a < b")
     pairs = checkpoint(_pairs(met.where(f"m <= {CROWD_LOW}"), similarity).unionByName(star).unionByName(equal).unionByName(close).coalesce(shuffle_partitions(docs.sparkSession)).distinct())
+    free(docs.sparkSession)
     trim(docs.sparkSession)  # the joins before have grown the heaps, what comes needs memory for sets
     sets = _sets(docs, size, heads, pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
@@ -234,6 +240,7 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     alike_pairs = pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
     edges = checkpoint(alike_pairs.unionByName(_of_one_document(prints, heads)))
+    free(docs.sparkSession)
     found = components(edges)
     rest = _open(crowd, found)
     if not rest.isEmpty():

@@ -675,3 +675,17 @@ def test_pipeline(spark, tmp_path):
             assert docs.where("doc_id = 205").first().text.strip() and len(docs.where("doc_id = 205").first().text) <= len(rows[-1][1]) - 195
     assert ids == set(range(80)) | {205}
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ids
+
+
+def test_first_shingles_are_not_kept_once_they_have_met(spark, monkeypatch):
+    from sitewarden.llm import simhash
+
+    kept, frees = [], []
+    monkeypatch.setattr(simhash, "checkpoint", lambda df, f=simhash.checkpoint: kept.append(df.columns) or f(df))
+    monkeypatch.setattr(simhash, "free", lambda spark, f=simhash.free: frees.append(len(kept)) or f(spark))
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " x"), (3, words), (4, "other text of its own here")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+    slim = [c for c in kept if c == ["doc_id", "same"]]
+    assert slim and frees and not any("low" in c for c in kept[frees[0]:])

@@ -43,10 +43,10 @@ def discover(pages: DataFrame, exclusion: Callable[[Column], Column]) -> tuple[D
 
 
 def discover_links(rows: DataFrame, exclusion: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """As discover(), of links (identity, depth, seq, href)."""
+    """As discover(), of links (identity, depth, seq, href), and target where the resolved addresses are at hand."""
     rows = rows.withColumnRenamed("identity", "from_identity")
-    target = U.resolve_of(F.col("from_identity"), F.col("href"))
-    seen = rows.select("from_identity", "depth", "seq", U.classify_href(F.col("from_identity"), F.col("href"), exclusion(target)).alias("c"))
+    target = F.col("target") if "target" in rows.columns else U.resolve_of(F.col("from_identity"), F.col("href"))
+    seen = rows.select("from_identity", "depth", "seq", U.classify_href(F.col("from_identity"), F.col("href"), exclusion(target), target).alias("c"))
     links = seen.select(F.struct("from_identity", "seq").alias("order"), "from_identity", "c.original", "c.identity", "c.skip_reason")
     offers = seen.where("c.identity is not null").select("c.identity", "c.original", (F.col("depth") + 1).alias("depth"), F.lit(True).alias("via_website"), F.lit(False).alias("via_sitemap"), "c.skip_reason")
     return links, offers

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -99,3 +100,18 @@ def test_links_of_the_site_are_rows_of_their_own(spark):
     assert site.whole_observations.selectExpr("sum(size(links))").first()[0] == links.count()
     counts = site.counted(site.pages).select("identity", "n_links").where("n_links > 0")
     assert counts.exceptAll(links.groupBy("identity").count()).isEmpty() and counts.count() == links.select("identity").distinct().count()
+
+
+def test_only_odd_addresses_meet_python(spark):
+    from sitewarden.functions import urls as U
+    from sitewarden.plans import rule_queries
+
+    rows = spark.createDataFrame([(1, "https://a.example/x#top"), (2, "HTTP://A.example/../x"), (3, None), (4, "mailto:z"), (5, "https://a.example/x?a=1&b=2")], "n int, url string")
+    url, base = F.col("url"), F.lit("https://a.example/y/")
+    pairs = ((U.with_identity(rows, url, "k"), U.identity_of(url)), (U.with_resolved(rows, base, url, "k"), U.resolve_of(base, url)))
+    for found, same in pairs:
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.withColumn("k", same).collect()))
+    site = rule_queries.site(spark, FOLDER, False)
+    plan = site.of_complete("links")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("ArrowEvalPython", 1)
+    assert "Union" in above and "NOT" in "".join(below.splitlines()[1:4])

@@ -90,17 +90,44 @@ def trim(spark: SparkSession) -> None:
     """Have the executors collect their garbage, after which a JVM gives back heap that it doesn't need: a job of one
     short task for each core, so that an executor hardly goes without. It changes no result; it is for between two
     stages of which the first has grown the heaps and the second needs memory for its Python workers."""
+    free(spark)
     n = spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).agg(F.count("done")).collect()
 
 
 def free(spark: SparkSession) -> None:
     """Have the driver collect its garbage, after which Spark deletes the shuffle files and checkpoints that no plan
-    names any more; left alone it does so at some later moment, or after the job. It changes no result."""
+    names any more; left alone it does so at some later moment, or after the job. Then both of the driver's processes
+    give memory that is free but held back to the system. It changes no result."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_native(spark)
+    release()
+
+
+def trim_native(spark: SparkSession) -> str | None:
+    """Have the driver's JVM give freed native memory back, of which compilers and network threads leave some hundred MB
+    behind: the JVM's own command System.trim_native_heap. Returns what it says, None where a JVM has no such command."""
+    from py4j.protocol import Py4JError
+
+    gateway = spark.sparkContext._gateway
+    java = gateway.jvm.java.lang
+
+    def array(kind, *values):
+        made = gateway.new_array(kind, len(values))
+        for i, value in enumerate(values):
+            made[i] = value
+        return made
+
+    try:
+        kinds = [java.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = java.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(java.Class, *kinds))
+        commands = gateway.jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), array(java.Object, commands, "systemTrimNativeHeap", None, None))
+    except Py4JError:
+        return None
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST) -> DataFrame:

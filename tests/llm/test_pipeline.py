@@ -163,3 +163,9 @@ def test_empty_benchmark_and_repeated_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         assert sorted(r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()) == sorted([r[0] for r in rows] * 2), name
     assert docs.agg(F.count("*")).first()[0] == 10
+
+
+def test_the_drivers_native_memory_is_given_back(spark):
+    from sitewarden.llm import common
+
+    assert "native heap" in common.trim_native(spark)

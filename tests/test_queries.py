@@ -115,3 +115,37 @@ def test_only_odd_addresses_meet_python(spark):
     plan = site.of_complete("links")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("ArrowEvalPython", 1)
     assert "Union" in above and "NOT" in "".join(below.splitlines()[1:4])
+
+
+def test_findings_of_a_rule_do_not_meet_in_one_task(spark):
+    """A join of outcomes and findings on rule_id would bring all findings of a rule together."""
+    from sitewarden.plans import engine, rule_queries
+
+    report = engine.evaluate(rule_queries.site(spark, FOLDER, False), rules=["links.missing_anchor_text", "meta.frames"])
+    flat = engine.rows_of(report)
+    assert "Join" not in flat._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.rule_id, r.state, r.n) for r in flat.groupBy("rule_id", "state").agg(F.count("entity_key").alias("n")).collect()}
+    counts = {r["rule_id"]: r["count"] for r in report.findings.groupBy("rule_id").count().collect()}
+    assert found == {(r, s, counts.get(r, 0)) for r, s in report.states.items()}
+
+
+def test_link_rules_join_targets_only_where_they_look_at_them(spark):
+    from sitewarden.plans import link_rules, rule_queries
+    from sitewarden.plans.config import AuditConfig
+
+    site = rule_queries.site(spark, FOLDER, False)
+    for rule, joins in (("links.missing_anchor_text", 1), ("links.external_outgoing_nofollow", 1), ("links.broken_internal", 3)):
+        (out,) = link_rules.links(site, AuditConfig(), {rule})
+        assert out.drafts[0]._jdf.queryExecution().optimizedPlan().toString().count("Join ") >= joins
+        assert ("ArrowEvalPython" in out.drafts[0]._jdf.queryExecution().optimizedPlan().toString()) == (joins > 1)
+
+
+def test_opaque_addresses_and_none_stay_in_the_jvm(spark):
+    from sitewarden.functions import urls as U
+
+    urls = ["mailto:z#x", "data:,a?b#c", "tel:", "x:y z", "MAILTO:z", "http:x", "ftp://A/", "mailto:ü", "a.b+c-1:?", None, "https://a.example/x#t", "nothing"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    found = U.with_identity(rows, F.col("url"), "k")
+    assert sorted(map(str, found.collect())) == sorted(str(spark.createDataFrame([(u, U.identity(u))], "url string, k string").first()) for u in urls)
+    plan = U.with_identity(spark.range(1).selectExpr("string(id) as url"), F.col("url"), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert U.OPAQUE in plan.split("ArrowEvalPython", 1)[1]

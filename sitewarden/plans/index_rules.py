@@ -84,11 +84,12 @@ def sitemap_files(ev: Evidence, cfg: AuditConfig, wanted: set[str]) -> list[Outp
 def sitemap_incorrect(ev: Evidence) -> Output:
     """sitemap.incorrect_pages: listed addresses that are blocked, fail, redirect, aren't canonical or forbid indexing."""
     rule = "sitemap.incorrect_pages"
-    listed = ev.sitemap_urls.where("skip_reason is null").withColumn("key", U.identity_of(F.coalesce("identity", "original")))
+    listed = U.with_identity(ev.sitemap_urls.where("skip_reason is null"), F.coalesce("identity", "original"), "key")
     pages = ev.pages.groupBy("key").agg(F.max_by(F.struct("identity", "status", "redirect_chain", "canonicals", "noindex"), "identity").alias("o"))
+    # a page's canonical is resolved before the addresses take the page up: there may be many more of them than pages
     first = F.try_element_at(F.col("o.canonicals"), F.lit(1))
+    pages = pages.withColumn("canonical", U.resolve_of(F.col("o.identity"), first))
     rows = listed.select("key", "original", "source_sitemap").join(ev.url_keys.select("key", "state", "failed_reason"), "key", "left").join(pages, "key", "left")
-    rows = rows.withColumn("canonical", U.resolve_of(F.col("o.identity"), first))
     chain = F.aggregate("o.redirect_chain", F.try_element_at("o.redirect_chain", F.lit(1))["from"], lambda s, h: F.concat(s, F.lit(" -"), h["status"].cast("string"), F.lit("-> "), h["to"]))
     hops = F.when(F.size("o.redirect_chain") > 0, chain).otherwise(_say("HTTP ", F.col("o.status").cast("string")))
     seen, blocked = F.col("o").isNotNull(), F.coalesce(F.col("state") == "blocked", F.lit(False))

@@ -149,3 +149,12 @@ def test_opaque_addresses_and_none_stay_in_the_jvm(spark):
     assert sorted(map(str, found.collect())) == sorted(str(spark.createDataFrame([(u, U.identity(u))], "url string, k string").first()) for u in urls)
     plan = U.with_identity(spark.range(1).selectExpr("string(id) as url"), F.col("url"), "k")._jdf.queryExecution().optimizedPlan().toString()
     assert U.OPAQUE in plan.split("ArrowEvalPython", 1)[1]
+
+
+def test_sitemap_addresses_do_not_wait_for_python(spark):
+    """There may be many more addresses in a sitemap than pages: canonicals are resolved before addresses and pages meet."""
+    from sitewarden.plans import index_rules, rule_queries
+
+    out = index_rules.sitemap_incorrect(rule_queries.site(spark, FOLDER, False))
+    for rows in (*out.drafts, *out.gates):
+        assert "ArrowEvalPython" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[0]

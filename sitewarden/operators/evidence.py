@@ -119,11 +119,13 @@ class Evidence:
         complete = ~(flags["truncated"] | flags["challenge"] | flags["error_status"] | flags["non_html"] | flags["encoding_fallback"])
         rows = self.observations.select("identity", "page.*", "links", F.size("links").alias("n_links"), "resources", "redirect_chain", complete.alias("complete"), U.identity_of(F.col("identity")).alias("key"))
         rows = rows.withColumn("header_noindex", T.has_token(F.col("robots_headers"), "noindex")).withColumn("noindex", F.col("header_noindex") | T.has_token(F.col("robots_meta"), "noindex"))
-        if self.has_urls:
-            rows = rows.join(self.crawl_set, "key", "left").withColumn("in_crawl", F.coalesce("crawled", F.lit(False))).drop("crawled")
-        else:
-            rows = rows.withColumn("in_crawl", F.lit(True))
-        return rows.join(self.listed, "key", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False)))
+        return self.with_crawl(rows).join(self.listed, "key", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False)))
+
+    def with_crawl(self, rows: DataFrame) -> DataFrame:
+        """rows with in_crawl, met on the key."""
+        if not self.has_urls:
+            return rows.withColumn("in_crawl", F.lit(True))
+        return rows.join(self.crawl_set, "key", "left").withColumn("in_crawl", F.coalesce("crawled", F.lit(False))).drop("crawled")
 
     @cached_property
     def complete_pages(self) -> DataFrame:

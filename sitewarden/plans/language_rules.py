@@ -13,6 +13,7 @@ from sitewarden.operators.algebra import Output, Spec, draft_struct, evaluate_sp
 from sitewarden.operators.evidence import UNSETTLED, Evidence, pointer
 from sitewarden.plans.config import AuditConfig
 from sitewarden.plans.page_rules import _say
+from sitewarden.sources.tables import checkpoint
 
 #: Frequent words by language.
 WORDS = {
@@ -46,15 +47,21 @@ def primary(tag: Column) -> Column:
 
 def detect(text: Column) -> Column:
     """The language whose frequent words a text has most of, as struct(lang, hits, confidence); null without any."""
-    words = F.filter(F.split(T.ascii_lower(text), r"[^\p{IsAlphabetic}]+"), lambda w: F.octet_length(w) >= 2)
+    listed = sorted({w for own in WORDS.values() for w in own.split()})
+    words = F.filter(F.split(T.ascii_lower(text), r"[^\p{IsAlphabetic}]+"), lambda w: (F.octet_length(w) >= 2) & w.isin(*listed))
 
-    def hits(own: str) -> Column:
+    def once(value: Column, use) -> Column:
+        """use(value), with value evaluated once however often use names it."""
+        return F.transform(F.array(value), use)[0]
+
+    def hits(words: Column, own: str) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*own.split())))
 
-    scores = F.array(*(F.struct(hits(own).alias("hits"), F.lit(lang).alias("lang")) for lang, own in WORDS.items()))
-    best = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0), lambda n, s: n + s["hits"])
-    return F.when(total > 0, F.struct(best["lang"].alias("lang"), best["hits"].alias("hits"), (best["hits"] / total).alias("confidence")))
+    def best(scores: Column) -> Column:
+        most, total = F.array_max(scores), F.aggregate(scores, F.lit(0), lambda n, s: n + s["hits"])
+        return F.when(total > 0, F.struct(most["lang"].alias("lang"), most["hits"].alias("hits"), (most["hits"] / total).alias("confidence")))
+
+    return once(once(words, lambda w: F.array(*(F.struct(hits(w, own).alias("hits"), F.lit(lang).alias("lang")) for lang, own in WORDS.items()))), best)
 
 
 def annotations(ev: Evidence) -> DataFrame:
@@ -139,12 +146,19 @@ def incorrect(ev: Evidence) -> Output:
     return Output([_gate(ev, rule, rows, F.coalesce(missing, F.lit(False)))], [drafts, selfless])
 
 
+def _read(ev: Evidence) -> DataFrame:
+    """(identity, html_lang, found) of complete pages: texts are read once, and no text goes into a join or to Python."""
+    flags = F.col("page.flags")
+    complete = ~(flags["truncated"] | flags["challenge"] | flags["error_status"] | flags["non_html"] | flags["encoding_fallback"])
+    return checkpoint(ev.observations.where(complete).select("identity", "page.html_lang", detect(F.col("page.text")).alias("found")))
+
+
 def mismatch(ev: Evidence, cfg: AuditConfig) -> Output:
     rule = "hreflang.language_mismatch"
     hits, confidence = cfg.number("min_language_hits"), cfg.number("min_language_confidence")
     own = annotations(ev).where("own").withColumn("p", primary(F.col("lang"))).where("p is not null").groupBy("identity").agg(F.min_by("p", "pos").alias("self_lang"), F.max("listing").alias("listing"))
-    rows = ev.complete_pages.where("in_crawl").select("identity", "html_lang", "text").join(own, "identity", "left")
-    rows = rows.withColumn("page_lang", primary(F.col("html_lang"))).withColumn("declared", F.coalesce("page_lang", "self_lang")).where("declared is not null").withColumn("found", detect(F.col("text")))
+    rows = ev.with_crawl(U.with_identity(_read(ev), F.col("identity"), "key")).where("in_crawl").select("identity", "html_lang", "found").join(own, "identity", "left")
+    rows = rows.withColumn("page_lang", primary(F.col("html_lang"))).withColumn("declared", F.coalesce("page_lang", "self_lang")).where("declared is not null")
     f = F.col("found")
     specs = [
         Spec(rule, F.col("page_lang") != F.col("self_lang"), _say(F.col("identity"), " declared"), _say("The page says ", F.col("page_lang"), ", its annotation ", F.col("self_lang")), "Let the declarations agree.", [pointer("identity", "html_lang", F.col("html_lang")), pointer("identity", "hreflang", F.col("listing"))]),

@@ -158,3 +158,27 @@ def test_sitemap_addresses_do_not_wait_for_python(spark):
     out = index_rules.sitemap_incorrect(rule_queries.site(spark, FOLDER, False))
     for rows in (*out.drafts, *out.gates):
         assert "ArrowEvalPython" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[0]
+
+
+def test_texts_are_read_once_for_the_language_rule(spark):
+    """No text in a join or beside Python, and one split of it however often the result is looked at."""
+    from sitewarden.plans import language_rules, rule_queries
+    from sitewarden.plans.config import AuditConfig
+
+    out = language_rules.mismatch(rule_queries.site(spark, FOLDER, True), AuditConfig())
+    for frame in (*out.drafts, *out.gates):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in plan and "text#" not in plan
+    texts = ["", None, "der die das und ich", "The this, THAT with é", "que los pas une", "une que", "x y z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", language_rules.detect(F.col("text")).alias("f"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    found = {r.i: r.f and (r.f.lang, r.f.hits, r.f.confidence) for r in rows.collect()}
+
+    def brute(text):
+        words = "".join(c.lower() if c.isascii() else c for c in text or "")
+        words = "".join(c if c.isalpha() else " " for c in words).split()
+        hits = [(sum(w in own.split() for w in words), lang) for lang, own in language_rules.WORDS.items()]
+        total = sum(n for n, _ in hits)
+        return (max(hits)[1], max(hits)[0], max(hits)[0] / total) if total else None
+
+    assert found == {i: brute(t) for i, t in enumerate(texts)}

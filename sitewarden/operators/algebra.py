@@ -63,7 +63,9 @@ def evaluate_specs(rows: DataFrame, specs: list[Spec], counts: DataFrame, least:
     drafts = hits.select(F.inline(F.array_compact(found)))
     sums = [F.coalesce(F.bool_or(cleaned(s.scope, True)), F.lit(False)).alias(f"s{i}") for i, s in enumerate(specs)]
     sums += [F.coalesce(F.bool_or(cleaned(s.scope, True) & cleaned(s.unknown, False)), F.lit(False)).alias(f"u{i}") for i, s in enumerate(specs)]
-    one = rows.agg(*sums).join(F.broadcast(counts))
+    # only rows in scope count for the gate of a lone rule
+    scoped = rows.where(cleaned(specs[0].scope, True)) if len(specs) == 1 else rows
+    one = scoped.agg(*sums).join(F.broadcast(counts))
     enough = F.col(least) > 0
     gates = F.array(*(F.struct(F.lit(s.rule_id).alias("rule_id"), ((~enough) | F.col(f"s{i}") | F.lit(s.scope is None)).alias("applicable"), (enough & ~F.col(f"u{i}")).alias("complete")) for i, s in enumerate(specs)))
     return Output([one.select(F.inline(gates))], [drafts])

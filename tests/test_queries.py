@@ -182,3 +182,16 @@ def test_texts_are_read_once_for_the_language_rule(spark):
         return (max(hits)[1], max(hits)[0], max(hits)[0] / total) if total else None
 
     assert found == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_gate_of_a_lone_link_rule_joins_rows_in_scope_only(spark):
+    """The internal links of the page of all entries must not meet in one task for a rule on external ones."""
+    from sitewarden.plans import link_rules, rule_queries
+    from sitewarden.plans.config import AuditConfig
+
+    site = rule_queries.site(spark, FOLDER, False)
+    (out,) = link_rules.links(site, AuditConfig(), {"links.external_outgoing_nofollow"})
+    plan = out.gates[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "= other_host" in line for line in plan.splitlines())
+    scoped, all_rows = (out.gates[0].first(), link_rules.links(site, AuditConfig(), {"links.external_outgoing_nofollow", "links.url_too_long"})[0].gates[0].where("rule_id = 'links.external_outgoing_nofollow'").first())
+    assert scoped == all_rows

@@ -198,11 +198,13 @@ def resolve_of(base: Column, href: Column) -> Column:
     return F.coalesce(F.when(plain, F.regexp_replace(href, "#.*$", "")), _resolve_udf(F.when(~plain, base), F.when(~plain, href)))
 
 
-def with_identity(rows: DataFrame, url: Column, name: str) -> DataFrame:
+def with_identity(rows: DataFrame, url: Column, name: str, look: bool = False) -> DataFrame:
     """rows with identity_of(url), those of plain and opaque URLs and of none apart from the others: a Python function in a
     plan gets every row, if only as a null, and all other columns wait for it in memory. rows is read twice, so it should
-    be cheap to read."""
+    be cheap to read. look: see at once whether there are odd ones; where there are none no Python worker starts."""
     plain = F.coalesce(is_plain(url) | url.rlike(OPAQUE), F.lit(True))
+    if look and rows.where(~plain).isEmpty():
+        return rows.withColumn(name, F.regexp_replace(url, "#.*$", ""))
     return rows.where(plain).withColumn(name, F.regexp_replace(url, "#.*$", "")).unionByName(rows.where(~plain).withColumn(name, identity_of(url)))
 
 

@@ -58,15 +58,17 @@ class Evidence:
     def all_resources(self) -> DataFrame:
         return self.resource_rows()
 
-    def of_complete(self, name: str, keyed: bool = True) -> DataFrame:
+    def of_complete(self, name: str, keyed: bool = True, where: Column | None = None) -> DataFrame:
         """(identity, page_key, seq, the fields and key, the normalised destination): the links or resources of complete
-        pages; without key if it isn't asked for, and flat rows are then read once."""
+        pages; without key if it isn't asked for, and flat rows are then read once. where, a condition on the fields, is looked at
+        before addresses are."""
+        where = F.lit(True) if where is None else where
         if (self.link_rows if name == "links" else self.resource_rows) is None:
             rows = self.complete_pages.select("identity", F.col("key").alias("page_key"), F.posexplode(name).alias("seq", "one"))
-            rows = rows.select("identity", "page_key", "seq", "one.*")
+            rows = rows.select("identity", "page_key", "seq", "one.*").where(where)
             return rows.withColumn("key", U.identity_of(F.col("destination"))) if keyed else rows
-        rows = self.all_links if name == "links" else self.all_resources
-        rows = U.with_identity(rows, F.col("destination"), "key") if keyed else rows
+        rows = (self.all_links if name == "links" else self.all_resources).where(where)
+        rows = U.with_identity(rows, F.col("destination"), "key", look=name == "resources") if keyed else rows
         flags = F.col("page.flags")
         incomplete = flags["truncated"] | flags["challenge"] | flags["error_status"] | flags["non_html"] | flags["encoding_fallback"]
         complete = self.observations.where(~incomplete).select("identity").distinct().withColumn("page_key", U.identity_of(F.col("identity")))
@@ -140,7 +142,7 @@ class Evidence:
 
     @cached_property
     def fetches(self) -> DataFrame:
-        keyed = self.resource_fetches.withColumn("key", U.identity_of(F.col("identity")))
+        keyed = U.with_identity(self.resource_fetches, F.col("identity"), "key", look=True)
         return keyed.groupBy("key").agg(F.max_by(F.struct("status", "failed_reason", "challenge", "robots_blocked", "robots_known"), "identity").alias("fetch"))
 
     @cached_property
@@ -160,8 +162,14 @@ class Evidence:
     @cached_property
     def resources(self) -> DataFrame:
         """Embedded resources of complete pages by position, with their fetch (null if none)."""
-        rows = self.of_complete("resources").drop("page_key")
-        return rows.join(self.fetches, "key", "left")
+        return self._with_fetch(self.of_complete("resources"))
+
+    def resources_where(self, where: Column) -> DataFrame:
+        """The resources that a condition on their own fields holds for."""
+        return self.resources.where(where) if "resources" in self.settled else self._with_fetch(self.of_complete("resources", where=where))
+
+    def _with_fetch(self, rows: DataFrame) -> DataFrame:
+        return rows.drop("page_key").join(self.fetches, "key", "left")
 
     def settle(self) -> None:
         """Write the shared relations once, as Parquet, for evaluations of many rules: each reader then scans only the

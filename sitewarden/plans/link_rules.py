@@ -57,7 +57,7 @@ def link_specs(cfg: AuditConfig) -> list[Spec]:
 
 def _forbidden_resources(ev: Evidence) -> DataFrame:
     """External resources that answered 403, a draft for each address."""
-    hits = ev.resources.where("host_owner = 'other_host' and key is not null").where((F.col("fetch.status") == 403) & ~F.col("fetch.challenge"))
+    hits = ev.resources_where(F.col("host_owner") == "other_host").where("key is not null").where((F.col("fetch.status") == 403) & ~F.col("fetch.challenge"))
     grouped = _by_address(hits, "target_http_status", _say("href=", F.col("href"), " HTTP 403"))
     return grouped.select(draft_struct("links.external_http_403", _say("resource::", F.col("key")), _say("The resource ", F.col("key"), " answers 403 to ", F.col("referrers")), "Treat 403 as limited access, not as a broken target.", F.col("points"), _say("1", F.col("key"))).alias("d")).select("d.*")
 
@@ -110,13 +110,13 @@ def resources(ev: Evidence, cfg: AuditConfig, wanted: set[str]) -> list[Output]:
     label = F.when(fetch["challenge"], "challenge page").when(fetch["status"].isNotNull(), _say("HTTP ", fetch["status"].cast("string"))).when(fetch["failed_reason"].isNotNull(), _say("fetch failed (", fetch["failed_reason"], ")")).otherwise("status unknown")
     for rule, (owner, kinds, noun, advice) in BROKEN.items():
         if rule in wanted:
-            hits = ev.resources.where(F.col("key").isNotNull() & (F.col("host_owner") == owner) & F.col("kind").isin(*kinds))
+            hits = ev.resources_where((F.col("host_owner") == owner) & F.col("kind").isin(*kinds)).where("key is not null")
             grouped = _by_address(hits.where(broken), "resource_http_status", _say("kind=", F.col("kind"), " href=", F.col("href"), " ", label))
             drafts = grouped.select(draft_struct(rule, F.col("key"), _say(f"{noun} ", F.col("key"), " is broken (", label, ") for ", F.col("referrers")), advice, F.col("points")).alias("d")).select("d.*")
             out.append(Output([_resource_gate(ev, rule, hits, ~known)], [drafts]))
     for rule, owner in (("resources.blocked_internal_robots", "same_host"), ("resources.blocked_external_robots", "other_host")):
         if rule in wanted:
-            hits = ev.resources.where(F.col("key").isNotNull() & (F.col("host_owner") == owner))
+            hits = ev.resources_where(F.col("host_owner") == owner).where("key is not null")
             grouped = _by_address(hits.where(fetch["robots_blocked"]), "resource_url", _say("kind=", F.col("kind"), " href=", F.col("href"), " blocked by robots.txt"))
             drafts = grouped.select(draft_struct(rule, F.col("key"), _say("robots.txt forbids ", F.col("key"), " that is used by ", F.col("referrers")), "Allow the resource where it should be fetched.", F.col("points")).alias("d")).select("d.*")
             out.append(Output([_resource_gate(ev, rule, hits, ~F.coalesce(fetch["robots_known"], F.lit(False)))], [drafts]))

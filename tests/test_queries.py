@@ -195,3 +195,25 @@ def test_gate_of_a_lone_link_rule_joins_rows_in_scope_only(spark):
     assert any("Filter" in line and "= other_host" in line for line in plan.splitlines())
     scoped, all_rows = (out.gates[0].first(), link_rules.links(site, AuditConfig(), {"links.external_outgoing_nofollow", "links.url_too_long"})[0].gates[0].where("rule_id = 'links.external_outgoing_nofollow'").first())
     assert scoped == all_rows
+
+
+def test_resource_rules_start_no_python_worker_for_plain_addresses(spark):
+    from sitewarden.functions import urls as U
+    from sitewarden.plans import link_rules, rule_queries
+    from sitewarden.plans.config import AuditConfig
+
+    def plan(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    site = rule_queries.site(spark, FOLDER, False)
+    for rule in ("images.broken_external", "resources.blocked_external_robots"):
+        (out,) = link_rules.resources(site, AuditConfig(), {rule})
+        assert "EvalPython" not in plan(out.drafts[0]) + plan(out.gates[0])
+    urls = ["https://a.example/x#t", "HTTPS://A.example:443/./b", "//x", None, "mailto:z#x", "https://b.example"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    odd = U.with_identity(rows, F.col("url"), "k", look=True)
+    assert "EvalPython" in plan(odd)
+    assert sorted(map(str, odd.collect())) == sorted(str(r) for r in U.with_identity(rows, F.col("url"), "k").collect())
+    some = rows.where("url like '%#%'")
+    assert "EvalPython" not in plan(U.with_identity(some, F.col("url"), "k", look=True))
+    assert sorted(map(str, U.with_identity(some, F.col("url"), "k", look=True).collect())) == sorted(str(r) for r in U.with_identity(some, F.col("url"), "k").collect())
